@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from siltstone.llm import bpe, dartminhash, decontam, langid, lines, ogg, warc
+from siltstone.llm import bpe, dartminhash, decontam, langid, lines, ogg, suffix, warc
 from siltstone.llm.shared import table
 
 
@@ -14,6 +14,10 @@ def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontam.contaminated(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
 
 
+def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(docs)
@@ -43,7 +47,7 @@ def op10_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_benchmark_decontamination, op4_language_id, op5_minhash_near_dedup, op6_line_dedup, op7_bpe_encoding, op8_media_columns, op10_warc_archive)}
+    return {f.__name__: f for f in (op1_benchmark_decontamination, op2_suffix_array_dedup, op4_language_id, op5_minhash_near_dedup, op6_line_dedup, op7_bpe_encoding, op8_media_columns, op10_warc_archive)}
 
 
 def oracle_sql() -> dict[str, str]:
