@@ -220,8 +220,9 @@ def blocks_to_pairs(rows: DataFrame, least: float, rows_a_band: int) -> DataFram
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, least: float = LEAST, weight: str = "set", k: int = K, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, class_id, n_shingles): one row per row of ``docs``; near duplicates share class_id, the smallest doc_id of the class.
+    """(doc_id, class_id, n_shingles, row, class_row): one row per row of ``docs``; near duplicates share class_id, the smallest doc_id of the class.
 
+    ``row`` is a hash of doc_id and text, ``class_row`` that of the row that stands for the class.
     Words are runs of letters, digits and underscores in lower case. A text of fewer words
     than ``words`` is one shingle; texts without words (null and empty too) are alike.
     doc_id is taken as a long; class_id is null if no member has one. Rows with a repeated or
@@ -231,7 +232,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, least: float = LEAST, w
     texts = docs.select(F.xxhash64("doc_id", "text").alias("id"), F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     signed = materialise(sign(texts, words, weight, k, bands, rows), "near-signed")
     texts = texts.select("id", "text")
-    reps = materialise(signed.groupBy("same").agg(F.min("id").alias("rep"), F.min("doc_id").alias("low")), "near-classes")
+    reps = materialise(signed.groupBy("same").agg(F.min("id").alias("rep"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "id")).alias("low")), "near-classes")
     kept = materialise(signed.join(reps.select(F.col("rep").alias("id"), F.col("same").alias("s")), "id").where("same = s").select("id", "bands", "sig").dropDuplicates(["id"]), "near-kept")
 
     shared = kept.select("id", F.posexplode("bands").alias("band", "h")).select("id", "band", F.xxhash64("band", "h").alias("key"))
@@ -254,6 +255,13 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, least: float = LEAST, w
     more = verify(materialise(pairs, "near-pairs"), texts, words, weight, least)
     roots = components(links.union(more))
     rooted = materialise(reps.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("same", F.coalesce("root", "rep").alias("root"), "low"), "near-rooted")
-    lowest = materialise(rooted.groupBy("root").agg(F.min("low").alias("class_id")), "near-lowest")
-    classes = materialise(rooted.join(lowest, "root").select("same", "class_id"), "near-class-ids")
-    return signed.select("doc_id", "same", "n").join(classes, "same").select("doc_id", "class_id", F.col("n").alias("n_shingles"))
+    lowest = materialise(rooted.groupBy("root").agg(F.min("low").alias("low")), "near-lowest")
+    classes = materialise(rooted.drop("low").join(lowest, "root").select("same", F.col("low.doc_id").alias("class_id"), F.col("low.id").alias("class_row")), "near-class-ids")
+    return signed.select("doc_id", "id", "same", "n").join(classes, "same").select("doc_id", "class_id", F.col("n").alias("n_shingles"), F.col("id").alias("row"), "class_row")
+
+
+def keep_one(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` that stand for their classes, with all their columns; rows equal in doc_id and text are one document."""
+    classes = near_duplicates(docs, **options).where(F.col("row") == F.col("class_row"))
+    keep = materialise(classes.select(F.col("row").alias("_keep")).distinct(), "near-kept-rows")
+    return docs.join(keep, F.xxhash64("doc_id", "text") == F.col("_keep"), "left_semi")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from siltstone.llm import bpe, dartminhash, decontam, langid, lines, ogg, suffix, warc
+from siltstone.llm import bpe, dartminhash, decontam, langid, licences, lines, ogg, suffix, tokencounts, warc
 from siltstone.llm.shared import table
 
 
@@ -18,6 +18,11 @@ def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return licences.label_documents(docs, licences.fit(docs))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(docs)
@@ -26,7 +31,7 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dartminhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return dartminhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id", "n_shingles")
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,12 +47,16 @@ def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.read_features(ogg.store_documents(table(spark, sf_dir, "documents")))
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencounts.section_counts(table(spark, sf_dir, "documents"))
+
+
 def op10_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archive(warc.write_archive(table(spark, sf_dir, "pages")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_benchmark_decontamination, op2_suffix_array_dedup, op4_language_id, op5_minhash_near_dedup, op6_line_dedup, op7_bpe_encoding, op8_media_columns, op10_warc_archive)}
+    return {f.__name__: f for f in (op1_benchmark_decontamination, op2_suffix_array_dedup, op3_license_scan, op4_language_id, op5_minhash_near_dedup, op6_line_dedup, op7_bpe_encoding, op8_media_columns, op9_token_counts, op10_warc_archive)}
 
 
 def oracle_sql() -> dict[str, str]:
