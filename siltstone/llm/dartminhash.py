@@ -143,7 +143,7 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 def verify(pairs: DataFrame, texts: DataFrame, words: int, weight: str, least: float) -> DataFrame:
     """Those (a, b) of ``pairs`` whose whole texts are similar; texts: id, text, equal texts for an id."""
     ids = materialise(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), "near-ids")
-    used = materialise(texts.join(ids, "id").dropDuplicates(["id"]), "near-texts")
+    used = materialise(texts.join(ids.hint("merge"), "id").dropDuplicates(["id"]), "near-texts")
     both = pairs.join(used.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(used.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
     kind = pairs.schema[0].dataType.simpleString()
 
@@ -264,4 +264,4 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that stand for their classes, with all their columns; rows equal in doc_id and text are one document."""
     classes = near_duplicates(docs, **options).where(F.col("row") == F.col("class_row"))
     keep = materialise(classes.select(F.col("row").alias("_keep")).distinct(), "near-kept-rows")
-    return docs.join(keep, F.xxhash64("doc_id", "text") == F.col("_keep"), "left_semi")
+    return docs.join(keep.hint("merge"), F.xxhash64("doc_id", "text") == F.col("_keep"), "left_semi")

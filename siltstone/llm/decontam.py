@@ -19,7 +19,7 @@ from siltstone.llm.shared import materialise, require, text_or_empty
 
 #: Tokens a window, the least that an item must have to be searched, and the share of an item's windows that counts as a leak.
 WINDOW, SHORTEST, COVERAGE = 8, 5, 0.5
-#: Rows of benchmark windows (about 100 bytes each) that may be broadcast.
+#: Rows of benchmark windows (about 100 bytes each), or ids of leaks, that may be broadcast.
 MOST_BROADCAST = 500_000
 #: Units of measurement (fixed values).
 UNITS = "mm|cm|km|kg|mg|ml|m|g|l|s|h|min|hours?|minutes?|seconds?|days?|weeks?|months?|years?|meters?|metres?|kilometers?|kilometres?|miles?|feet|foot|inch(?:es)?|yards?|grams?|kilograms?|pounds?|lbs?|oz|ounces?|liters?|litres?|gallons?|dollars?|cents?|euros?|percent|degrees?|mph|kmh"
@@ -117,4 +117,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, co
 def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
     """The rows of ``docs`` into which no item leaks; all columns stay."""
     leaks = materialise(contaminated(docs, benchmark, window, coverage).select(F.col("doc_id").alias("_leak")).distinct(), "leaks")
-    return docs.join(leaks, F.col("doc_id").eqNullSafe(F.col("_leak")), "left_anti")
+    right = F.broadcast(leaks) if leaks.count() <= MOST_BROADCAST else leaks
+    return docs.join(right, F.col("doc_id").eqNullSafe(F.col("_leak")), "left_anti")

@@ -127,7 +127,7 @@ def contexts(rows: DataFrame, wanted: DataFrame, length: int, block: int) -> Dat
                         out.append((s["gram"], hash((row, s["p"])) % many, many > 1, row, first, s["before"], data[first : first + s["after"] + length]))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 7, (pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.binary()))], names=["gram", "salt", "hot", "row", "first", "before", "bytes"])
 
-    return rows.join(listed, "row").select("row", "data", "list").mapInArrow(run, "gram long, salt int, hot boolean, row long, first int, before int, bytes binary")
+    return rows.join(listed.hint("merge"), "row").select("row", "data", "list").mapInArrow(run, "gram long, salt int, hot boolean, row long, first int, before int, bytes binary")
 
 
 def compare(found: DataFrame, length: int) -> DataFrame:
@@ -227,4 +227,4 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bloc
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*out), kinds))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: 5 + with_text])
 
-    return rows.join(marks, "row", "left").select("doc_id", "data", "marks").mapInArrow(run, schema)
+    return rows.join(marks.hint("merge"), "row", "left").select("doc_id", "data", "marks").mapInArrow(run, schema)
