@@ -52,8 +52,10 @@ def write_archive(pages: DataFrame, least: int = 0, id_col: str = "page_id", url
     index = rows.select("page_id", "url", "digest", F.octet_length("payload").cast("long").alias("n_bytes"), base32_sha1(F.col("payload")).alias("sha1"))
     index = materialise(index, "warc-index")
     kept = index.groupBy("digest").agg(F.min("page_id").alias("first_id"))
-    held = rows.join(kept.withColumnsRenamed({"digest": "d"}), F.col("page_id").eqNullSafe(F.col("first_id")) & (F.col("digest") == F.col("d")), "left_semi")
-    payloads = materialise(held.dropDuplicates(["page_id", "digest"]).select("digest", F.col("page_id").alias("first_id"), "payload"), "warc-payloads")
+    kept = kept.select(F.xxhash64("first_id", "digest").alias("place"), "digest")
+    held = rows.select(F.xxhash64("page_id", "digest").alias("place"), "digest", "page_id", "payload").join(kept, ["place", "digest"], "left_semi")
+    # the join has dealt rows by both columns, so that dropping repeated rows moves nothing
+    payloads = materialise(held.dropDuplicates(["place", "digest"]).select("digest", F.col("page_id").alias("first_id"), "payload"), "warc-payloads")
     marked = index.join(payloads.select("digest", "first_id"), "digest")
     revisit = (F.col("n_bytes") >= least) & ~F.col("page_id").eqNullSafe(F.col("first_id"))
     headers = marked.select("page_id", "digest", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("first_id")).alias("refers_to"), header(revisit).alias("header"))
