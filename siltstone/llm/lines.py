@@ -90,7 +90,8 @@ def dedup_lines(docs: DataFrame, every: int = EVERY, least: int = LEAST) -> Data
     found = materialise(chunk_rows(rows, False, every, least), "lines-chunks").join(repeated, "h").where(~((F.col("key") == F.col("owner")) & F.col("first")))
     spans = found.select("key", "row", F.struct("start", "end", "n").alias("span")).groupBy("key", "row").agg(F.array_sort(F.collect_set("span")).alias("_spans"))
     spans = materialise(spans, "lines-spans").withColumnsRenamed({"key": "_key", "row": "_row"})
-    whole = docs.join(spans, (F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)) == F.col("_key")) & (F.xxhash64("text") == F.col("_row")), "left")
+    # by sort and merge at every size, so that cost grows in proportion
+    whole = docs.join(spans.hint("merge"), (F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)) == F.col("_key")) & (F.xxhash64("text") == F.col("_row")), "left")
     n = F.size("_spans")
     before = lambda i: F.when(i > 0, F.element_at("_spans", F.greatest(i, F.lit(1)))["end"]).otherwise(0)
     after = lambda i: F.when(i < n, F.element_at("_spans", F.least(i + 1, n))["start"]).otherwise(F.length("text"))

@@ -130,8 +130,57 @@ def contexts(rows: DataFrame, wanted: DataFrame, length: int, block: int) -> Dat
     return rows.join(listed.hint("merge"), "row").select("row", "data", "list").mapInArrow(run, "gram long, salt int, hot boolean, row long, first int, before int, bytes binary")
 
 
-def compare(found: DataFrame, length: int) -> DataFrame:
-    """Windows that recur among the contexts of a block (from, to), and for grams of several blocks the distinct windows (key)."""
+def reach(found: DataFrame, side: str) -> DataFrame:
+    """Adds how many bytes to the ``left`` or ``right`` of the gram agree with any other context of the gram.
+
+    Contexts are sorted by what stands on that side, outwards; the longest common part of one
+    is that with a neighbour in the order. Ranges of the order are dealt to tasks and may cut
+    a gram, so the first and last row of a task count as agreeing altogether.
+    """
+    left = side == "left"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last, before = None, None, _ALL
+        for batch in batches:
+            keys = list(zip(batch.column("gram").to_pylist(), batch.column(side).to_pylist()))
+            common = [_ALL if last is None else shared_prefix(last, keys[0])] if keys else []
+            common += [shared_prefix(a, b) for a, b in zip(keys, keys[1:])]
+            if held is not None and keys:
+                yield held.append_column(f"{side}_reach", pa.array([*before[:-1], max(before[-1], common[0])], pa.int32()))
+            if keys:
+                own = [max(a, b) for a, b in zip(common, [*common[1:], 0])]
+                held, last, before = batch, keys[-1], own
+        if held is not None:
+            yield held.append_column(f"{side}_reach", pa.array([*before[:-1], _ALL], pa.int32()))
+
+    order = ["gram", "left", "right"] if left else ["gram", "right", "left"]
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in found.schema) + f", {side}_reach int"
+    return found.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, schema)
+
+
+#: Longer than any context.
+_ALL = 1_000_000
+
+
+def shared_prefix(a: tuple[int, bytes], b: tuple[int, bytes]) -> int:
+    """Length of the common beginning of two sides of equal grams, by halving; 0 for other grams."""
+    if a[0] != b[0]:
+        return 0
+    x, y, low = a[1], b[1], 0
+    high = min(len(x), len(y))
+    while low < high:
+        mid = (low + high + 1) // 2
+        low, high = (mid, high) if x[low:mid] == y[low:mid] else (low, mid - 1)
+    return low
+
+
+def compare(found: DataFrame, length: int, gram: int) -> DataFrame:
+    """Windows that recur among the contexts of a block (from, to), and for grams of several blocks the distinct windows (key) that may recur in others.
+
+    A window recurs only if its bytes on either side of the gram do, each for itself.
+    """
+
+    size_of_gram = gram
 
     def work(g: list[list]) -> pa.RecordBatch:
         gram, hot, row, first, before = (np.array(c) for c in (g[0], g[2], g[3], g[4], g[5]))
@@ -157,26 +206,37 @@ def compare(found: DataFrame, length: int) -> DataFrame:
         one, end = np.sort(np.concatenate([one, inner + 1])), np.sort(np.concatenate([end, inner]))
         lead = np.zeros(len(key), bool)
         lead[order[np.concatenate([[True], ~same])] if len(order) else order] = True
-        far = np.flatnonzero(lead & hot[of])
+        to_left = before[of] - j
+        far = np.flatnonzero(lead & hot[of] & (to_left <= np.array(g[7])[of]) & (length - size_of_gram - to_left <= np.array(g[8])[of]))
         start = first[of] + j
         cols = [np.concatenate([row[of[one]], row[of[far]]]), np.concatenate([start[one], start[far]]), np.concatenate([start[end], start[far]]), np.concatenate([np.zeros(len(one), np.int64), key[far].view(np.int64)]), np.concatenate([np.zeros(len(one), np.int64), gram[of[far]]])]
         is_far = np.concatenate([np.zeros(len(one), bool), np.ones(len(far), bool)])
         return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.int64()), pa.array(is_far)], names=["row", "from", "to", "key", "gram", "far"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, last = [[] for _ in range(7)], None
+        held, last = [[] for _ in range(9)], None
         for batch in batches:
             for values in zip(*(c.to_pylist() for c in batch.columns)):
                 if values[:2] != last and len(held[0]) >= 2000:
                     yield work(held)
-                    held = [[] for _ in range(7)]
+                    held = [[] for _ in range(9)]
                 last = values[:2]
                 for col, v in zip(held, values):
                     col.append(v)
         if held[0]:
             yield work(held)
 
-    dealt = found.repartition("gram", "salt").sortWithinPartitions("gram", "salt")
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cut = list(zip(batch.column("before").to_pylist(), batch.column("bytes").to_pylist()))
+            batch = batch.append_column("left", pa.array([b[:n][::-1] for n, b in cut], pa.binary()))
+            yield batch.append_column("right", pa.array([b[n + size_of_gram :] for n, b in cut], pa.binary()))
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in found.schema)
+    sides = found.where("hot").mapInArrow(split, f"{kinds}, left binary, right binary")
+    sides = reach(reach(sides, "left"), "right").drop("left", "right")
+    cold = found.where("not hot").withColumns({"left_reach": F.lit(_ALL), "right_reach": F.lit(_ALL)})
+    dealt = cold.unionByName(sides).repartition("gram", "salt").sortWithinPartitions("gram", "salt")
     return dealt.mapInArrow(run, "row long, from int, to int, key long, gram long, far boolean")
 
 
@@ -188,7 +248,8 @@ def repeated_windows(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, bl
     whole = kinds.where("n > 1").select("gram", "context")
     marks = found.join(whole, ["gram", "context"]).select("row", (F.col("p") - F.col("before")).alias("from"), (F.col("p") - F.col("before") + F.col("after")).alias("to"))
     wanted = kinds.join(grams, "gram").select("row", "p", "before", "after", "gram", F.col("kinds").cast("int").alias("kinds"))
-    near = materialise(compare(contexts(rows, wanted, length, block), length), "suffix-compared")
+    around = materialise(contexts(rows, wanted, length, block), "suffix-around")
+    near = materialise(compare(around, length, gram), "suffix-compared")
     far = near.where("far").select("key", "gram", "row", "from", "to")
     again = materialise(far.groupBy("key", "gram").agg(F.count("*").alias("n")).where("n > 1").select("key", "gram"), "suffix-far")
     return marks.union(near.where("not far").select("row", "from", "to")).union(far.join(again, ["key", "gram"]).select("row", "from", "to"))
