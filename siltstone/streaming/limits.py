@@ -35,8 +35,13 @@ def rate_limit(calls: DataFrame, most: int = 100, seconds: int = 60) -> DataFram
     return calls.select("client", "id", "at").groupBy("client").applyInPandas(fold, f"client {kinds['client']}, id {kinds['id']}, at double, allowed boolean")
 
 
-def rate_limit_stream(calls: DataFrame, most: int = 100, seconds: int = 60) -> DataFrame:
-    """The same as a stream: each client's recorded times are its state, forgotten when idle."""
+def rate_limit_stream(calls: DataFrame, most: int = 100, seconds: int = 60, forget: bool = True) -> DataFrame:
+    """The same as a stream: each client's recorded times are its state.
+
+    With ``forget``, clients that are idle for ``seconds`` lose their state. Spark then runs
+    batches for ever, to see who is idle, so a query that should end (``availableNow``) needs
+    ``forget=False``.
+    """
     kinds = dict(calls.dtypes)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -47,11 +52,12 @@ def rate_limit_stream(calls: DataFrame, most: int = 100, seconds: int = 60) -> D
         whole = pd.concat(list(batches)).sort_values(["at", "id"], kind="stable")
         passed, kept = admitted(whole["at"].tolist(), kept, most, seconds)
         state.update((kept,))
-        state.setTimeoutDuration(seconds * 1000)
+        if forget:
+            state.setTimeoutDuration(seconds * 1000)
         yield whole.assign(allowed=passed)[["client", "id", "at", "allowed"]]
 
     out = f"client {kinds['client']}, id {kinds['id']}, at double, allowed boolean"
-    return calls.select("client", "id", "at").groupBy("client").applyInPandasWithState(step, out, "kept array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return calls.select("client", "id", "at").groupBy("client").applyInPandasWithState(step, out, "kept array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout if forget else GroupStateTimeout.NoTimeout)
 
 
 def live_entries(entries: DataFrame, now: float, key: str = "key", capacity: int = 500, ttl: float = 3600.0) -> DataFrame:

@@ -181,7 +181,7 @@ def test_rate_limit_forgets_rejected_calls(spark):
 def test_rate_limit_stream(spark, tmp_path):
     spark.createDataFrame([("c", k, float(k)) for k in range(5)], "client string, id long, at double").coalesce(1).write.parquet(str(tmp_path / "in"))
     calls = spark.readStream.schema("client string, id long, at double").parquet(str(tmp_path / "in"))
-    q = limits.rate_limit_stream(calls, 3, 60).writeStream.format("memory").queryName("limited").option("checkpointLocation", str(tmp_path / "c")).outputMode("append").trigger(availableNow=True).start()
+    q = limits.rate_limit_stream(calls, 3, 60, forget=False).writeStream.format("memory").queryName("limited").option("checkpointLocation", str(tmp_path / "c")).outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(r["id"] for r in spark.sql("select id from limited where allowed").collect()) == [0, 1, 2]
 
