@@ -28,17 +28,20 @@ def brute(docs, items):
     slot = lambda x: x[0] in (dc.NUMBER, dc.NAME, dc.UNIT)
     canon = lambda w: tuple(x[0] if slot(x) else x for x in w)
     for d, text in docs:
-        dt = tokens(text)
+        dt, places = tokens(text), {}
         for i, question in items:
             it = tokens(question)
             n = min(dc.WINDOW, len(it))
             if len(it) < dc.SHORTEST:
                 continue
+            if n not in places:
+                places[n] = {}
+                for q in range(len(dt) - n + 1):
+                    places[n].setdefault(canon(dt[q : q + n]), []).append(q)
             lines = {}
             for p in range(len(it) - n + 1):
-                for q in range(len(dt) - n + 1):
-                    if canon(it[p : p + n]) == canon(dt[q : q + n]):
-                        lines.setdefault(q - p, []).append((p, [(a, b) for a, b in zip(it[p : p + n], dt[q : q + n]) if slot(a)]))
+                for q in places[n].get(canon(it[p : p + n]), []):
+                    lines.setdefault(q - p, []).append((p, [(a, b) for a, b in zip(it[p : p + n], dt[q : q + n]) if slot(a)]))
             matched = set()
             for found in lines.values():
                 pairs = {x for _, ps in found for x in ps}
