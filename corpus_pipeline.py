@@ -1,6 +1,6 @@
 """The corpus pipeline: five stages over ``documents``, each written as Parquet and read again.
 
-Rows that language identification calls ``und`` go; chunks of lines that stand elsewhere too
+Rows that language identification calls ``und`` go; runs of lines that stand elsewhere too
 are cut, and documents of which nothing but white space is left by that go; one document of
 each group of near duplicates stays; documents into which a benchmark item leaks go; the
 rest is encoded. SQL cannot express the stages (``ORACLE_SQL`` is None); the tests hold them
@@ -25,7 +25,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cut = lines.dedup_lines(docs.select(*COLUMNS))
+    cut = lines.dedup_runs(docs.select(*COLUMNS))
     left = cut.where((F.col("n_removed_chunks") == 0) | F.rlike("text", F.lit(r"\S")))
     changed = F.when(F.col("n_removed_chunks") == 0, F.col("n_chars")).otherwise(F.length("text").cast("long"))
     return left.withColumn("n_chars", changed).select(*COLUMNS)

@@ -1,19 +1,24 @@
-"""Line dedup by content-defined chunks of lines.
+"""Line dedup: repeated runs of lines, and repeated chunks of lines.
 
-A rolling hash over the hashes of the last two lines chooses chunk borders, so that borders
-shift with the content; chunks have two lines at least where the document has them. A chunk
-that occurs again anywhere is kept in one place (the smallest doc_id, its first place there)
-and removed elsewhere. Occurrences are grouped by their bytes, not by a hash alone.
+``dedup_runs`` finds every run of two lines or more that stands elsewhere too, wherever it
+begins and ends: each pair of adjacent lines and each line of over 50 words is a window, and
+the lines of every window that also stands at an earlier place are removed. Places are ordered
+by doc_id, text hash and line, so the first place of every line is always kept. Windows are
+grouped by their SHA-256.
 
-Grouping is partially aggregated, so a chunk that a third of all documents hold costs a row
+``dedup_lines`` removes whole chunks only: a rolling hash over the hashes of the last two lines
+chooses chunk borders, and a chunk that occurs again is kept in one place. A repeated run that
+is not cut alike in both places is left, which loses most short runs.
+
+Grouping is partially aggregated, so a window that a third of all documents hold costs a row
 a task; the two joins are between plain scans, whose hot keys Spark can split.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
@@ -23,6 +28,9 @@ from siltstone.llm.shared import materialise, require, text_or_empty
 #: Lines under the rolling hash, the share of lines that end a chunk (1 in so many), and the least lines of a chunk.
 WINDOW, EVERY, LEAST = 2, 2, 2
 NO_ID = 2**63 - 1
+#: A line of more words than this is a passage of its own.
+LONG = 50
+ADDED = ("n_lines", "n_removed_lines", "n_removed_chunks")
 
 
 def chunks(text: str, every: int = EVERY, least: int = LEAST) -> list[tuple[int, int, int]]:
@@ -72,6 +80,84 @@ def chunk_rows(rows: DataFrame, with_text: bool, every: int, least: int) -> Data
     return rows.mapInArrow(run, "key long, h binary, chunk string" if with_text else "key long, row long, start int, end int, n int, first boolean, h binary")
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("key"), F.xxhash64("text").alias("row"), text_or_empty().alias("text"))
+
+
+def windows(text: str, least: int = LEAST, long: int = LONG) -> Iterator[tuple[int, int, int, int, str]]:
+    """(first line, start, end, lines, content) of all runs of ``least`` lines and of each longer line alone, if a character is visible."""
+    lines = text.split("\n")
+    if not lines[-1]:
+        lines.pop()
+    at = [0]
+    for p in lines:
+        at.append(min(at[-1] + len(p) + 1, len(text)))
+    for k, p in enumerate(lines):
+        if least > 1 and len(p) > 2 * long and len(p.split()) > long:
+            yield k, at[k], at[k + 1], 1, p
+        if k + least <= len(lines):
+            part = "\n".join(lines[k : k + least])
+            if part and not part.isspace():
+                yield k, at[k], at[k + least], least, part
+
+
+def window_rows(rows: DataFrame, least: int, long: int) -> DataFrame:
+    """(key, row, line, start, end, n, h) of each window; rows: key, row, text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for a in range(0, len(whole), 2000):
+                batch, cols = whole.slice(a, 2000), [[] for _ in range(6)]
+                for r, text in enumerate(batch.column(2).to_pylist()):
+                    for k, start, end, n, part in windows(text, least, long):
+                        for col, v in zip(cols, (r, k, start, end, n, hashlib.sha256(part.encode()).digest())):
+                            col.append(v)
+                at = pa.array(cols[0], pa.int32())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *(pa.array(c, pa.int32()) for c in cols[1:5]), pa.array(cols[5], pa.binary())], names=["key", "row", "line", "start", "end", "n", "h"])
+
+    return rows.mapInArrow(run, "key long, row long, line int, start int, end int, n int, h binary")
+
+
+def united(found: DataFrame) -> DataFrame:
+    """(key, row, _spans): windows of each text that overlap or touch become one span."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for parts in batch.column(2).to_pylist():
+                spans: list[dict] = []
+                for w in parts:
+                    if spans and w["line"] <= spans[-1]["to"]:
+                        last = spans[-1]
+                        last["to"], last["end"] = max(last["to"], w["line"] + w["n"]), max(last["end"], w["end"])
+                    else:
+                        spans.append({"line": w["line"], "to": w["line"] + w["n"], "start": w["start"], "end": w["end"]})
+                out.append([{"start": s["start"], "end": s["end"], "n": s["to"] - s["line"]} for s in spans])
+            kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("n", pa.int32())]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, kind)], names=["key", "row", "_spans"])
+
+    held = found.groupBy("key", "row").agg(F.array_sort(F.collect_set(F.struct("line", "n", "start", "end"))).alias("w"))
+    return held.mapInArrow(run, "key long, row long, _spans array<struct<start: int, end: int, n: int>>")
+
+
+def dedup_runs(docs: DataFrame, least: int = LEAST, long: int = LONG) -> DataFrame:
+    """All rows of ``docs`` without the lines of repeated runs in ``text``, and counts as in ``dedup_lines``.
+
+    A line goes if a run of ``least`` lines that holds it, or the line itself if it has over
+    ``long`` words, also stands at an earlier place; ``n_removed_chunks`` counts the stretches
+    that go. The first place of a line stays, but what stays of a run can be in several places
+    where runs overlap. Shorter lines that are repeated alone stay, and so do runs of white
+    space. Null, empty and equal rows are treated as in ``dedup_lines``; rows with one doc_id
+    and different texts are documents of their own.
+    """
+    require(docs, ["doc_id", "text"])
+    docs = docs.drop(*ADDED)
+    place = F.struct("key", "row", "line")
+    all_windows = materialise(window_rows(keyed(docs), least, long), "lines-windows")
+    repeated = materialise(all_windows.groupBy("h").agg(F.count("*").alias("times"), F.min(place).alias("owner")).where("times > 1").select("h", "owner"), "lines-repeated")
+    return cut(docs, materialise(united(all_windows.join(repeated, "h").where(place != F.col("owner"))), "lines-spans"))
+
+
 def dedup_lines(docs: DataFrame, every: int = EVERY, least: int = LEAST) -> DataFrame:
     """All rows of ``docs`` with repeated chunks removed from ``text``, and counts.
 
@@ -82,14 +168,18 @@ def dedup_lines(docs: DataFrame, every: int = EVERY, least: int = LEAST) -> Data
     different texts share.
     """
     require(docs, ["doc_id", "text"])
-    added = ("n_lines", "n_removed_lines", "n_removed_chunks")
-    docs = docs.drop(*added)
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("key"), F.xxhash64("text").alias("row"), text_or_empty().alias("text"))
+    docs = docs.drop(*ADDED)
+    rows = keyed(docs)
     same = chunk_rows(rows, True, every, least).groupBy("h", "chunk").agg(F.count("*").alias("times"), F.min("key").alias("owner"))
     repeated = materialise(same.groupBy("h").agg(F.sum("times").alias("times"), F.min("owner").alias("owner"), F.count("*").alias("texts")).where("times > 1 and texts = 1").select("h", "owner"), "lines-repeated")
     found = materialise(chunk_rows(rows, False, every, least), "lines-chunks").join(repeated, "h").where(~((F.col("key") == F.col("owner")) & F.col("first")))
     spans = found.select("key", "row", F.struct("start", "end", "n").alias("span")).groupBy("key", "row").agg(F.array_sort(F.collect_set("span")).alias("_spans"))
-    spans = materialise(spans, "lines-spans").withColumnsRenamed({"key": "_key", "row": "_row"})
+    return cut(docs, materialise(spans, "lines-spans"))
+
+
+def cut(docs: DataFrame, spans: DataFrame) -> DataFrame:
+    """``docs`` without the spans (key, row, _spans: sorted and disjoint structs of start, end, n) of their texts, and counts."""
+    spans = spans.withColumnsRenamed({"key": "_key", "row": "_row"})
     # by sort and merge at every size, so that cost grows in proportion
     whole = docs.join(spans.hint("merge"), (F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)) == F.col("_key")) & (F.xxhash64("text") == F.col("_row")), "left")
     n = F.size("_spans")
