@@ -40,14 +40,14 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norm > 0, dot(a, b) / norm).otherwise(0.0)
 
 
-def vector_scan(rows: DataFrame, query: list[float], limit: int = 10, threshold: float | None = None, filters: dict[str, object] | None = None, vector: str = "embedding", key: str = "id") -> DataFrame:
-    """The nearest rows by cosine; filters come before scores, the limit is a top-k."""
+def vector_scan(rows: DataFrame, query: list[float], limit: int | None = 10, threshold: float | None = None, filters: dict[str, object] | None = None, vector: str = "embedding", key: str = "id") -> DataFrame:
+    """The nearest rows by cosine; filters come before scores, the limit is a top-k, and without one all rows are given in no order."""
     for name, value in (filters or {}).items():
         if value is not None:
             rows = rows.where(F.col(name) == value)
     out = rows.withColumn("score", cosine(F.col(vector), F.array(*(F.lit(float(x)) for x in query))))
     out = out if threshold is None else out.where(F.col("score") >= threshold)
-    return out.orderBy(F.desc("score"), key).limit(limit)
+    return out if limit is None else out.orderBy(F.desc("score"), key).limit(limit)
 
 
 def max_sim(query_vectors: Column, doc_vectors: Column) -> Column:

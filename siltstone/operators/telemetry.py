@@ -69,9 +69,16 @@ def version_at(versions: DataFrame, number: int, column: str = "version") -> Dat
 
 
 def running_half_average(rows: DataFrame, key: str, value: str, order: str) -> DataFrame:
-    """avg <- (avg + new) / 2 over each key's values in order, from 0."""
-    one = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, value))).alias("v"))
-    return one.select(key, F.aggregate("v", F.lit(0.0), lambda a, x: (a + x[value]) / 2).alias("average"))
+    """avg <- (avg + new) / 2 over each key's values in order, from 0; null if a value is.
+
+    The newest value counts by 1/2, the one before by 1/4 and so on: a sum after windows, which
+    spill. Rows come oldest first, so that the sum is rounded as the steps are.
+    """
+    own = Window.partitionBy(key)
+    back = F.count(F.lit(1)).over(own) - F.row_number().over(own.orderBy(order, value)) + 1
+    weighed = rows.select(key, F.col(value).alias("_v"), back.alias("_n"))
+    total = F.sum(F.col("_v") * F.pow(F.lit(0.5), F.col("_n")))
+    return weighed.groupBy(key).agg(F.when(F.count("_v") == F.count("*"), total).alias("average"))
 
 
 def repeated_steps(trace: DataFrame, key: str, order: str, step: str) -> DataFrame:

@@ -118,7 +118,7 @@ from embeddings where label = 3 and list_cosine_similarity(list_transform(embedd
 def vector_filtered(spark, d):
     e = tables.read(spark, d, "embeddings").withColumnRenamed("vec_id", "id")
     probe = e.where("id = 0").select("embedding").first()[0]
-    return retrieval.vector_scan(e, probe, 1_000_000, threshold=-0.05, filters={"label": 3}).select("id", r6("score").alias("score"))
+    return retrieval.vector_scan(e, probe, None, threshold=-0.05, filters={"label": 3}).select("id", r6("score").alias("score"))
 
 
 @query("""with q as (select vec_id as qid, list_transform(embedding, lambda x: cast(x as double)) as q from embeddings where vec_id < 3),
@@ -322,6 +322,13 @@ def running_average(spark, d):
     return telemetry.running_half_average(o, "customer", "v", "o").select("customer", F.round("average", 4).alias("average"))
 
 
+@query()
+def running_average_all(spark, d):
+    """``running_average`` over every customer; its SQL takes a step of recursion an order."""
+    o = tables.read(spark, d, "orders").select(F.col("o_custkey").alias("customer"), F.struct("o_orderdate", "o_orderkey").alias("o"), F.col("o_totalprice").alias("v"))
+    return telemetry.running_half_average(o, "customer", "v", "o").select("customer", F.round("average", 4).alias("average"))
+
+
 @query("select o_custkey as customer, max_by(o_orderkey, (o_orderdate, o_orderkey)) as latest, max_by(o_orderstatus, (o_orderdate, o_orderkey)) as status from orders group by 1")
 def doc_versions_latest(spark, d):
     o = tables.read(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderstatus", F.struct("o_orderdate", "o_orderkey").alias("v"))
@@ -484,6 +491,12 @@ def connected_components(spark, d):
     return graph.communities(tables.edges(spark, d).where("src like 'supplier:%'")).select("id", "community")
 
 
+@query()
+def connected_components_all(spark, d):
+    """``connected_components`` over every edge: customers and regions too."""
+    return graph.communities(tables.edges(spark, d)).select("id", "community")
+
+
 @query("""with e as (select distinct c_nationkey as id, c_mktsegment as kind from customer)
 select cast(a.id as bigint) as a, cast(b.id as bigint) as b, count(*) as shared from e a join e b on a.kind = b.kind where a.id <> b.id group by 1, 2""")
 def similar_structural(spark, d):
@@ -564,8 +577,7 @@ def image_refs(spark, d):
 
 @query()
 def cooccurrence(spark, d):
-    ev = tables.docs(spark, d).where("id < 200").select("id", F.concat_ws(" ", "content", F.lit("runs on AWS with Docker and the API")).alias("content"))
-    return extract.cooccurrence(ev).select("id", "a", "b", "count", r6("confidence").alias("confidence"))
+    return extract.cooccurrence(tables.docs(spark, d)).select("id", "a", "b", "count", r6("confidence").alias("confidence"))
 
 
 # Rules and validation
