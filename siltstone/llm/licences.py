@@ -7,9 +7,11 @@ scrambled notices as unknowns. Held-out examples fit a temperature, so that prob
 (also of unknown) are calibrated. A prediction counts as confirmed if enough of one of the
 family's templates stands in the paragraph.
 
-Scanning is one narrow pass. A paragraph is a run of adjacent lines that each hold a content
-word of the notices, so wrapped notices are read whole; other lines have no feature and are
-unknown by the model's bias alone.
+Scanning is one narrow pass. Windows are judged wherever enough bigrams of a template stand
+close together, in whatever lines, so each of several notices, a notice within a long line
+and a wrapped one is a row of its own. What no window covers is judged as paragraphs: runs of
+adjacent lines that each hold a content word of the notices; other lines have no feature and
+are unknown by the model's bias alone.
 """
 
 from __future__ import annotations
@@ -84,11 +86,11 @@ MOST_UNKNOWNS, VARIANTS = 1500, 24
 #: Least probability of a family, and the least share of a template's bigrams that confirms it.
 LEAST, CONFIRM = 0.5, 0.75
 
-_word = re.compile(r"[^\W_]+(?:\.\d+)*").findall
+_word = re.compile(r"[^\W_]+(?:\.\d+)*")
 
 
 def words(text: str) -> list[str]:
-    return _word(text.lower())
+    return _word.findall(text.lower())
 
 
 def ngrams(w: list[str]) -> list[str]:
@@ -105,6 +107,8 @@ class Classifier:
     temperature: float
     content: frozenset[str]
     templates: list[tuple[int, frozenset[str]]]
+    notices: list[dict[tuple[str, str], int]]  # of each template the first place of each bigram
+    lengths: list[int]
 
     def probabilities(self, w: list[str]) -> np.ndarray:
         """Calibrated probability of each family, the last one unknown."""
@@ -155,7 +159,7 @@ def train(unknowns: list[str], templates: dict[str, list[str]] = TEMPLATES, vari
     loss = lambda t: -np.log(np.maximum((softmax(z / t) * y[held]).sum(axis=1), 1e-9)).mean()
     temperature = min(np.geomspace(0.25, 4, 33).tolist(), key=loss)
     content = frozenset(w for _, t in known for w in t if w not in STOP)
-    return Classifier(families, features, weights, bias, float(temperature), content, [(k, bigrams(t)) for k, t in known])
+    return Classifier(families, features, weights, bias, float(temperature), content, [(k, bigrams(t)) for k, t in known], [{b: i for i, b in reversed([*enumerate(zip(t, t[1:]))])} for _, t in known], [len(t) for _, t in known])
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
@@ -176,6 +180,34 @@ def fit(docs: DataFrame, most: int = MOST_UNKNOWNS) -> Classifier:
     return train([x for x in lines if not any(len(t & bigrams(words(x))) * 2 >= len(t) for t in grams)])
 
 
+def dense(w: list[str], model: Classifier, confirm: float, holders: dict[tuple[str, str], list[int]]) -> list[tuple[int, int, int, int, int]]:
+    """(bigrams, first, last, from, to): words first..last hold enough bigrams of a template, whose whole would reach from..to; most bigrams and shortest first."""
+    hits: dict[int, list[tuple[int, tuple[str, str]]]] = {}
+    for i, b in enumerate(zip(w, w[1:])):
+        if b in holders:
+            for t in holders[b]:
+                hits.setdefault(t, []).append((i, b))
+    out = set()
+    for t, at in hits.items():
+        places, n = model.notices[t], model.lengths[t]
+        need, reach = confirm * len(places), n + n // 3 + 2
+        if len(at) < need:
+            continue
+        left, inside = 0, {}
+        for i, b in at:
+            inside[b] = inside.get(b, 0) + 1
+            while i - at[left][0] > reach or inside[at[left][1]] > 1:
+                gone = at[left][1]
+                inside[gone] -= 1
+                if not inside[gone]:
+                    del inside[gone]
+                left += 1
+            if len(inside) >= need:
+                first, b0 = at[left]
+                out.add((len(inside), first, i + 1, max(0, min(first, first - places[b0])), min(len(w) - 1, max(i + 1, i + n - 1 - places[b]))))
+    return sorted(out, key=lambda x: (-x[0], x[2] - x[1], x[1:]))
+
+
 def paragraphs(text: str, content: frozenset[str]) -> Iterator[tuple[int, str, list[str]]]:
     """(first line, text, words) of each run of lines that hold a content word."""
     if content.isdisjoint(words(text)):
@@ -192,11 +224,11 @@ def paragraphs(text: str, content: frozenset[str]) -> Iterator[tuple[int, str, l
 
 
 def scan(docs: DataFrame, model: Classifier, least: float = LEAST, confirm: float = CONFIRM) -> DataFrame:
-    """(doc_id, line, family, probability, likeness, confirmed, paragraph): the paragraphs that are not unknown.
+    """(doc_id, line, family, probability, likeness, confirmed, paragraph): the notices and paragraphs that are not unknown.
 
-    A long paragraph is also looked at line by line, so a notice between other lines with
-    content words is found; a paragraph that is a notice as a whole is one row. Null and
-    empty texts have no paragraphs; repeated rows give repeated results.
+    Each confirmed window that overlaps no better one is a row, whose ``paragraph`` is the
+    window. Lines without such a window are judged as paragraphs and, if long, line by line.
+    Null and empty texts have no paragraphs; repeated rows give repeated results.
     """
     require(docs, ["doc_id", "text"])
     rows = docs.select(F.col("doc_id"), text_or_empty().alias("text"))
@@ -209,12 +241,45 @@ def scan(docs: DataFrame, model: Classifier, least: float = LEAST, confirm: floa
         k = int(p.argmax())
         return None if k == len(m.families) - 1 or p[k] < least else (k, float(p[k]), m.likeness(w, k))
 
+    def windows(text: str, w: list[str], holders: dict[tuple[str, str], list[int]]) -> list[tuple]:
+        """(first line, last line, family, probability, likeness, window) of the confirmed windows, in order."""
+        taken: list[tuple[int, int, tuple[int, float, float]]] = []
+        held = bytearray(len(w))
+        for _, first, last, start, end in dense(w, shared.value, confirm, holders):
+            if not any(held[first : last + 1]) and (found := judge(w[start : end + 1])) and found[2] >= confirm:
+                held[first : last + 1] = b"\1" * (last + 1 - first)
+                taken.append((first, last, found))
+        if not taken:
+            return []
+        low = text.lower()
+        spans = [x.span() for x in _word.finditer(low)]
+        text = text if len(low) == len(text) else low  # a few capitals have two small characters
+        out, at, line = [], 0, 0
+        for first, last, found in sorted(taken):
+            a, b = spans[first][0], spans[last][1]
+            line, at = line + text.count("\n", at, a), a
+            out.append((line, line + text.count("\n", a, b), *found, text[a:b]))
+        return out
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
+        holders: dict[tuple[str, str], list[int]] = {}
+        for t, places in enumerate(m.notices):
+            for b in places:
+                holders.setdefault(b, []).append(t)
         for batch in batches:
             out = []
             for r, text in enumerate(batch.column(1).to_pylist()):
-                for first, paragraph, w in paragraphs(text, m.content):
+                w = words(text)
+                if m.content.isdisjoint(w):
+                    continue
+                notices = windows(text, w, holders)
+                out += [(r, first, *found) for first, _, *found in notices]
+                rest = text
+                if notices:
+                    covered = {k for first, last, *_ in notices for k in range(first, last + 1)}
+                    rest = "\n".join("" if k in covered else line for k, line in enumerate(text.split("\n")))
+                for first, paragraph, w in paragraphs(rest, m.content):
                     lines = paragraph.split("\n")
                     whole = judge(w)
                     if whole and (whole[2] >= confirm or len(lines) == 1):
