@@ -1,14 +1,16 @@
 """State by key: the exact rate limit, caches with age and size, and tiered memory.
 
-Streams keep state in ``applyInPandasWithState``; the batch forms are folds over each key's
-rows in order, or windows where the rule allows it.
+Streams keep state in ``applyInPandasWithState``; the batch forms are folds over sorted
+streams of rows, or windows where the rule allows it.
 """
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -25,14 +27,33 @@ def admitted(times: list[float], kept: list[float], most: int, seconds: float) -
 
 
 def rate_limit(calls: DataFrame, most: int = 100, seconds: int = 60) -> DataFrame:
-    """(client, id, at, allowed) for calls (client, id, at double): a client's calls are folded in order."""
+    """(client, id, at, allowed) for calls (client, id, at double): a client's calls are folded in order.
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["at", "id"], kind="stable")
-        return pdf.assign(allowed=admitted(pdf["at"].tolist(), [], most, seconds)[0])[["client", "id", "at", "allowed"]]
+    After a gap of ``seconds`` nothing is recorded, so stretches between gaps are dealt out
+    apart. Each is read as a sorted stream that keeps its last ``most`` admitted times only.
+    """
+    w = Window.partitionBy("client").orderBy(F.asc_nulls_last("at"), "id")
+    gap = F.coalesce(F.col("at") - F.lag("at").over(w) >= seconds, F.lit(True))
+    begun = calls.select("client", "id", F.col("at").cast("double").alias("at")).withColumn("begins", gap)
+    dealt = begun.withColumn("stretch", F.sum(F.col("begins").cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0))).repartition("client", "stretch")
+    rows = dealt.sortWithinPartitions("client", "stretch", F.desc("begins"), F.asc_nulls_last("at"), "id")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: deque[float] = deque()
+        for batch in batches:
+            passed = []
+            for t, begins in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                if begins:
+                    kept.clear()
+                while kept and t - kept[0] >= seconds:
+                    kept.popleft()
+                passed.append(len(kept) < most)
+                if passed[-1]:
+                    kept.append(t)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(passed, pa.bool_())], names=["client", "id", "at", "allowed"])
 
     kinds = dict(calls.dtypes)
-    return calls.select("client", "id", "at").groupBy("client").applyInPandas(fold, f"client {kinds['client']}, id {kinds['id']}, at double, allowed boolean")
+    return rows.select("client", "id", "at", "begins").mapInArrow(fold, f"client {kinds['client']}, id {kinds['id']}, at double, allowed boolean")
 
 
 def rate_limit_stream(calls: DataFrame, most: int = 100, seconds: int = 60, forget: bool = True) -> DataFrame:
