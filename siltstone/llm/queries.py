@@ -31,7 +31,7 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dartminhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id", "n_shingles")
+    return dartminhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), weight="count").select("doc_id", "class_id", "n_shingles")
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

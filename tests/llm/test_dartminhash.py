@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -7,10 +8,12 @@ from pyspark.sql import functions as F
 from siltstone.llm import dartminhash as dm
 
 
-def brute_classes(rows, least=dm.LEAST):
+def brute_classes(rows, least=dm.LEAST, weight="set"):
     """Smallest doc_id of each component of the graph of similar texts."""
     known = dm.WordHashes()
-    sets = [frozenset(dm.shingle_hashes(t or "", dm.WORDS, known).tolist()) for _, t in rows]
+    sets = [Counter(dm.shingle_hashes(t or "", dm.WORDS, known).tolist()) for _, t in rows]
+    if weight == "set":
+        sets = [Counter(s.keys()) for s in sets]
     root = list(range(len(rows)))
 
     def find(i):
@@ -21,7 +24,7 @@ def brute_classes(rows, least=dm.LEAST):
     for i in range(len(rows)):
         for j in range(i):
             a, b = sets[i], sets[j]
-            if a == b or len(a & b) >= least * len(a | b):
+            if a == b or (a & b).total() >= least * (a | b).total():
                 root[find(i)] = find(j)
     low = {}
     for k, (d, _) in enumerate(rows):
@@ -78,5 +81,16 @@ def test_blocks_find_what_stars_miss(spark, monkeypatch):
     assert got == brute_classes(rows)
 
 
+def test_repeats_weigh_in_the_query(spark):
+    """Texts with the same shingles, repeated differently, are apart by count only; a row repeated whole is one document."""
+    body = " ".join(f"w{k}" for k in range(40))
+    rows = near_copies(3, groups=2) + [(900, body), (901, body + " " + " ".join([" ".join(f"w{k}" for k in range(12))] * 30)), (902, body + " x"), (902, body + " x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r["doc_id"], r["class_id"]) for r in dm.near_duplicates(df, weight="count").collect()), key=repr)
+    assert got == brute_classes(rows, weight="count") and (901, 901) in got and got.count((902, 900)) == 2
+    assert sorted(r["doc_id"] for r in dm.keep_one(df, weight="count").collect()) == sorted({c for _, c in got})
+
+
 def test_empty_table(spark):
-    assert dm.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    assert dm.near_duplicates(empty).count() == 0 and dm.keep_one(empty).count() == 0
