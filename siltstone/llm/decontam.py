@@ -1,13 +1,16 @@
 """Benchmark decontamination by canonical templates, with DataFrame functions only.
 
-Numbers, names and units become typed slots that keep their values. Windows of eight tokens,
-hashed with the slots' types in place of their values, are joined to the windows of the
-benchmark items. Along each alignment of an item with a document the slots must map one to
-one onto the item's: a question with other numbers or names put in consistently is caught,
-and a chance likeness whose slots contradict each other is not.
+Numbers (in figures and words), names and units become typed slots that keep their values; a
+name is any capitalised word but the function words. Windows of eight tokens, hashed with the
+slots' types in place of their values, are joined to the windows of the benchmark items,
+which stand there once with names as slots and once as words, for texts in one case only.
+Along each alignment of an item with a document each value of the item must stand for one
+value of the document: a question with other numbers or names put in consistently is caught,
+and a chance likeness whose slots contradict each other is not. Windows of which more than
+half are slots, and short items, must agree in the values too.
 
 Documents are only scanned and expanded; the shuffles carry matched windows alone. The
-windows of the benchmark are broadcast if there are at most ``MOST_BROADCAST`` of them and
+windows of the benchmark are broadcast if they take at most ``MOST_BROADCAST`` bytes and
 joined by shuffle otherwise.
 """
 
@@ -17,10 +20,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from siltstone.llm.shared import materialise, require, text_or_empty
 
-#: Tokens a window, the least that an item must have to be searched, and the share of an item's windows that counts as a leak.
-WINDOW, SHORTEST, COVERAGE = 8, 5, 0.5
-#: Rows of benchmark windows (about 100 bytes each), or ids of leaks, that may be broadcast.
-MOST_BROADCAST = 500_000
+#: Tokens a window, and what counts as a leak: this share of an item's windows, or this many tokens in a row.
+WINDOW, COVERAGE, RUN = 8, 0.5, 13
+#: Items of fewer tokens are found whole and with equal values only.
+SHORTEST = 5
+#: Bytes of benchmark windows that may be broadcast.
+MOST_BROADCAST = 64 << 20
+#: Capitalised words that are no names, and number words (fixed values).
+FUNCTION_WORDS = "a|about|after|all|also|although|am|an|and|any|are|as|at|be|because|been|before|but|by|can|could|did|do|does|each|every|find|for|from|had|has|have|he|her|his|how|i|if|in|is|it|its|let|many|may|more|most|much|my|no|not|now|of|on|or|our|she|should|since|so|some|than|that|the|their|then|there|these|they|this|those|to|was|we|were|what|when|where|which|while|who|why|will|with|would|you|your"
+NUMBER_WORDS = "one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|thirteen|fourteen|fifteen|sixteen|seventeen|eighteen|nineteen|twenty|thirty|forty|fifty|sixty|seventy|eighty|ninety|hundred|thousand|million|dozen"
 #: Units of measurement (fixed values).
 UNITS = "mm|cm|km|kg|mg|ml|m|g|l|s|h|min|hours?|minutes?|seconds?|days?|weeks?|months?|years?|meters?|metres?|kilometers?|kilometres?|miles?|feet|foot|inch(?:es)?|yards?|grams?|kilograms?|pounds?|lbs?|oz|ounces?|liters?|litres?|gallons?|dollars?|cents?|euros?|percent|degrees?|mph|kmh"
 #: Private letters that open the tokens of slots: number, name, unit.
@@ -31,21 +39,35 @@ _FIGURE = r"\p{Nd}+(?:[.,:]\p{Nd}+)*"
 def tokens(text: Column) -> Column:
     """Lower-case words in order; slots are a private letter with the value after it.
 
-    A name is a capitalised word within a sentence (after a small letter, comma, semicolon
-    and space); a unit stands after a number.
+    A name is a capitalised word that is no function word, wherever it stands; an apostrophe
+    between capitals belongs to it. Words of capitals only are none beside each other. A unit
+    stands after a number.
     """
-    t = F.regexp_replace(text, "[-]", " ")
-    t = F.regexp_replace(t, r"(?<=[\p{Ll},;] )\p{Lu}\p{Ll}+(?![\p{L}\p{N}])", f" {NAME}$0 ")
-    t = F.when(F.rlike(t, F.lit(r"\p{Nd}")), F.regexp_replace(F.regexp_replace(F.regexp_replace(t, rf"(?i)({_FIGURE})\s?({UNITS})(?![\p{{L}}\p{{N}}])", f"$1 {UNIT}$2 "), r"(?<=\p{Nd})[.,:](?=\p{Nd})", ""), r"(?<![\p{L}\p{N}-])\p{Nd}[\p{Nd}]*", f"{NUMBER}$0")).otherwise(t)
-    return F.array_remove(F.split(F.lower(t), "[^\\p{L}\\p{N}-]+"), "")
+    end, gap = r"(?![\p{L}\p{N}])", r"[^\p{L}\p{N}]{1,4}"
+    mixed = rf"\p{{Lu}}(?!\p{{Lu}}*{end})\p{{L}}+{end}"
+    capitals = rf"(?<!\p{{Lu}}\p{{Lu}}{gap})\p{{Lu}}+{end}(?!{gap}\p{{Lu}}\p{{Lu}})"
+    start = rf"(?<![\p{{L}}\p{{N}}{NUMBER}-{UNIT}])"
+    t = F.regexp_replace(text, f"[{NUMBER}-{UNIT}]", " ")
+    t = F.regexp_replace(t, r"['’](?<=\p{Lu}.)(?=\p{Lu})", "")
+    t = F.regexp_replace(t, rf"{start}(?=\p{{Lu}})(?!(?i:{FUNCTION_WORDS}){end})(?:{mixed}|{capitals})", f"{NAME}$0")
+
+    def figures(x: Column) -> Column:
+        x = F.regexp_replace(x, rf"(?i)({_FIGURE})\s?({UNITS}){end}", f"$1 {UNIT}$2 ")
+        return F.regexp_replace(F.regexp_replace(x, r"(?<=\p{Nd})[.,:](?=\p{Nd})", ""), rf"{start}\p{{Nd}}+", f"{NUMBER}$0")
+
+    # a lambda's argument is computed once, however often it is used
+    t = F.transform(F.array(t), lambda x: F.when(F.rlike(x, F.lit(r"\p{Nd}")), figures(x)).otherwise(x))[0]
+    return F.array_remove(F.split(F.lower(t), rf"[^\p{{L}}\p{{N}}{NUMBER}-{UNIT}]+"), "")
 
 
 def is_slot(token: Column) -> Column:
-    return (token >= NUMBER) & (token < "")
+    return ((token >= NUMBER) & (token <= f"{UNIT}\U0010ffff")) | token.isin(NUMBER_WORDS.split("|"))
 
 
-def token_hashes(words: Column) -> Column:
-    return F.transform(words, lambda x: F.xxhash64(F.when(is_slot(x), F.left(x, F.lit(1))).otherwise(x)))
+def token_hashes(words: Column, names: bool) -> Column:
+    """Hashes of the tokens, by type for slots; ``names`` tells whether names are slots too."""
+    kind = lambda x: F.when(x < NUMBER, F.when(x.isin(NUMBER_WORDS.split("|")), NUMBER).otherwise(x)).when(x <= f"{UNIT}\U0010ffff", F.left(x, F.lit(1)) if names else F.when(F.startswith(x, F.lit(NAME)), F.substring(x, 2, 1 << 30)).otherwise(F.left(x, F.lit(1)))).otherwise(x)
+    return F.transform(words, lambda x: F.xxhash64(kind(x)))
 
 
 def window_hashes(hashes: Column, length: int) -> Column:
@@ -64,58 +86,87 @@ def window_hashes(hashes: Column, length: int) -> Column:
     return F.slice(out, 1, F.greatest(F.size(hashes) - (length - 1), F.lit(0)))
 
 
-def windows(rows: DataFrame, lengths: list[int]) -> DataFrame:
-    """Adds ``len``, ``pos`` and ``h`` for each window of ``toks``, for each length."""
-    hashed = rows.withColumn("_th", token_hashes(F.col("toks")))
-    many = F.array(*(F.struct(F.lit(n).alias("len"), window_hashes(F.col("_th"), n).alias("hs")) for n in lengths)) if len(lengths) > 1 else None
-    if many is None:
-        return hashed.select(*rows.columns, F.lit(lengths[0]).alias("len"), F.posexplode(window_hashes(F.col("_th"), lengths[0])).alias("pos", "h"))
-    opened = hashed.select(*rows.columns, F.explode(many).alias("_w"))
-    return opened.select(*rows.columns, F.col("_w.len").alias("len"), F.posexplode("_w.hs").alias("pos", "h"))
+def windows(rows: DataFrame, lengths: list[int], names: bool = True) -> DataFrame:
+    """Adds ``len``, ``pos`` and ``h`` for each window of ``toks``, for each length.
+
+    Hashes are a column before they are opened, so that opening copies no tokens; the outer
+    form keeps Spark from computing them again in a filter. ``h`` is null where there is none.
+    """
+    hashed = rows.withColumn("_th", token_hashes(F.col("toks"), names))
+    hashed = hashed.select(*rows.columns, *(window_hashes(F.col("_th"), n).alias(f"_h{n}") for n in lengths))
+    if len(lengths) > 1:
+        hashed = hashed.select(*rows.columns, F.explode(F.array(*(F.struct(F.lit(n).alias("len"), F.col(f"_h{n}").alias("hs")) for n in lengths))).alias("_w"))
+        hashed = hashed.select(*rows.columns, F.col("_w.len").alias("len"), F.col("_w.hs").alias("hs"))
+    else:
+        hashed = hashed.select(*rows.columns, F.lit(lengths[0]).alias("len"), F.col(f"_h{lengths[0]}").alias("hs"))
+    return hashed.select(*rows.columns, "len", F.posexplode_outer("hs").alias("pos", "h"))
+
+
+def slot_pairs(item: Column, doc: Column) -> Column:
+    """(i, d): the values at the slots of an item's window and at the same places of the document's."""
+    value = lambda x: F.when(F.startswith(x, F.lit(NAME)), F.substring(x, 2, 1 << 30)).otherwise(x)
+    both = F.filter(F.arrays_zip(item.alias("i"), doc.alias("d")), lambda p: is_slot(p["i"]))
+    return F.transform(both, lambda p: F.struct(value(p["i"]).alias("i"), value(p["d"]).alias("d")))
+
+
+def longest_run(places: Column) -> Column:
+    """The most consecutive numbers in an array of distinct ones."""
+    start = F.struct(F.lit(-2).alias("last"), F.lit(0).alias("n"), F.lit(0).alias("best"))
 
+    def step(a: Column, p: Column) -> Column:
+        n = F.when(p == a["last"] + 1, a["n"] + 1).otherwise(1)
+        return F.struct(p.alias("last"), n.alias("n"), F.greatest(a["best"], n).alias("best"))
 
-def slot_values(words: Column, pos: Column, length: Column) -> Column:
-    return F.filter(F.slice(words, pos + 1, length), is_slot)
+    return F.aggregate(F.array_sort(places), start, step, lambda a: a["best"])
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
-    """One row for each leak: doc_id, item_id, ``matched`` and ``windows`` (longs), ``coverage``, ``slots`` (distinct ones compared) and ``reparameterised``.
+def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE, run: int = RUN) -> DataFrame:
+    """One row for each leak: doc_id, item_id, ``matched`` and ``windows`` (longs), ``coverage``, ``run`` (tokens in a row, long), ``slots`` (distinct ones compared) and ``reparameterised``.
 
     An item leaks into a document if at least the share ``coverage`` of the item's distinct
-    window places occur there along alignments whose slots are consistent; windows without
-    slots count in any case. Items of fewer tokens than ``window`` are searched whole, those
-    of fewer than ``SHORTEST`` (null and empty ones too) not at all. Null texts are empty.
-    Rows with equal doc_id (nulls too) are judged together, items with equal item_id too.
+    window places, or ``run`` tokens in a row, occur there along alignments whose slots are
+    consistent; windows without slots count in any case. Items of fewer tokens than
+    ``window`` are searched whole, those of fewer than ``SHORTEST`` with equal values; null
+    texts are empty and items without a word are not searched. Rows with equal doc_id (nulls
+    too) are judged together, items with equal item_id too.
     """
     require(docs, ["doc_id", "text"])
     require(benchmark, ["item_id", "text"])
-    items = benchmark.select("item_id", tokens(text_or_empty()).alias("toks")).withColumn("n", F.size("toks")).where(F.col("n") >= SHORTEST)
-    short = sorted(r["n"] for r in items.where(F.col("n") < window).select("n").distinct().collect())  # at most window - SHORTEST numbers
+    items = benchmark.select("item_id", tokens(text_or_empty()).alias("toks")).withColumn("n", F.size("toks")).where("n > 0")
+    short = sorted(r["n"] for r in items.where(F.col("n") < window).select("n").distinct().collect())  # fewer than window numbers
     lengths = [*short, window]
-    wanted = windows(items, lengths).where(F.col("len") == F.least("n", F.lit(window)))
-    wanted = materialise(wanted.select("item_id", "len", F.col("pos").alias("item_pos"), "h", F.greatest(F.col("n") - window + 1, F.lit(1)).alias("windows"), slot_values(F.col("toks"), F.col("pos"), F.col("len")).alias("item_slots")), "leak-windows")
-    found = windows(docs.select("doc_id", tokens(text_or_empty()).alias("toks")), lengths)
-    right = F.broadcast(wanted) if wanted.count() <= MOST_BROADCAST else wanted
-    hits = found.join(right, ["len", "h"]).select("doc_id", "item_id", "windows", "item_pos", (F.col("pos") - F.col("item_pos")).alias("shift"), F.arrays_zip(F.col("item_slots").alias("i"), slot_values(F.col("toks"), F.col("pos"), F.col("len")).alias("d")).alias("pairs"))
-    lines = hits.groupBy("doc_id", "item_id", "windows", "shift").agg(
-        F.collect_set("item_pos").alias("places"),
+    wanted = windows(items, lengths).unionByName(windows(items, lengths, False)).where(F.col("h").isNotNull() & (F.col("len") == F.least("n", F.lit(window))))
+    item_toks = F.slice("toks", F.col("pos") + 1, F.col("len"))
+    wanted = wanted.select("item_id", "len", F.col("pos").alias("item_pos"), "h", F.greatest(F.col("n") - window + 1, F.lit(1)).alias("windows"), item_toks.alias("item_toks")).distinct()
+    wanted = materialise(wanted.withColumn("equal", (F.size(F.filter("item_toks", is_slot)) * 2 > F.col("len")) | (F.col("len") < SHORTEST)), "leak-windows")
+    found = windows(docs.select("doc_id", tokens(text_or_empty()).alias("toks")), lengths).withColumnsRenamed({"len": "dlen", "h": "dh"})
+    size = wanted.agg(F.sum(64 + F.octet_length(F.array_join("item_toks", " ")) + F.octet_length(F.col("item_id").cast("string")))).first()[0] or 0
+    right = F.broadcast(wanted) if size <= MOST_BROADCAST else wanted
+    pairs = slot_pairs(F.col("item_toks"), F.slice("toks", F.col("pos") + 1, F.col("dlen")))
+    hits = found.join(right, (F.col("dlen") == F.col("len")) & (F.col("dh") == F.col("h")))
+    hits = hits.select("doc_id", "item_id", "windows", "len", "item_pos", "equal", (F.col("pos") - F.col("item_pos")).alias("shift"), pairs.alias("pairs"))
+    # a condition here and not a filter, which Spark would move into the join and so copy tokens for every window
+    counts = ~(F.col("equal") & F.exists("pairs", lambda p: p["i"] != p["d"]))
+    lines = hits.groupBy("doc_id", "item_id", "windows", "len", "shift").agg(
+        F.collect_set(F.when(counts, F.col("item_pos"))).alias("places"),
         F.collect_set(F.when(F.size("pairs") == 0, F.col("item_pos"))).alias("plain"),
-        F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"),
+        F.array_distinct(F.flatten(F.collect_set(F.when(counts, F.col("pairs"))))).alias("pairs"),
     )
-    one = lambda name: F.size(F.array_distinct(F.transform("pairs", lambda p: p[name]))) == F.size("pairs")
-    judged = lines.select("doc_id", "item_id", "windows", F.when(one("i") & one("d"), F.col("places")).otherwise(F.col("plain")).alias("places"), "pairs", (one("i") & one("d")).alias("agree"))
+    agree = F.size(F.array_distinct(F.transform("pairs", lambda p: p["i"]))) == F.size("pairs")
+    judged = lines.select("doc_id", "item_id", "windows", "len", F.when(agree, F.col("places")).otherwise(F.col("plain")).alias("places"), "pairs", agree.alias("agree"))
+    rows = F.when(F.size("places") > 0, longest_run(F.col("places")) + F.col("len") - 1).otherwise(0)
     leaks = judged.groupBy("doc_id", "item_id").agg(
         F.max("windows").cast("long").alias("windows"),
         F.size(F.array_distinct(F.flatten(F.collect_set("places")))).cast("long").alias("matched"),
+        F.max(rows).cast("long").alias("run"),
         F.max(F.when(F.col("agree"), F.size("pairs")).otherwise(0)).cast("long").alias("slots"),
         F.max(F.col("agree") & F.exists("pairs", lambda p: p["i"] != p["d"])).alias("reparameterised"),
     )
     share = F.col("matched") / F.col("windows")
-    return leaks.where(share >= coverage).select("doc_id", "item_id", "matched", "windows", share.alias("coverage"), "slots", "reparameterised")
+    return leaks.where((share >= coverage) | (F.col("run") >= run)).select("doc_id", "item_id", "matched", "windows", share.alias("coverage"), "run", "slots", "reparameterised")
 
 
-def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
-    """The rows of ``docs`` into which no item leaks; all columns stay."""
-    leaks = materialise(contaminated(docs, benchmark, window, coverage).select(F.col("doc_id").alias("_leak")).distinct(), "leaks")
-    right = F.broadcast(leaks) if leaks.count() <= MOST_BROADCAST else leaks
-    return docs.join(right, F.col("doc_id").eqNullSafe(F.col("_leak")), "left_anti")
+def clean_documents(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` into which no item leaks; all columns stay. Spark chooses the join by the size of the leaks."""
+    leaks = materialise(contaminated(docs, benchmark, **options).select(F.col("doc_id").alias("_leak")).distinct(), "leaks")
+    return docs.join(leaks, F.col("doc_id").eqNullSafe(F.col("_leak")), "left_anti")
