@@ -1,17 +1,18 @@
-"""Line dedup: repeated runs of lines, and repeated chunks of lines.
+"""Line dedup: content-defined chunks of lines that stand elsewhere too.
 
-``dedup_runs`` finds every run of two lines or more that stands elsewhere too, wherever it
-begins and ends: each pair of adjacent lines and each line of over 50 words is a window, and
-the lines of every window that also stands at an earlier place are removed. Places are ordered
-by doc_id, text hash and line, so the first place of every line is always kept. Windows are
-grouped by their SHA-256.
+A rolling hash over the hashes of the last two lines chooses chunk borders, so borders shift
+with the content. Chunks of two lines or more are grouped by their hash and bytes; a chunk
+that occurs again stays in one place (``dedup_lines``).
 
-``dedup_lines`` removes whole chunks only: a rolling hash over the hashes of the last two lines
-chooses chunk borders, and a chunk that occurs again is kept in one place. A repeated run that
-is not cut alike in both places is left, which loses most short runs.
+``dedup_runs`` then completes what the borders missed, since a repeated run need not be cut
+alike in both places: where chunks left a line, each pair of adjacent lines and each line of
+over 50 words is a window, and the lines of every window that also stands at an earlier place
+go too. So every repeated run of two lines or more goes, wherever it begins and ends. Places
+are ordered by doc_id, text hash and line, and the first place of every line is kept. Windows
+are grouped by their SHA-256.
 
 Grouping is partially aggregated, so a window that a third of all documents hold costs a row
-a task; the two joins are between plain scans, whose hot keys Spark can split.
+a task; the joins are between plain scans, whose hot keys Spark can split.
 """
 
 from __future__ import annotations
@@ -54,30 +55,32 @@ def chunks(text: str, every: int = EVERY, least: int = LEAST) -> list[tuple[int,
 
 
 def chunk_rows(rows: DataFrame, with_text: bool, every: int, least: int) -> DataFrame:
-    """A row for each chunk of ``least`` lines with a visible character; rows: key, row, text."""
+    """A row for each chunk of ``least`` lines with a visible character: its place and hash, and its text if wanted; rows: key, row, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for a in range(0, len(whole), 2000):
-                batch, cols = whole.slice(a, 2000), [[] for _ in range(6)]
+                batch, cols = whole.slice(a, 2000), [[] for _ in range(7)]
                 texts = batch.column(2).to_pylist()
                 for r, text in enumerate(texts):
                     seen: set[bytes] = set()
+                    line = 0
                     for start, end, n in chunks(text, every, least):
                         part = text[start:end].removesuffix("\n")
                         if n >= least and not part.isspace():
                             digest = xxhash.xxh3_128_digest(part.encode())
-                            for col, v in zip(cols, (r, start, end, n, digest not in seen, digest if not with_text else (digest, part))):
+                            for col, v in zip(cols, (r, line, start, end, n, digest not in seen, digest if not with_text else (digest, part))):
                                 col.append(v)
                             seen.add(digest)
+                        line += n
                 at = pa.array(cols[0], pa.int32())
-                found = [batch.column(0).take(at), batch.column(1).take(at), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32()), pa.array(cols[4], pa.bool_())]
+                place = [batch.column(0).take(at), batch.column(1).take(at), pa.array(cols[1], pa.int32())]
                 if with_text:
-                    yield pa.RecordBatch.from_arrays([found[0], pa.array([d for d, _ in cols[5]], pa.binary()), pa.array([t for _, t in cols[5]], pa.string())], names=["key", "h", "chunk"])
+                    yield pa.RecordBatch.from_arrays([*place, pa.array([d for d, _ in cols[6]], pa.binary()), pa.array([t for _, t in cols[6]], pa.string())], names=["key", "row", "line", "h", "chunk"])
                 else:
-                    yield pa.RecordBatch.from_arrays([*found, pa.array(cols[5], pa.binary())], names=["key", "row", "start", "end", "n", "first", "h"])
+                    yield pa.RecordBatch.from_arrays([*place, *(pa.array(c, pa.int32()) for c in cols[2:5]), pa.array(cols[5], pa.bool_()), pa.array(cols[6], pa.binary())], names=["key", "row", "line", "start", "end", "n", "first", "h"])
 
-    return rows.mapInArrow(run, "key long, h binary, chunk string" if with_text else "key long, row long, start int, end int, n int, first boolean, h binary")
+    return rows.mapInArrow(run, "key long, row long, line int, h binary, chunk string" if with_text else "key long, row long, line int, start int, end int, n int, first boolean, h binary")
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -140,22 +143,31 @@ def united(found: DataFrame) -> DataFrame:
     return held.mapInArrow(run, "key long, row long, _spans array<struct<start: int, end: int, n: int>>")
 
 
-def dedup_runs(docs: DataFrame, least: int = LEAST, long: int = LONG) -> DataFrame:
-    """All rows of ``docs`` without the lines of repeated runs in ``text``, and counts as in ``dedup_lines``.
+def dedup_runs(docs: DataFrame, every: int = EVERY, least: int = LEAST, long: int = LONG) -> DataFrame:
+    """All rows of ``docs`` without the lines of repeated chunks and runs in ``text``, and counts as in ``dedup_lines``.
 
-    A line goes if a run of ``least`` lines that holds it, or the line itself if it has over
-    ``long`` words, also stands at an earlier place; ``n_removed_chunks`` counts the stretches
-    that go. The first place of a line stays, but what stays of a run can be in several places
-    where runs overlap. Shorter lines that are repeated alone stay, and so do runs of white
-    space. Null, empty and equal rows are treated as in ``dedup_lines``; rows with one doc_id
-    and different texts are documents of their own.
+    A line goes if a chunk or a run of ``least`` lines that holds it, or the line itself if it
+    has over ``long`` words, also stands at an earlier place; ``n_removed_chunks`` counts the
+    stretches that go. The first place of a line stays, but what stays of a run can be in
+    several places where runs overlap. Shorter lines that are repeated alone stay, and so do
+    runs of white space. Null, empty and equal rows are treated as in ``dedup_lines``; rows
+    with one doc_id and different texts are documents of their own.
     """
     require(docs, ["doc_id", "text"])
     docs = docs.drop(*ADDED)
-    place = F.struct("key", "row", "line")
-    all_windows = materialise(window_rows(keyed(docs), least, long), "lines-windows")
-    repeated = materialise(all_windows.groupBy("h").agg(F.count("*").alias("times"), F.min(place).alias("owner")).where("times > 1").select("h", "owner"), "lines-repeated")
-    return cut(docs, materialise(united(all_windows.join(repeated, "h").where(place != F.col("owner"))), "lines-spans"))
+    rows, place = keyed(docs), F.struct("key", "row", "line")
+    columns = ["key", "row", "line", "n", "start", "end"]
+    same = chunk_rows(rows, True, every, least).groupBy("h", "chunk").agg(F.count("*").alias("times"), F.min(place).alias("owner"))
+    repeated = materialise(same.groupBy("h").agg(F.sum("times").alias("times"), F.min("owner").alias("owner"), F.count("*").alias("texts")).where("times > 1 and texts = 1").select("h", "owner"), "lines-repeated")
+    gone = materialise(chunk_rows(rows, False, every, least).join(repeated, "h").where(place != F.col("owner")).select(*columns), "lines-gone")
+
+    held = gone.groupBy("key", "row").agg(F.collect_set(F.struct("line", "n")).alias("_gone"))
+    inside = F.exists("_gone", lambda c: (c["line"] <= F.col("line")) & (F.col("line") + F.col("n") <= c["line"] + c["n"]))
+    left = window_rows(rows, least, long).join(held, ["key", "row"], "left").where(F.coalesce(~inside, F.lit(True))).drop("_gone")
+    left = materialise(left, "lines-windows")
+    again = materialise(left.groupBy("h").agg(F.count("*").alias("times"), F.min(place).alias("owner")).where("times > 1").select("h", "owner"), "lines-again")
+    more = left.join(again, "h").where(place != F.col("owner")).select(*columns)
+    return cut(docs, materialise(united(gone.unionByName(more)), "lines-spans"))
 
 
 def dedup_lines(docs: DataFrame, every: int = EVERY, least: int = LEAST) -> DataFrame:

@@ -2,7 +2,7 @@ import regex
 
 import corpus_pipeline
 from siltstone.llm import bpe
-from tests.llm import test_decontam, test_lines
+from tests.llm import test_decontam, test_runs
 from tests.llm.test_dartminhash import brute_classes
 from tokenizers import Tokenizer
 
@@ -14,10 +14,10 @@ def test_equals_brute_force(spark):
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
     got = {r["doc_id"]: r["n_tokens"] for r in corpus_pipeline.run(spark, folder).collect()}
     rows = [(d, t) for d, t in rows if t and regex.search(r"\p{L}", t)]
-    rows = [(d, t) for d, t, gone in test_lines.brute(rows) if not gone or t.strip()]
+    rows = [(d, t) for d, t, gone in test_runs.brute(rows) if not gone or t.strip()]
     low = {d: c for d, c in brute_classes(rows)}
     rows = [(d, t) for d, t in rows if low[d] == d]
-    leaks = {d for d, _, _ in test_decontam.brute(rows, items)}
+    leaks = {d for d, *_ in test_decontam.brute(rows, items)}
     library = Tokenizer.from_file(bpe.VOCABULARY)
     assert got == {d: len(library.encode(t, add_special_tokens=False).ids) for d, t in rows if d not in leaks}
 
