@@ -32,7 +32,7 @@ def base32_sha1(payload: Column) -> Column:
 
 @dataclass
 class Archive:
-    """payloads: digest, first_id, payload (once each); headers: one row a record."""
+    """payloads: digest, first_id, payload (once each); headers: page_id, digest of the full payload and the exact header of each record."""
 
     payloads: DataFrame
     headers: DataFrame
@@ -58,7 +58,7 @@ def write_archive(pages: DataFrame, least: int = 0, id_col: str = "page_id", url
     payloads = materialise(held.dropDuplicates(["place", "digest"]).select("digest", F.col("page_id").alias("first_id"), "payload"), "warc-payloads")
     marked = index.join(payloads.select("digest", "first_id"), "digest")
     revisit = (F.col("n_bytes") >= least) & ~F.col("page_id").eqNullSafe(F.col("first_id"))
-    headers = marked.select("page_id", "digest", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("first_id")).alias("refers_to"), header(revisit).alias("header"))
+    headers = marked.select("page_id", "digest", header(revisit).alias("header"))
     return Archive(payloads, materialise(headers, "warc-headers"))
 
 
@@ -82,15 +82,30 @@ def verified(archive: Archive) -> DataFrame:
     return archive.payloads.select(F.when(again == F.col("digest"), F.col("digest")).otherwise(F.raise_error(F.concat(F.lit("stored bytes differ from their digest "), F.col("digest")))).alias("digest"), "payload", F.octet_length("payload").cast("long").alias("payload_bytes"), base32_sha1(F.col("payload")).alias("payload_digest"))
 
 
+def records(archive: Archive) -> DataFrame:
+    """Headers joined to the payloads read back, and what the header bytes say: record_type, record_id, refers (a record id).
+
+    A header whose payload digest or length is not that of the stored bytes fails the job.
+    """
+    field = lambda name: F.regexp_extract("_head", rf"\r\n{name}: ([^\r\n]*)\r\n", 1)
+    read = archive.headers.withColumn("_head", F.decode("header", "UTF-8")).select("page_id", "digest", "header", field("WARC-Type").alias("record_type"), field("WARC-Record-ID").alias("record_id"), field("WARC-Refers-To").alias("refers"), field("WARC-Payload-Digest").alias("said"), field("Content-Length").try_cast("long").alias("length"))
+    both = read.join(verified(archive), "digest")
+    right = (F.col("said") == F.concat(F.lit("sha1:"), F.col("payload_digest"))) & (F.col("length") == F.when(F.col("record_type") == "revisit", 0).otherwise(F.col("payload_bytes"))) & F.col("record_type").isin("response", "revisit")
+    checked = F.when(right, F.col("record_type")).otherwise(F.raise_error(F.concat(F.lit("a header differs from its payload: "), F.col("record_id"))))
+    return both.withColumn("record_type", checked).drop("said", "length")
+
+
 def read_archive(archive: Archive) -> DataFrame:
-    """One row a record, with size and digest of the full payload as read back."""
-    return archive.headers.drop("header").join(verified(archive).drop("payload"), "digest").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    """One row a record, from headers and payloads as read back; ``refers_to`` is the page of the record that a revisit names."""
+    read = materialise(records(archive).drop("payload", "header", "digest"), "warc-read")
+    named = read.groupBy("record_id").agg(F.min("page_id").alias("refers_to")).withColumnRenamed("record_id", "refers")
+    return read.join(named, "refers", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def reconstruct_records(archive: Archive) -> DataFrame:
     """Every record's bytes as in a WARC file, and the full payload also for revisits."""
     body = F.when(F.col("record_type") == "revisit", F.lit(b"")).otherwise(F.col("payload"))
-    return archive.headers.join(verified(archive), "digest").select("page_id", "record_type", "refers_to", F.concat(F.col("header"), body, F.lit(b"\r\n\r\n")).alias("record"), "payload")
+    return records(archive).select("page_id", "record_type", F.concat(F.col("header"), body, F.lit(b"\r\n\r\n")).alias("record"), "payload")
 
 
 def write_files(archive: Archive, path: str) -> None:

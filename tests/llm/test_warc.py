@@ -1,6 +1,7 @@
 import base64
 import hashlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from siltstone.llm import warc
@@ -42,5 +43,13 @@ def test_records_are_rebuilt_and_payloads_stored_once(spark, tmp_path):
         assert fields["WARC-Payload-Digest"] == "sha1:" + base64.b32encode(hashlib.sha1(bytes(r["payload"])).digest()).decode()
 
 
+@pytest.mark.parametrize("wrong", ["WARC-Type: response", "sha1:", "Content-Length: 8"])
+def test_a_damaged_header_is_noticed(spark, wrong):
+    archive = warc.write_archive(table(spark))
+    damaged = F.encode(F.replace(F.decode("header", "UTF-8"), F.lit(wrong), F.lit(wrong[:-1] + "x")), "UTF-8")
+    with pytest.raises(Exception, match="a header differs"):
+        warc.read_archive(warc.Archive(archive.payloads, archive.headers.withColumn("header", damaged))).collect()
+
+
 def test_empty_table(spark):
     assert warc.read_archive(warc.write_archive(table(spark, []))).count() == 0
