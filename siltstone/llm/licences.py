@@ -132,7 +132,7 @@ def train(unknowns: list[str], templates: dict[str, list[str]] = TEMPLATES, vari
     rng = np.random.default_rng(seed)
     families = [*sorted(templates), UNKNOWN]
     known = [(k, words(t)) for k, f in enumerate(families[:-1]) for t in templates[f]]
-    filler = [w for u in unknowns for w in words(u)][:20_000] or ["word"]
+    filler = [w for u in unknowns for w in words(u)] or ["word"]
     some = lambda n: [filler[i] for i in rng.integers(0, len(filler), n)]
     examples = [(len(families) - 1, words(u)) for u in unknowns]
     for k, t in known:
@@ -168,16 +168,21 @@ def softmax(z: np.ndarray) -> np.ndarray:
 
 
 def fit(docs: DataFrame, most: int = MOST_UNKNOWNS) -> Classifier:
-    """Train with at most ``most`` first lines of documents, drawn by a hash of the id, as unknowns.
+    """Train with one whole line each of about ``most`` distinct texts, drawn by a hash of the text, as unknowns.
 
-    Lines that hold half of any template are left out.
+    Each task keeps the rows under the hash threshold alone, so about ``most`` lines reach the
+    driver however many rows there are. Lines that hold half of any template are left out;
+    null and empty texts give no line, and without any line only notices are learnt.
     """
     require(docs, ["doc_id", "text"])
-    line = F.substring_index(text_or_empty(), "\n", 1)
-    drawn = docs.select(F.xxhash64("doc_id", F.lit(3)).alias("o"), F.substring(line, 1, 2000).alias("line")).orderBy("o", "line").limit(most)
+    texts = docs.select(text_or_empty().alias("text")).where("text <> ''")
+    share = min(1.0, most / max(1, texts.count()))
+    drawn = texts.where(F.pmod(F.xxhash64("text", F.lit(3)), F.lit(1 << 40)) < int(share * (1 << 40)))
+    lines = F.split("text", "\n")
+    line = drawn.select(F.element_at(lines, F.pmod(F.xxhash64("text", F.lit(5)), F.size(lines)).cast("int") + 1).alias("line")).distinct()
     grams = [bigrams(words(t)) for f in TEMPLATES.values() for t in f]
-    lines = [r["line"] for r in drawn.collect()]
-    return train([x for x in lines if not any(len(t & bigrams(words(x))) * 2 >= len(t) for t in grams)])
+    found = sorted(r["line"] for r in line.collect())
+    return train([x for x in found if not any(len(t & bigrams(words(x))) * 2 >= len(t) for t in grams)])
 
 
 def dense(w: list[str], model: Classifier, confirm: float, holders: dict[tuple[str, str], list[int]]) -> list[tuple[int, int, int, int, int]]:
@@ -297,7 +302,11 @@ def scan(docs: DataFrame, model: Classifier, least: float = LEAST, confirm: floa
 
 
 def label_documents(docs: DataFrame, model: Classifier) -> DataFrame:
-    """Rows of ``scan`` summed up a document with findings: confirmed families in order, and counts."""
+    """Rows of ``scan`` summed up a document with findings: confirmed families in order, and counts.
+
+    Texts without a finding, null and empty ones too, have no row; rows with equal doc_id are
+    summed up together, so a repeated row counts twice in the counts and once in families.
+    """
     found = scan(docs, model)
     return found.groupBy("doc_id").agg(
         F.array_join(F.array_sort(F.collect_set(F.when(F.col("confirmed"), F.col("family")))), "|").alias("families"),

@@ -1,4 +1,7 @@
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
 from siltstone.llm import licences
 from tests.llm.test_licences import CLEAN, model  # noqa: F401
@@ -40,3 +43,38 @@ def test_all_pairs_of_short_notices(spark, model):  # noqa: F811
     right = sum(set((got.get(k) or "").split("|")) == set(p) for k, p in enumerate(pairs))
     print("pairs", len(pairs), "both found", right)
     assert right == len(pairs)
+
+
+def brute(text, confirm=licences.CONFIRM):
+    """Families of which some stretch of words, as long as a template and a third, holds enough bigrams."""
+    w, out = licences.words(text or ""), set()
+    for family, templates in licences.TEMPLATES.items():
+        for t in map(licences.words, templates):
+            need, reach = set(zip(t, t[1:])), len(t) + len(t) // 3 + 4
+            if any(len(need & set(zip(part, part[1:]))) >= confirm * len(need) for k in range(len(w)) for part in [w[k : k + reach]]):
+                out.add(family)
+    return out
+
+
+def test_fit_and_label_documents_against_brute_force(spark):
+    """What the query runs, over a table that holds notices whole, reworded, repeated, in ties, and none."""
+    rng = random.Random(9)
+    vocabulary = ["".join(rng.choice("aeioutrnsl") for _ in range(rng.randint(2, 8))) for _ in range(300)]
+    prose = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    families = sorted(licences.TEMPLATES)
+    rows, planted = [], {}
+    for k in range(150):
+        own = rng.sample(families, k % 3)
+        parts = [prose(rng.randint(3, 60))]
+        for f in own:
+            parts += [rng.choice(licences.TEMPLATES[f]), prose(rng.randint(3, 60))]
+        rows.append((k, rng.choice(["\n", "\n\n"]).join(parts)))
+        planted[k] = set(own)
+    rows += [(150, None), (151, ""), (3, rows[3][1]), (152, prose(50_000))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("families", F.lit("clash"))
+    model = licences.fit(df)
+    got = {r["doc_id"]: set(r["families"].split("|")) - {""} for r in licences.label_documents(df, model).collect()}
+    for k, text in rows:
+        assert planted.get(k, set()) <= got.get(k, set()) <= brute(text), (k, text)
+    empty = licences.fit(df.limit(0))
+    assert licences.label_documents(df.limit(0), empty).count() == 0
