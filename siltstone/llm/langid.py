@@ -27,10 +27,12 @@ from siltstone.llm.shared import TOKENIZERS, materialise, require
 VOCABULARY = f"{TOKENIZERS}/piece_bpe_32k.model"
 #: Longer words are scored as consecutive runs of this many letters, so sums stay in range.
 WORD_RUN = 40
-#: The longest piece that counts, and the least probability of a character that no piece covers.
-PIECE_CHARS, FLOOR = 12, 1e-7
+#: Letters of the longest piece that a vocabulary may hold, and the least probability of a character that no piece covers.
+PIECE_CHARS, FLOOR = 16, 1e-7
 #: Distinct words whose scores a worker keeps.
 CACHE_WORDS = 200_000
+#: Steps of an expected count; whole numbers add up alike in every order.
+SCALE = 2.0**24
 UNKNOWN = "und"
 MARK = "▁"
 
@@ -64,7 +66,10 @@ class Pieces:
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         found = (model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)))
-        return cls([p for p in found if len(p) <= PIECE_CHARS])
+        pieces = list(found)
+        if max(map(len, pieces), default=0) > PIECE_CHARS:
+            raise ValueError(f"a piece has more than {PIECE_CHARS} letters")
+        return cls(pieces)
 
 
 def runs(word: str) -> list[str]:
@@ -179,7 +184,7 @@ def fit(docs: DataFrame, vocabulary: str = VOCABULARY, per_lang: int = 1000, rou
             for lang, words in found.items():
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(words)), pa.array(list(words)), pa.array(list(words.values()), pa.int64())], names=["lang", "word", "n"])
 
-    words = materialise(drawn.select("text", "lang").mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).repartition(24), "langid-words")
+    words = materialise(drawn.select("text", "lang").mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).repartition(24, "word"), "langid-words")
     table = np.full((len(pieces.pieces) + 1, len(langs)), 1.0 / len(pieces.pieces))
     shared = spark.sparkContext.broadcast(pieces)
     for _ in range(rounds):
@@ -194,11 +199,12 @@ def fit(docs: DataFrame, vocabulary: str = VOCABULARY, per_lang: int = 1000, rou
                     if len(mine):
                         sums[:, k] += expected(batch.column(1).take(pa.array(mine)).to_pylist(), batch.column(2).to_numpy(zero_copy_only=False)[mine].astype(float), shared.value, now.value[:, k : k + 1])
             piece, lang = np.nonzero(sums)
-            yield pa.RecordBatch.from_arrays([pa.array(piece.astype(np.int32)), pa.array(lang.astype(np.int32)), pa.array(sums[piece, lang])], names=["piece", "lang", "n"])
+            scaled = np.rint(sums[piece, lang] * SCALE).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(piece.astype(np.int32)), pa.array(lang.astype(np.int32)), pa.array(scaled)], names=["piece", "lang", "n"])
 
         sums = np.zeros_like(table)
-        for r in words.mapInArrow(step, "piece int, lang int, n double").groupBy("piece", "lang").agg(F.sum("n").alias("n")).toLocalIterator():
-            sums[r["piece"], r["lang"]] = r["n"]
+        for r in words.mapInArrow(step, "piece int, lang int, n long").groupBy("piece", "lang").agg(F.sum("n").alias("n")).toLocalIterator():
+            sums[r["piece"], r["lang"]] = r["n"] / SCALE
         table = np.maximum((sums + 0.01) / (sums.sum(axis=0) + 0.01 * len(sums)), FLOOR)
         table[-1] = np.minimum(table[-1], 1e-5)
     total = sum(sizes.values())

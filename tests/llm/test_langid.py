@@ -63,3 +63,32 @@ def test_nothing_learnt(spark):
     nothing = langid.fit(empty)
     assert langid.predict(empty, nothing).count() == 0
     assert langid.predict(spark.createDataFrame([(1, "words")], "doc_id long, text string"), nothing).first()["lang_pred"] == "und"
+
+
+def test_expected_counts_equal_enumeration():
+    names = ["a", "b", "ab", "aba", "▁", "▁a", "▁ab"]
+    pieces, index = langid.Pieces(names), {p: k for k, p in enumerate(names)}
+    table = np.random.default_rng(2).random((len(names) + 1, 1))
+
+    def ways(word):
+        if not word:
+            yield []
+        for n in range(1, len(word) + 1):
+            at = index.get(word[:n], -1 if n == 1 else None)
+            if at is not None:
+                yield from ([at, *rest] for rest in ways(word[n:]))
+
+    words, weights, want = ["▁aba", "▁abxab"], np.array([2.0, 3.0]), np.zeros(len(table))
+    for w, weight in zip(words, weights):
+        found = [(p, np.prod(table[p, 0])) for p in ways(w)]
+        for p, chance in found:
+            for at in p:
+                want[at] += weight * chance / sum(c for _, c in found)
+    assert np.allclose(langid.expected(words, weights, pieces, table), want)
+
+
+def test_a_tie_goes_to_the_first_language(spark):
+    names = ["a", "▁"]
+    model = langid.Model(["xx", "yy"], np.log([0.5, 0.5]), langid.Pieces(names), np.full((3, 2), 0.3))
+    got = langid.predict(spark.createDataFrame([("a a",)], "text string"), model).first()
+    assert got["lang_pred"] == "xx" and abs(got["score"] - 0.5) < 1e-9
