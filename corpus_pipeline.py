@@ -1,10 +1,13 @@
 """The corpus pipeline: five stages over ``documents``, each written as Parquet and read again.
 
-Rows that language identification calls ``und`` go; runs of lines that stand elsewhere too
-are cut, and documents of which nothing but white space is left by that go; one document of
-each group of near duplicates stays; documents into which a benchmark item leaks go; the
-rest is encoded. SQL cannot express the stages (``ORACLE_SQL`` is None); the tests hold them
-against brute force.
+Rows that language identification rejects go: those without a letter, and those whose best
+language is less likely than all others together; ``lang`` of the rest is the language found.
+Runs of lines that stand elsewhere too are cut, and documents of which nothing but white space
+is left by that go; one document of each group of near duplicates stays; documents into which
+a benchmark item leaks go; the rest is encoded. Nulls: a null text is rejected as unknown, and
+null or repeated ids stay documents of their own. Extra columns are not carried. An empty
+table gives an empty one. SQL cannot express the stages (``ORACLE_SQL`` is None); the tests
+hold them against brute force.
 """
 
 from __future__ import annotations
@@ -17,14 +20,18 @@ from siltstone.llm import bpe, dartminhash, decontam, langid, lines
 from siltstone.llm.shared import materialise, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+LEAST_SCORE = 0.5
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that is told with a score of ``LEAST_SCORE`` or more."""
     found = langid.predict(docs.select(*COLUMNS), langid.fit(docs))
-    return found.where(F.col("lang_pred") != langid.UNKNOWN).select(*COLUMNS)
+    told = found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
+    return told.withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the runs of lines that stand at an earlier place too."""
     cut = lines.dedup_runs(docs.select(*COLUMNS))
     left = cut.where((F.col("n_removed_chunks") == 0) | F.rlike("text", F.lit(r"\S")))
     changed = F.when(F.col("n_removed_chunks") == 0, F.col("n_chars")).otherwise(F.length("text").cast("long"))
@@ -32,14 +39,17 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates."""
     return dartminhash.keep_one(docs.select(*COLUMNS), weight="count")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents into which no benchmark item leaks."""
     return decontam.clean_documents(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of all that is left."""
     return bpe.encode_documents(docs)
 
 
