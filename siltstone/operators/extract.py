@@ -56,9 +56,9 @@ def entities(rows: DataFrame, key: str = "id", text: str = "content", most: int
     return out.select(key, "ord", F.concat(F.col(key).cast("string"), F.lit(":"), prefix, F.lit("_"), F.col("e.name")).alias("entity_id"), F.col("e.name").alias("name"), F.col("e.type").alias("type"))
 
 
-def merge_entities(found: DataFrame) -> DataFrame:
+def merge_entities(found: DataFrame, key: str = "id") -> DataFrame:
     """Entities of one lower-cased name and type: mentions, and the name first seen."""
-    return found.groupBy(F.lower("name").alias("merged"), "type").agg(F.count("*").alias("mentions"), F.min("name").alias("name"))
+    return found.groupBy(F.lower("name").alias("merged"), "type").agg(F.count("*").alias("mentions"), F.min_by("name", F.struct(key, "ord")).alias("name"))
 
 
 def type_clusters(found: DataFrame, key: str = "id") -> DataFrame:

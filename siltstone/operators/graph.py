@@ -88,6 +88,7 @@ def neighbourhood(seeds: DataFrame, edges: DataFrame, depth: int, direction: str
     """
     bounded(depth, 1, MAX_DEPTH)
     step = oriented(match_edges(edges, types), direction).select("a", "b").distinct()
+    step = cut(step) if depth > 2 else step
     start = seeds.select(F.col("id").alias("start"), F.col("id").alias("node"), F.lit(0).alias("distance"))
     seen = front = start
     for hop in range(1, depth + 1):

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from siltstone.functions import text
-from siltstone.operators import chunk, classify, extract, fusion, graph, reasoning, retrieval, rules, telemetry
+from siltstone.operators import chunk, classify, extract, fusion, graph, layout, linking, planner, reasoning, retrieval, rules, telemetry
 from siltstone.plans import retrieve
 from siltstone.sources import tables
 from siltstone.streaming import ingest, limits
@@ -188,10 +188,16 @@ def sentiment(spark, d):
     return tables.read(spark, d, "conversations").select("conv_id", "turn", label.alias("sentiment"), r6(score).alias("score"))
 
 
-@query(r"select conv_id, turn, sha256(regexp_replace(regexp_replace(text, 'you\s+are\s+(now\s+)?', '[FILTERED]', 'gi'), 'act\s+as\s+', '[FILTERED]', 'gi')) as safe from conversations where not regexp_matches(lower(text), 'ignore|system:|pretend|forget|instructions|override|disregard|inst\]|<<|<\|')")
+def sanitized_sql() -> str:
+    out = "text"
+    for p in text.INJECTIONS:
+        out = f"regexp_replace({out}, '{p}', '[FILTERED]', 'gi')"
+    return out
+
+
+@query(f"select conv_id, turn, sha256({sanitized_sql()}) as safe from conversations")
 def sanitize_prompts(spark, d):
-    c = tables.read(spark, d, "conversations").where(~F.rlike(F.lower("text"), F.lit(r"ignore|system:|pretend|forget|instructions|override|disregard|inst\]|<<|<\|")))
-    return c.select("conv_id", "turn", F.sha2(text.sanitize_prompt(F.col("text")), 256).alias("safe"))
+    return tables.read(spark, d, "conversations").select("conv_id", "turn", F.sha2(text.sanitize_prompt(F.col("text")), 256).alias("safe"))
 
 
 @query()
@@ -226,11 +232,14 @@ def classify_queries(spark, d):
     return c.select("qid", F.array_join("intents", ",").alias("intents"), "primary_intent", "strategy", "complexity")
 
 
-@query(f"""with {CLASSIFIED} select qid, array_to_string(case strategy when 'hybrid' then ['code', 'graph', 'docs'] when 'multi_hop' then ['graph', 'code'] when 'vector_only' then ['code', 'docs']
- else list_concat(case when l[1] in ('fact', 'list', 'documentation') then ['code', 'docs'] else [] end, case when l[1] in ('relationship', 'causal', 'code_relationship') then ['graph'] else [] end) end, ',') as sources from k where l[1] <> 'tooling'""")
+TOOLS_SQL = "list_filter([" + ", ".join(f"case when {any_sql(w)} then '{n}' end" for n, w in classify.TOOLING.items()) + "], lambda x: x is not null)"
+
+
+@query(f"""with {CLASSIFIED} select qid, array_to_string(list_concat(case strategy when 'hybrid' then ['code', 'graph', 'docs'] when 'multi_hop' then ['graph', 'code'] when 'vector_only' then ['code', 'docs']
+ else list_concat(case when l[1] in ('fact', 'list', 'documentation') then ['code', 'docs'] else [] end, case when l[1] in ('relationship', 'causal', 'code_relationship') then ['graph'] else [] end) end,
+ case when l[1] <> 'tooling' then [] when len({TOOLS_SQL}) > 0 then {TOOLS_SQL} else ['kubernetes'] end), ',') as sources from k""")
 def query_sources(spark, d):
-    c = classify.classify(tables.queries(spark, d)).where("primary_intent <> 'tooling'")
-    return c.select("qid", F.array_join("sources", ",").alias("sources"))
+    return classify.classify(tables.queries(spark, d)).select("qid", F.array_join("sources", ",").alias("sources"))
 
 
 @query(f"with {CLASSIFIED} select qid, round(c, 6) as score from k")
@@ -314,19 +323,21 @@ def events_sessions(spark, d):
     return s.select("user_id", F.unix_timestamp("start").alias("start"), F.unix_timestamp("last").alias("last"), "n")
 
 
-@query("""with recursive o as (select c_custkey, o_orderdate, o_orderkey, o_totalprice, row_number() over (partition by c_custkey order by o_orderdate, o_orderkey) as r from orders join customer on c_custkey = o_custkey where c_custkey <= 50),
-t as (select c_custkey, r, o_totalprice / 2 as a from o where r = 1 union all select o.c_custkey, o.r, (t.a + o.o_totalprice) / 2 from o join t on o.c_custkey = t.c_custkey and o.r = t.r + 1)
-select c_custkey as customer, round(max_by(a, r), 4) as average from t group by 1""")
+@query("""with o as (select o_custkey as customer, o_totalprice as v, row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey desc) as r from orders)
+select customer, round(sum(v * pow(0.5, r)) + 1e-7, 4) as average from o group by 1""")
 def running_average(spark, d):
-    o = tables.read(spark, d, "orders").where("o_custkey <= 50").select(F.col("o_custkey").alias("customer"), F.struct("o_orderdate", "o_orderkey").alias("o"), F.col("o_totalprice").alias("v"))
-    return telemetry.running_half_average(o, "customer", "v", "o").select("customer", F.round("average", 4).alias("average"))
+    """Halved cents often end in a five; the last bit of a sum must not round them, hence the 1e-7."""
+    return half_averages(spark, d).select("customer", F.round(F.col("average") + 1e-7, 4).alias("average"))
+
+
+def half_averages(spark, d):
+    o = tables.read(spark, d, "orders").select(F.col("o_custkey").alias("customer"), F.struct("o_orderdate", "o_orderkey").alias("o"), F.col("o_totalprice").alias("v"))
+    return telemetry.running_half_average(o, "customer", "v", "o")
 
 
 @query()
 def running_average_all(spark, d):
-    """``running_average`` over every customer; its SQL takes a step of recursion an order."""
-    o = tables.read(spark, d, "orders").select(F.col("o_custkey").alias("customer"), F.struct("o_orderdate", "o_orderkey").alias("o"), F.col("o_totalprice").alias("v"))
-    return telemetry.running_half_average(o, "customer", "v", "o").select("customer", F.round("average", 4).alias("average"))
+    return half_averages(spark, d).select("customer", F.round("average", 4).alias("average"))
 
 
 @query("select o_custkey as customer, max_by(o_orderkey, (o_orderdate, o_orderkey)) as latest, max_by(o_orderstatus, (o_orderdate, o_orderkey)) as status from orders group by 1")
@@ -442,11 +453,11 @@ def graph_multi_hop(spark, d):
     return graph.multi_hop(tables.nodes(spark, d), tables.edges(spark, d), "A").select(F.col("hops").cast("long").alias("hops"), "path")
 
 
-@query(f"""with recursive {EDGES}, st as (select src as a, dst as b, src || '>' || type || '>' || dst as e from edges where type = 'CONTAINS' union all select dst, src, src || '>' || type || '>' || dst from edges where type = 'CONTAINS'),
+@query(f"""with recursive {EDGES}, st as (select src as a, dst as b, src || '>' || type || '>' || dst as e from edges union all select dst, src, src || '>' || type || '>' || dst from edges),
 p as (select 'nation:1' as node, 0 as hops, 'nation:1' as path, cast([] as varchar[]) as u union all select st.b, hops + 1, path || '|' || st.b, list_append(u, st.e) from p join st on st.a = p.node where hops < 4 and not list_contains(u, st.e))
 select cast(hops as bigint) as hops, path from p where node = 'nation:6' and hops > 0""")
 def graph_path_find(spark, d):
-    f = graph.shortest_paths(tables.edges(spark, d).where("type = 'CONTAINS'"), "nation:1", "nation:6", 4, "both")
+    f = graph.shortest_paths(tables.edges(spark, d), "nation:1", "nation:6", 4, "both")
     return f.select(F.col("hops").cast("long").alias("hops"), "path")
 
 
@@ -485,10 +496,11 @@ def dead_nodes(spark, d):
     return graph.dead_code(f, tables.code_edges(spark, d))
 
 
-@query("""with recursive e as (select s_suppkey as a, s_nationkey as b from supplier), n as (select min('supplier:' || a) as low, b, count(*) as n from e group by b)
-select 'supplier:' || a as id, least(low, 'nation:' || e.b) as community from e join n on n.b = e.b union all select 'nation:' || b, least(low, 'nation:' || b) from n""")
+@query("""with m as (select n_regionkey as r, 'region:' || n_regionkey as id from nation union select n_regionkey, 'nation:' || n_nationkey from nation
+union all select n_regionkey, 'supplier:' || s_suppkey from supplier join nation on n_nationkey = s_nationkey union all select n_regionkey, 'customer:' || c_custkey from customer join nation on n_nationkey = c_nationkey)
+select id, min(id) over (partition by r) as community from m""")
 def connected_components(spark, d):
-    return graph.communities(tables.edges(spark, d).where("src like 'supplier:%'")).select("id", "community")
+    return connected_components_all(spark, d)
 
 
 @query()
@@ -527,8 +539,12 @@ PERSON, TECH = extract.ENTITY_PATTERNS["person"], extract.ENTITY_PATTERNS["techn
 
 
 def extracted_sql() -> str:
-    # RE2's word borders know ASCII only; the character before a match stands in for the first
-    parts = " || ".join(f"list_transform(regexp_extract_all(text, '(?:^|[^\\p{{L}}\\p{{N}}_])({p[2:]})', 1), lambda n: {{'name': n, 'type': '{k}'}})" for k, p in extract.ENTITY_PATTERNS.items())
+    # RE2's word borders know ASCII only: the character before a match stands in for the first, and one with a letter behind it is dropped
+    def found(k: str, p: str) -> str:
+        groups = ", ".join(f"regexp_extract_all(text, '(?:^|[^\\p{{L}}\\p{{N}}_])({p[2:]})([\\p{{L}}\\p{{N}}_]*)', {n})" for n in (1, 2))
+        return f"list_transform(list_filter(list_zip({groups}), lambda z: z[2] = ''), lambda z: {{'name': z[1], 'type': '{k}'}})"
+
+    parts = " || ".join(found(k, p) for k, p in extract.ENTITY_PATTERNS.items())
     return f"ent as (select doc_id as id, unnest(list_transform(({parts})[1:50], lambda x, i: {{'name': x.name, 'type': x.type, 'ord': i - 1}})) as e from documents)"
 
 
@@ -537,7 +553,7 @@ def entities_lightweight(spark, d):
     return extract.entities(tables.docs(spark, d)).select("id", F.col("ord").cast("long").alias("ord"), "name", "type")
 
 
-@query(f"with {extracted_sql()} select lower(e.name) as merged, e.type as type, count(*) as mentions, min(e.name) as name from ent group by 1, 2")
+@query(f"with {extracted_sql()} select lower(e.name) as merged, e.type as type, count(*) as mentions, min_by(e.name, (id, e.ord)) as name from ent group by 1, 2")
 def entity_merge(spark, d):
     return extract.merge_entities(extract.entities(tables.docs(spark, d)))
 
@@ -568,11 +584,10 @@ def crossref_documents(spark, d):
     return extract.cross_references(tables.docs(spark, d)).where("ref_type in ('section_ref', 'document_id')")
 
 
-@query(r"""with i as (select page_id, unnest(regexp_extract_all(html, '(?i)<img[^>]+src="([^"]+)"', 1) || regexp_extract_all(html, '(?i)<img[^>]+src=([^\s>]+)', 1)) as url from pages)
+@query(r"""with i as (select page_id, unnest(regexp_extract_all(html, '(?i)<img[^>]+src="([^"]+)"', 1) || regexp_extract_all(html, '(?i)<img[^>]+src=([^\s>]+)', 1) || regexp_extract_all(html, '(?i)url\(["'']?([^"''()]+)["'']?\)', 1)) as url from pages)
 select page_id, trim(url) as url from i where """ + " or ".join(f"contains(lower(url), '{e}')" for e in extract.IMAGE_ENDS))
 def image_refs(spark, d):
-    p = tables.read(spark, d, "pages").withColumn("html", F.regexp_replace("html", r"(?i)url\(", "url ("))
-    return extract.images(p)
+    return extract.images(tables.read(spark, d, "pages"))
 
 
 @query()
@@ -767,3 +782,151 @@ def search_routed(spark, d):
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """One question answered from documents, events and the graph: scans, ranks, fusion, top ten."""
     return QUERIES["fusion_rrf"](spark, d).orderBy(F.desc("score"), "source", "id").limit(10)
+
+
+# Plans of questions, scores of designs
+
+
+def case_sql(words: dict[str, list[str]], otherwise: str) -> str:
+    return "case " + " ".join(f"when {any_sql(w)} then '{n}'" for n, w in words.items()) + f" else {otherwise} end"
+
+
+def named_sql(words: dict[str, list[str]], c: str = "query") -> str:
+    return "list_filter([" + ", ".join(f"case when {any_sql(w, c)} then '{n}' end" for n, w in words.items()) + "], lambda x: x is not null)"
+
+
+@query(f"""with {CLASSIFIED}, p as (select qid, query, {case_sql(planner.INTENT_WORDS | {"design ": planner.SKETCH_WORDS}, "case l[1] when 'causal' then 'troubleshoot' when 'complex' then 'design' else 'explain' end")} as intent, {named_sql(planner.SOURCE_WORDS)} as s from k)
+select qid, trim(intent) as intent, array_to_string(case when len(s) > 0 then s else ['{"', '".join(planner.ALL_SOURCES)}'] end, ',') as sources, array_to_string({named_sql(planner.TOOL_WORDS)}, ',') as tools, array_to_string({named_sql(planner.PLATFORMS)}, ',') as platforms from p""")
+def query_plans(spark, d):
+    p = planner.plans(tables.queries(spark, d))
+    return p.select("qid", "intent", *(F.array_join(c, ",").alias(n) for c, n in (("plan_sources", "sources"), ("tools", "tools"), ("platforms", "platforms"))))
+
+
+def pattern_sql(k: int) -> str:
+    return "case " + " ".join(f"when contains(id, '{p}') then {v[k]}::double" for p, v in planner.PATTERN_SCORES.items()) + f" else {planner.OTHER_SCORE}::double end"
+
+
+DESIGNS = "designs as (select ['microservices', 'serverless', 'monolith', 'event-driven', 'cqrs', 'other'][cast(user_id % 6 as int) + 1] || '-' || event_id as id from events)"
+
+
+@query(f"""with {DESIGNS}, c as (select id, {", ".join(f"{pattern_sql(k)} as {n}" for k, n in enumerate(planner.CRITERIA))} from designs)
+select *, round((correctness + consistency + best_practices) / 3, 6) as mean, array_to_string(list_filter([case when best_practices < 0.85 then '{planner.ISSUES[0]}' end, case when consistency < 0.85 then '{planner.ISSUES[1]}' end], lambda x: x is not null), ';') as issues from c""")
+def architecture_scores(spark, d):
+    e = tables.read(spark, d, "events")
+    kinds = F.array(*map(F.lit, [*planner.PATTERN_SCORES, "other"]))
+    designs = e.select(F.concat_ws("-", F.element_at(kinds, (F.col("user_id") % 6).cast("int") + 1), F.col("event_id").cast("string")).alias("id"))
+    return planner.design_scores(designs).withColumns({"mean": r6("mean"), "issues": F.array_join("issues", ";")})
+
+
+@query("""select c_custkey as id, round(cast(max(case when o_orderkey is not null then 4 else 0 end) + max(case when o_orderstatus = 'F' then 3 else 0 end) + max(case when o_orderstatus = 'O' then 3 else 0 end) as double) / 10, 6) as completeness
+from customer left join orders on c_custkey = o_custkey group by 1""")
+def ir_completeness(spark, d):
+    o = tables.read(spark, d, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.collect_set("o_orderstatus").alias("s"))
+    c = tables.read(spark, d, "customer").select(F.col("c_custkey").alias("id")).join(o, "id", "left")
+    some = lambda v: F.filter("s", lambda x: x == v)
+    return c.select("id", r6(planner.completeness(F.col("s"), some("F"), some("O"))).alias("completeness"))
+
+
+@query(f"with {EVENTS} select seq, substr(message, 1, 200) as pattern from ev where {any_sql(planner.ERROR_WORDS, 'message')} order by seq limit 10")
+def error_patterns(spark, d):
+    return planner.error_patterns(tables.events(spark, d), "message")
+
+
+COMMANDS = ["MATCH (n) RETURN n", "CREATE (n:X)", "match (n) set n.a = 1", "MATCH (n) DETACH DELETE n", "RETURN 1"]
+
+
+@query(f"with c as (select event_id as id, {COMMANDS}[cast(user_id % 5 as int) + 1] as c from events) select id, {any_sql([w.lower() for w in planner.WRITES], 'c')} as writes from c")
+def write_guard(spark, d):
+    command = F.element_at(F.array(*map(F.lit, COMMANDS)), (F.col("user_id") % 5).cast("int") + 1)
+    return tables.read(spark, d, "events").select(F.col("event_id").alias("id"), planner.writes(command).alias("writes"))
+
+
+@query("select l_orderkey as id, count(*) as elements, round(avg(round(l_discount * 100)), 6) as confidence, avg(round(l_discount * 100)) < 6 as low from lineitem group by 1")
+def evidence_average(spark, d):
+    found = planner.evidence(tables.read(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.round(F.col("l_discount") * 100).alias("c")), "id", "c", 6.0)
+    return found.withColumn("confidence", r6("confidence"))
+
+
+# Layout
+
+WORDS_OF = "words as (select l_orderkey as page, l_quantity as top, l_extendedprice / 100 as x0, l_extendedprice / 100 + l_quantity as x1, l_quantity + 8 as bottom from lineitem)"
+ROWS_OF = f"""{WORDS_OF}, o as (select *, row_number() over (partition by page order by top, x0, x1, bottom) as n from words),
+w as (select page, top, x0, x1, bottom, n, top as anchor, cast(0 as bigint) as row from o where n = 1 union all
+select o.page, o.top, o.x0, o.x1, o.bottom, o.n, case when abs(o.top - w.anchor) <= 5 then w.anchor else o.top end, case when abs(o.top - w.anchor) <= 5 then w.row else w.row + 1 end from w join o on o.page = w.page and o.n = w.n + 1),
+boxes as (select page, row, min(x0) as x0, min(top) as top, max(x1) as x1, max(bottom) as bottom, count(*) as n_words from w group by 1, 2)"""
+
+
+def page_words(spark, d):
+    n, x = F.col("l_quantity"), F.col("l_extendedprice") / 100
+    return tables.read(spark, d, "lineitem").select(F.col("l_orderkey").alias("page"), n.alias("top"), x.alias("x0"), (x + n).alias("x1"), (n + 8).alias("bottom"))
+
+
+@query(f"with recursive {ROWS_OF} select page, row, round(x0, 6) as x0, round(top, 6) as top, round(x1, 6) as x1, round(bottom, 6) as bottom, n_words from boxes")
+def layout_rows(spark, d):
+    boxes = layout.row_boxes(layout.word_rows(page_words(spark, d)))
+    return boxes.select("page", "row", *(r6(c).alias(c) for c in ("x0", "top", "x1", "bottom")), "n_words")
+
+
+@query(f"with recursive {ROWS_OF} select a.page, a.row as row_a, b.row as row_b from boxes a join boxes b on a.page = b.page and a.row < b.row where not (a.x1 < b.x0 or a.x0 > b.x1 or a.bottom < b.top or a.top > b.bottom)")
+def layout_overlaps(spark, d):
+    return layout.overlapping_rows(layout.row_boxes(layout.word_rows(page_words(spark, d))))
+
+
+@query(r"""with b as (select doc_id, unnest(string_split(text, chr(10))) as t from documents), s as (select doc_id, regexp_replace(t, '^\s+|\s+$', '', 'g') as t from b)
+select doc_id, case when t = '' then 'unknown' when length(t) < 100 and (upper(t) = t and lower(t) <> t or starts_with(t, '#') or regexp_matches(t, '^[A-Z][^.!?]*$')) then 'title' when regexp_matches(t, '^#{1,6}\s+') then 'heading'
+when regexp_matches(t, '^\d+\.\s+') then 'list_item' when length(t) - length(replace(t, '|', '')) > 2 then 'table' when starts_with(t, '[') and ends_with(t, ']') then 'reference' else 'paragraph' end as class, count(*) as n from s group by 1, 2""")
+def block_classes(spark, d):
+    lines = tables.read(spark, d, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("t"))
+    return lines.groupBy("doc_id", layout.block_class(F.col("t")).alias("class")).agg(F.count("*").alias("n"))
+
+
+# Links between texts and entities
+
+
+@query(f"""with {extracted_sql()}, c as (select doc_id as id, unnest(list_transform(string_split(text, chr(10)), lambda x, i: {{'chunk': i - 1, 'content': x}})) as c from documents)
+select c.id, cast(c.c.chunk as int) as chunk, array_to_string((list_sort(list({{'ord': e.ord, 'name': c.id || ':' || case e.type when 'organization' then 'org' when 'technology' then 'tech' else 'person' end || '_' || e.name}})))[1:10].list_transform(lambda x: x.name), ',') as entities
+from c join ent on ent.id = c.id and contains(lower(c.c.content), lower(e.name)) group by 1, 2""")
+def chunk_entities(spark, d):
+    docs = tables.docs(spark, d)
+    chunks = docs.select("id", F.posexplode(F.split("content", "\n")).alias("chunk", "content"))
+    found = linking.entities_of_chunks(chunks, extract.entities(docs))
+    return found.select("id", "chunk", F.array_join("entities", ",").alias("entities"))
+
+
+OUTPUTS = """outputs as (select event_id as id, case user_id % 5 when 0 then '[{"name": "N' || event_id || '", "type": "' || event_type || '"}, {"name": "B", "type": "Technology", "description": "d"}]' when 1 then '{"name": "one", "type": "person"}' when 2 then '[{"name": "broken", ' when 3 then '[]' else '[{"type": "LOCATION"}, {"name": "C"}]' end as o from events)"""
+
+
+@query(f"""with {OUTPUTS}, v as (select id, case when json_valid(o) then o end as o from outputs), p as (select id, unnest(from_json(o, '[{{"name": "VARCHAR", "type": "VARCHAR", "description": "VARCHAR"}}]')) as e from v where json_type(o) = 'ARRAY')
+select id, coalesce(e.name, '') as name, case when lower(e.type) in ('{"', '".join(linking.TYPES)}') then lower(e.type) else 'concept' end as type, coalesce(e.description, '') as description from p""")
+def parsed_entities(spark, d):
+    k = F.col("user_id") % 5
+    first = F.concat(F.lit('[{"name": "N'), F.col("event_id").cast("string"), F.lit('", "type": "'), F.col("event_type"), F.lit('"}, {"name": "B", "type": "Technology", "description": "d"}]'))
+    o = F.when(k == 0, first).when(k == 1, '{"name": "one", "type": "person"}').when(k == 2, '[{"name": "broken", ').when(k == 3, "[]").otherwise('[{"type": "LOCATION"}, {"name": "C"}]')
+    found = tables.read(spark, d, "events").select(F.col("event_id").alias("id"), F.explode(linking.parsed_entities(o)).alias("e"))
+    return found.select("id", "e.name", "e.type", "e.description")
+
+
+@query("""with r as (select 'risky' as pattern, unnest(['error', 'signup']) as e union all select 'buying', unnest(['purchase', 'click']))
+select distinct pattern, user_id as owner from r join events on e = event_type""")
+def pattern_overlap(spark, d):
+    need = spark.createDataFrame([("risky", "error"), ("risky", "signup"), ("buying", "purchase"), ("buying", "click")], "pattern string, element string")
+    return linking.overlapping(need, tables.read(spark, d, "events").select(F.col("user_id").alias("owner"), F.col("event_type").alias("element")))
+
+
+@query(f"""with {NODES}, {EDGES}, q as (select 'q' || n_nationkey as qid, [n_name, 'Region_' || n_regionkey, 'nobody'] as names from nation), u as (select qid, lower(unnest(names)) as n from q), f as (select distinct qid, id as node from u join nodes on lower(name) = n),
+ends as (select src as node, dst as other, type from edges union all select dst, src, type from edges)
+select f.qid, f.node, other, type, contains(lower(type), 'community') as community from f left join ends on ends.node = f.node""")
+def query_entity_links(spark, d):
+    n = tables.read(spark, d, "nation")
+    asked = n.select(F.concat(F.lit("q"), F.col("n_nationkey").cast("string")).alias("qid"), F.array("n_name", F.concat(F.lit("Region_"), F.col("n_regionkey").cast("string")), F.lit("nobody")).alias("names"))
+    return linking.linked_entities(asked, tables.nodes(spark, d), tables.edges(spark, d))
+
+
+@query(f"with {EDGES}, e as (select src as id, 1 as o, 0 as i from edges union all select dst, 0, 1 from edges) select id, cast(sum(o) as bigint) as out_degree, cast(sum(i) as bigint) as in_degree from e group by 1")
+def node_degrees(spark, d):
+    return linking.degrees(tables.edges(spark, d))
+
+
+@query(f"with {NODES} select id, type, name from nodes where type in ('nation', 'supplier') order by id limit 20 offset 15")
+def node_listing(spark, d):
+    return linking.page_of(tables.nodes(spark, d), ["nation", "supplier"], 15, 20).select("id", "type", "name")
