@@ -930,3 +930,6 @@ def node_degrees(spark, d):
 @query(f"with {NODES} select id, type, name from nodes where type in ('nation', 'supplier') order by id limit 20 offset 15")
 def node_listing(spark, d):
     return linking.page_of(tables.nodes(spark, d), ["nation", "supplier"], 15, 20).select("id", "type", "name")
+
+
+from siltstone import queries_search  # noqa: E402,F401  registers its queries
