@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from siltstone.functions import text
 from siltstone.operators import extract, graph, knowledge, reasoning, retrieval, rules, telemetry, tooling
-from siltstone.queries import ASK, CALLS, DOCS, EDGES, EVENTS, FACTS_SQL, NODES, case_sql, extracted_sql, facts, named_sql, query, r6
+from siltstone.queries import ASK, CALLS, EDGES, EVENTS, FACTS_SQL, NODES, case_sql, extracted_sql, facts, named_sql, query, r6
 from siltstone.sources import tables
 from siltstone.streaming import ingest
 
@@ -122,9 +122,9 @@ def class_hierarchy(spark, d):
     return graph.hierarchy(classes(spark, d), "cls5").select("node", F.col("distance").cast("long").alias("distance"))
 
 
-@query("select 'cls' || p_partkey as subclass, 'cls' || p_partkey // 2 as parent from part where p_partkey >= 2 and p_partkey % 3 = 1 and (p_partkey // 2) % 3 = 1 and p_partkey // 2 in (select p_partkey from part)")
+@query("select 'cls' || p_partkey as subclass, 'cls' || p_partkey // 2 as parent from part where p_partkey >= 2 and p_partkey % 2 = 1 and (p_partkey // 2) % 2 = 1 and p_partkey // 2 in (select p_partkey from part)")
 def overridden_methods(spark, d):
-    m = READ(spark, d, "part").select(F.concat(F.lit("cls"), F.col("p_partkey").cast("string")).alias("class"), F.concat(F.lit("m"), (F.col("p_partkey") % 3).cast("string")).alias("name"))
+    m = READ(spark, d, "part").select(F.concat(F.lit("cls"), F.col("p_partkey").cast("string")).alias("class"), F.concat(F.lit("m"), (F.col("p_partkey") % 2).cast("string")).alias("name"))
     return graph.overrides(m, classes(spark, d), "m1")
 
 
