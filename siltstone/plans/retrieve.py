@@ -12,7 +12,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.utils import AnalysisException
 
-from siltstone.operators import fusion, graph, retrieval
+from siltstone.functions.text import refine_terms
+from siltstone.operators import fusion, graph, linking, reasoning, retrieval
 
 Source = Callable[[str, int], DataFrame]
 COLUMNS = ["source", "id", "content", "score", "seq"]
@@ -47,6 +48,22 @@ def graph_source(nodes: DataFrame, edges: DataFrame) -> Source:
     return search
 
 
+def vector_source(rows_: DataFrame, embed: Callable[[str], list[float]], name: str = "docs") -> Source:
+    """Rows (id, content, embedding, seq) nearest to the query's vector, which the given function makes."""
+    return lambda query, limit: rows(retrieval.vector_scan(rows_, embed(query), limit), name)
+
+
+def hop_source(nodes: DataFrame, edges: DataFrame, hops: int = 3) -> Source:
+    """Paths from the nodes whose names hold the query, shorter ones first; a path is its own content."""
+
+    def search(query: str, limit: int) -> DataFrame:
+        found = graph.multi_hop(nodes, edges, query, hops, limit)
+        order = F.row_number().over(Window.orderBy("hops", "path")).cast("long")  # at most limit rows
+        return rows(found.select(F.col("path").alias("id"), F.col("path").alias("content"), (1.0 / F.col("hops")).alias("score"), order.alias("seq")), "graph")
+
+    return search
+
+
 def gathered(spark: SparkSession, sources: dict[str, Source], names: list[str], query: str, limit: int) -> DataFrame:
     """UNION ALL of the named sources; one that cannot be planned is empty."""
     parts = [spark.createDataFrame([], SCHEMA)]
@@ -74,7 +91,8 @@ def graph_only(spark: SparkSession, sources: dict[str, Source], query: str, limi
 
 
 def multi_hop(spark: SparkSession, sources: dict[str, Source], query: str, limit: int = 10) -> DataFrame:
-    return fuse(gathered(spark, sources, ["graph", "docs"], query, limit), limit)
+    """Paths of several hops if there is such a source, else the graph, with documents."""
+    return fuse(gathered(spark, sources, ["hops" if "hops" in sources else "graph", "docs"], query, limit), limit)
 
 
 def hybrid(spark: SparkSession, sources: dict[str, Source], query: str, limit: int = 10, method: str = "rrf") -> DataFrame:
@@ -83,8 +101,6 @@ def hybrid(spark: SparkSession, sources: dict[str, Source], query: str, limit: i
 
 def terms_of(found: DataFrame, most: int = 3) -> list[str]:
     """Up to ``most`` names and as many keywords of the first results, for the next round: at most ten words reach the driver."""
-    from siltstone.functions.text import refine_terms
-
     first = found.orderBy("seq").limit(3).groupBy().agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "content"))), lambda x: x["content"]), " ").alias("c"))
     names, keys = refine_terms(F.col("c"))
     got = first.select(F.slice(names, 1, most).alias("n"), F.slice(keys, 1, most).alias("k")).first()
@@ -123,6 +139,39 @@ def with_fallback(found: DataFrame, more: DataFrame, limit: int) -> DataFrame:
     return numbered.orderBy("_b", "seq").limit(limit).drop("_b")
 
 
+def placed(found: DataFrame, score: str, limit: int) -> DataFrame:
+    """The best ``limit`` rows with their ``rank``, ties by source and id."""
+    best = found.orderBy(F.desc(score), "source", "id").limit(limit)
+    return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(score), "source", "id")))  # at most limit rows
+
+
+def reranked(spark: SparkSession, sources: dict[str, Source], query: str, rerank: Callable[[DataFrame], DataFrame], limit: int = 10) -> DataFrame:
+    """(rank, source, id, content, score, snippet): twice as many fused rows as wanted, scored again, the best kept.
+
+    ``rerank`` sets ``score``. The first row's content is the answer, and ``rank`` the number it is cited by.
+    """
+    best = placed(rerank(hybrid(spark, sources, query, 2 * limit)), "score", limit)
+    return best.select("rank", "source", "id", "content", "score", F.substring("content", 1, 200).alias("snippet"))
+
+
+def graph_aware(spark: SparkSession, sources: dict[str, Source], query: str, nodes: DataFrame, edges: DataFrame, limit: int = 10) -> DataFrame:
+    """One row: (query, results, entities, relations, answer, confidence).
+
+    Entities are the first ``limit`` nodes whose names the query holds, relations the number of
+    their edges. The answer is that of the results that hold one of the names, of all if none does.
+    """
+    asked = spark.createDataFrame([(query, query)], "qid string, query string")
+    named = asked.select("qid", refine_terms(F.col("query"))[0].alias("names"))
+    links = linking.linked_entities(named, nodes, edges).groupBy("qid", "node").agg(F.count("other").alias("edges"))
+    known = links.orderBy("node").limit(limit).groupBy("qid").agg(F.array_sort(F.collect_list("node")).alias("entities"), F.sum("edges").alias("relations"))
+    top = placed(hybrid(spark, sources, query, limit), "fused_score", limit)
+    facts = reasoning.gathered(top.select(F.lit(query).alias("qid"), "content", "source", F.col("fused_score").alias("score"), "rank"))
+    every = named.join(known, "qid", "left").join(facts, "qid", "left")
+    given = every.withColumns({"facts": F.coalesce("facts", F.array().cast("array<struct<rank: int, content: string, source: string, score: double>>")), "entities": F.coalesce("entities", F.array().cast("array<string>")), "relations": F.coalesce("relations", F.lit(0))})
+    about = given.withColumns({"results": F.col("facts"), "facts": reasoning.facts_about(F.col("facts"), F.col("names"))})
+    return reasoning.reason(about, "direct").select(F.col("qid").alias("query"), "results", "entities", "relations", "answer", "confidence")
+
+
 STRATEGIES = {"vector_only": vector_only, "graph_only": graph_only, "hybrid": hybrid, "multi_hop": multi_hop, "cascade": cascade, "iterative": iterative}
 
 

@@ -10,6 +10,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from siltstone.operators.extract import acceptance_criteria
+
 #: Parts of office files that hold text, by ending (fixed values).
 OFFICE = {"docx": r"word/document\.xml", "xlsx": r"xl/(?:sharedStrings|worksheets/sheet\d+)\.xml", "pptx": r"ppt/slides/slide\d+\.xml"}
 
@@ -85,6 +87,20 @@ def trace_lines(steps: DataFrame) -> DataFrame:
     return g.select(F.to_json(F.struct("request", "duration_ms", "steps")).alias("value"))
 
 
+def requirements(files: DataFrame, source: str = "local") -> DataFrame:
+    """Requirements from whole texts (path, content): the first 500 characters describe one, its bullets are the criteria."""
+    rows = acceptance_criteria(files.withColumn("_row", F.struct("path", "content")), "_row", "content")
+    return rows.select(
+        F.col("_row.path").alias("id"),
+        F.lit(source).alias("source"),
+        F.element_at(F.split("_row.path", "/"), -1).alias("title"),
+        F.substring(F.coalesce("_row.content", F.lit("")), 1, 500).alias("description"),
+        F.lit("active").alias("status"),
+        F.lit("requirement").alias("type"),
+        "criteria",
+    )
+
+
 def write_vectors(rows: DataFrame, path: str) -> None:
     """Vector rows in folders by source type, which scans prune."""
     rows.write.mode("append").partitionBy("source_type").parquet(path)
