@@ -27,3 +27,39 @@ def test_stages_keep_the_columns_of_documents(spark):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, folder).columns == docs.columns
+
+
+def odd_rows(spark):
+    """Nulls in every column, empty and blank texts, a repeated row and a long text without spaces."""
+    long = "x" * 200_000
+    rows = [(1, None, None, None, None), (2, "", "en", "web", 0), (3, "   \n ", "en", "web", 5), (None, "a text with no id in it", None, None, None), (5, "one and the same row", "en", "web", 20), (5, "one and the same row", "en", "web", 20), (6, long, "en", "web", len(long))]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+
+
+def test_stages_take_odd_rows_and_empty_tables(spark):
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    odd = odd_rows(spark).select(*(c if c not in docs.columns else docs.schema[c].name for c in docs.columns))
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, odd, folder).count() <= odd.count()
+        assert stage(spark, docs.limit(0), folder).count() == 0
+
+
+def test_odd_rows_are_decided_as_told(spark):
+    folder = "/root/testdata/sf0.001"
+    odd = odd_rows(spark)
+    left = lambda stage: sorted((r["doc_id"] or 0, r["text"] or "") for r in stage(spark, odd, folder).collect())
+    every = sorted((r["doc_id"] or 0, r["text"] or "") for r in odd.collect())
+    assert left(corpus_pipeline.decontamination) == every
+    assert left(corpus_pipeline.line_dedup) == every
+    # Texts without words are one class; rows equal in doc_id and text are one document and stay together.
+    assert [d for d, _ in left(corpus_pipeline.near_dedup)] == [0, 1, 5, 5, 6]
+
+
+def test_clashing_extra_columns_change_nothing(spark):
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    more = docs.selectExpr("*", "1 as score", "'z' as lang_pred", "2 as hash", "3 as class_id", "4 as n_removed_chunks", "5 as id", "6 as rank")
+    for _, stage in corpus_pipeline.STAGES[1:-1]:
+        key = lambda d: sorted((r["doc_id"], r["text"]) for r in stage(spark, d, folder).collect())
+        assert key(more) == key(docs)
