@@ -32,12 +32,23 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def materialise(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Write a table to the shared folder and read it again, which cuts the lineage."""
+def written(df: DataFrame, name: str, codec: str = "zstd") -> tuple[DataFrame, str]:
+    """A table written to the shared folder, as read again, and its path."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def materialise(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+    """Write a table to the shared folder and read it again, which cuts the lineage."""
+    return written(df, name, codec)[0]
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a table that ``written`` made and no plan reads any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def text_or_empty(name: str = "text") -> Column:
