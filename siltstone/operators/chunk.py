@@ -8,12 +8,18 @@ chunker advances by one character a step at least and keeps the tail of the text
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 from collections.abc import Callable, Iterator
+from html.parser import HTMLParser
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from siltstone.operators.embedding import Hashing, Model
+
 SCHEMA = "source_id string, chunk_index int, chunk_id string, content string, start_char int, end_char int, heading string, path string"
 NAMES = [part.split(" ")[0] for part in SCHEMA.split(", ")]
 Chunk = tuple[int, str, int, int, str | None, str | None]
@@ -175,7 +181,163 @@ def helm(text: str) -> Iterator[Chunk]:
         yield 1, "\n".join(values), 0, 0, None, "values"
 
 
-CHUNKERS: dict[str, Callable[[str], Iterator[Chunk]]] = {"document": document, "markdown": markdown, "structural": structural, "hierarchical": hierarchical, "python": python_code, "code": braced_code, "helm": helm}
+#: A sentence with its terminator and the space after it; sentences of a text make up the text.
+SENTENCE = r"(?s).+?(?:[.!?]+\s+|\z)"
+_whole_sentence = re.compile(r"(?s).+?(?:[.!?]+\s+|\Z)").findall
+
+
+def sentence(text: str, size: int = 1024, overlap: int = 200) -> Iterator[Chunk]:
+    """Whole sentences up to ``size`` characters, the last ones of a chunk (up to ``overlap``) again in the next; a longer sentence is cut."""
+    parts: list[tuple[int, str]] = []
+    at = 0
+    for s in _whole_sentence(text):
+        parts += [(at + a, s[a : a + size]) for a in range(0, len(s), size)]
+        at += len(s)
+    first = k = 0
+    while first < len(parts):
+        last, n = first, 0
+        while last < len(parts) and (last == first or n + len(parts[last][1]) <= size):
+            n += len(parts[last][1])
+            last += 1
+        piece, start = "".join(s for _, s in parts[first:last]), parts[first][0]
+        if piece.strip():
+            yield k, piece.strip(), start, start + len(piece), None, None
+            k += 1
+        if last == len(parts):
+            return
+        back, kept = last, 0
+        while back - 1 > first and kept + len(parts[back - 1][1]) <= overlap:
+            back -= 1
+            kept += len(parts[back][1])
+        room = kept + len(parts[last][1]) <= size
+        first = back if room else last
+
+
+class _Tags(HTMLParser):
+    """Collects, in document order, the text right under each of the wanted tags."""
+
+    def __init__(self, tags: tuple[str, ...]):
+        super().__init__(convert_charrefs=True)
+        self.tags, self.open, self.parts, self.hidden = tags, [], [], 0
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag in ("script", "style"):
+            self.hidden += 1
+        elif tag in self.tags:
+            if tag == "p" and self.open and self.open[-1][0] == "p":
+                self.open.pop()  # a paragraph ends where the next begins
+            part = (tag, [])
+            self.open.append(part)
+            self.parts.append(part)
+
+    def handle_endtag(self, tag: str) -> None:
+        if tag in ("script", "style"):
+            self.hidden = max(0, self.hidden - 1)
+        elif any(t == tag for t, _ in self.open):
+            while self.open.pop()[0] != tag:
+                pass
+
+    def handle_data(self, data: str) -> None:
+        if self.open and not self.hidden:
+            self.open[-1][1].append(data)
+
+
+def html(text: str, tags: tuple[str, ...] = ("p", "div", "section", "article")) -> Iterator[Chunk]:
+    """The text under each of the tags, what stands in an inner one belongs to that; neighbours under one kind of tag are one chunk."""
+    parser = _Tags(tags)
+    parser.feed(text)
+    parser.close()
+    held: list[tuple[str, list[str]]] = []
+    for tag, parts in parser.parts:
+        if words := " ".join("".join(parts).split()):
+            if held and held[-1][0] == tag:
+                held[-1][1].append(words)
+            else:
+                held.append((tag, [words]))
+    for k, (tag, parts) in enumerate(held):
+        piece = "\n".join(parts)
+        yield k, piece, 0, len(piece), tag, None
+
+
+def json_parts(text: str, depth: int = 2) -> Iterator[Chunk]:
+    """A chunk for each value ``depth`` names deep, or less deep where nothing is inside; ``path`` has the names. Texts that are no JSON have none."""
+    try:
+        stack = [((), json.loads(text))]
+    except ValueError:
+        return
+    k = 0
+    while stack:
+        path, value = stack.pop()
+        inner = list(value.items()) if isinstance(value, dict) else list(enumerate(value)) if isinstance(value, list) else []
+        if inner and len(path) < depth:
+            stack += [((*path, str(name)), v) for name, v in reversed(inner)]
+            continue
+        piece = " ".join([*path, json.dumps(value, ensure_ascii=False) if isinstance(value, (dict, list)) or value is None or isinstance(value, bool) else str(value)])
+        yield k, piece, 0, len(piece), path[-1] if path else None, ".".join(path)
+        k += 1
+
+
+def adjacent_distances(sentences: Column, buffer: int = 1, make: Callable[[], Model] = Hashing) -> Column:
+    """1 - cosine of each sentence and the next, each with ``buffer`` sentences on both sides; 1 if a vector has no length.
+
+    Sentences are embedded one after the other and summed in a sliding window, so memory does
+    not grow with the text; the model's vectors must add up as counts do.
+    """
+
+    @F.pandas_udf("array<double>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = make()
+        for texts in batches:
+            out = []
+            for parts in texts:
+                n = 0 if parts is None else len(parts)
+                found, held, now, before = [], {}, None, None
+                for k in range(n + buffer):
+                    if k < n:
+                        held[k] = model([parts[k]])[0].astype(np.float64)
+                        now = held[k].copy() if now is None else now + held[k]
+                    middle = k - buffer  # the window around this sentence is whole
+                    if middle < 0 or middle >= n:
+                        continue
+                    if middle - buffer - 1 in held:
+                        now = now - held.pop(middle - buffer - 1)
+                    if before is not None:
+                        length = np.sqrt(before @ before) * np.sqrt(now @ now)
+                        found.append(float(1 - (before @ now) / length) if length > 0 else 1.0)
+                    before = now
+                out.append(found)
+            yield pd.Series(out, dtype=object)
+
+    return run(sentences)
+
+
+def percentile(values: Column, share: float) -> Column:
+    """The percentile of an array by linear interpolation; null for an empty one."""
+    ordered = F.array_sort(values)
+    at = (F.size(values) - 1) * F.lit(share)
+    low = F.floor(at).cast("int")
+    a, b = F.get(ordered, low), F.get(ordered, F.least(low + 1, F.size(values) - 1))
+    return a + (b - a) * (at - low)
+
+
+def semantic(rows: DataFrame, share: float = 0.95, buffer: int = 1, key: str = "id", text: str = "content", make: Callable[[], Model] = Hashing) -> DataFrame:
+    """(key, chunk_index, n_sentences, content): texts cut where neighbouring sentences are farther apart than the ``share`` percentile of the text's own distances.
+
+    Chunks of a text make up the text, spaces included. A text of one sentence is one chunk,
+    a null, empty or blank one has none; distances that tie with the percentile do not cut.
+    Narrow: texts do not leave their partitions.
+    """
+    given = F.coalesce(F.col(text), F.lit(""))
+    parts = F.when(F.rlike(given, F.lit(r"\S")), F.regexp_extract_all(given, F.lit(SENTENCE), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    d = rows.select(F.col(key), parts.alias("_s")).withColumn("_d", adjacent_distances(F.col("_s"), buffer, make)).withColumn("_t", percentile(F.col("_d"), share))
+    n = F.size("_s")
+    cuts = F.filter(F.sequence(F.lit(1), F.greatest(F.size("_d"), F.lit(1))), lambda i: F.coalesce(F.get("_d", i - 1) > F.col("_t"), F.lit(False)))
+    spans = F.arrays_zip(F.concat(F.array(F.lit(0)), cuts).alias("a"), F.concat(cuts, F.array(n)).alias("b"))
+    d = d.select(key, F.posexplode(F.when(n > 0, F.transform(spans, lambda x: F.slice("_s", x["a"] + 1, x["b"] - x["a"])))).alias("chunk_index", "_p"))
+    return d.select(key, "chunk_index", F.size("_p").alias("n_sentences"), F.array_join("_p", "").alias("content"))
+
+
+CHUNKERS: dict[str, Callable[[str], Iterator[Chunk]]] = {"document": document, "markdown": markdown, "structural": structural, "hierarchical": hierarchical, "python": python_code, "code": braced_code, "helm": helm, "sentence": sentence, "html": html, "json": json_parts}
 
 
 def chunks(rows: DataFrame, kind: str = "document", key: str = "id", text: str = "content") -> DataFrame:
