@@ -4,14 +4,15 @@ Numbers (in figures and words), names and units become typed slots that keep the
 name is any capitalised word but the function words. Windows of eight tokens, hashed with the
 slots' types in place of their values, are joined to the windows of the benchmark items,
 which stand there once with names as slots and once as words, for texts in one case only.
-Along each alignment of an item with a document each value of the item must stand for one
-value of the document: a question with other numbers or names put in consistently is caught,
-and a chance likeness whose slots contradict each other is not. Windows of which more than
-half are slots, and short items, must agree in the values too.
-
-Documents are only scanned and expanded; the shuffles carry matched windows alone. The
-windows of the benchmark are broadcast if they take at most ``MOST_BROADCAST`` bytes and
-joined by shuffle otherwise.
+Along each alignment of an item with a document each value of the item stands for one value
+of the document, the one that it meets most often: a question with other numbers or names put
+in consistently is caught whole, and windows that contradict the rest do not count. Windows
+with the item's own values count in any case. Windows of which more than half are slots, and
+short items, must agree in the values too.
+
+Documents are scanned twice. First their windows' hashes alone, without tokens, meet those of
+the benchmark; then the documents that hold some are read again and their tokens compared.
+Spark chooses each join by the sizes of the tables, and the plan is the same at every size.
 """
 
 from __future__ import annotations
@@ -24,8 +25,6 @@ from siltstone.llm.shared import materialise, require, text_or_empty
 WINDOW, COVERAGE, RUN = 8, 0.5, 13
 #: Items of fewer tokens are found whole and with equal values only.
 SHORTEST = 5
-#: Bytes of benchmark windows that may be broadcast.
-MOST_BROADCAST = 64 << 20
 #: Capitalised words that are no names, and number words (fixed values).
 FUNCTION_WORDS = "a|about|after|all|also|although|am|an|and|any|are|as|at|be|because|been|before|but|by|can|could|did|do|does|each|every|find|for|from|had|has|have|he|her|his|how|i|if|in|is|it|its|let|many|may|more|most|much|my|no|not|now|of|on|or|our|she|should|since|so|some|than|that|the|their|then|there|these|they|this|those|to|was|we|were|what|when|where|which|while|who|why|will|with|would|you|your"
 NUMBER_WORDS = "one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|thirteen|fourteen|fifteen|sixteen|seventeen|eighteen|nineteen|twenty|thirty|forty|fifty|sixty|seventy|eighty|ninety|hundred|thousand|million|dozen"
@@ -87,26 +86,40 @@ def window_hashes(hashes: Column, length: int) -> Column:
 
 
 def windows(rows: DataFrame, lengths: list[int], names: bool = True) -> DataFrame:
-    """Adds ``len``, ``pos`` and ``h`` for each window of ``toks``, for each length.
+    """The columns of ``rows`` but ``toks``, with ``len``, ``pos`` and ``h`` for each window of ``toks``, for each length.
 
     Hashes are a column before they are opened, so that opening copies no tokens; the outer
     form keeps Spark from computing them again in a filter. ``h`` is null where there is none.
     """
+    own = [c for c in rows.columns if c != "toks"]
     hashed = rows.withColumn("_th", token_hashes(F.col("toks"), names))
-    hashed = hashed.select(*rows.columns, *(window_hashes(F.col("_th"), n).alias(f"_h{n}") for n in lengths))
+    hashed = hashed.select(*own, *(window_hashes(F.col("_th"), n).alias(f"_h{n}") for n in lengths))
     if len(lengths) > 1:
-        hashed = hashed.select(*rows.columns, F.explode(F.array(*(F.struct(F.lit(n).alias("len"), F.col(f"_h{n}").alias("hs")) for n in lengths))).alias("_w"))
-        hashed = hashed.select(*rows.columns, F.col("_w.len").alias("len"), F.col("_w.hs").alias("hs"))
+        hashed = hashed.select(*own, F.explode(F.array(*(F.struct(F.lit(n).alias("len"), F.col(f"_h{n}").alias("hs")) for n in lengths))).alias("_w"))
+        hashed = hashed.select(*own, F.col("_w.len").alias("len"), F.col("_w.hs").alias("hs"))
     else:
-        hashed = hashed.select(*rows.columns, F.lit(lengths[0]).alias("len"), F.col(f"_h{lengths[0]}").alias("hs"))
-    return hashed.select(*rows.columns, "len", F.posexplode_outer("hs").alias("pos", "h"))
+        hashed = hashed.select(*own, F.lit(lengths[0]).alias("len"), F.col(f"_h{lengths[0]}").alias("hs"))
+    return hashed.select(*own, "len", F.posexplode_outer("hs").alias("pos", "h"))
 
 
-def slot_pairs(item: Column, doc: Column) -> Column:
-    """(i, d): the values at the slots of an item's window and at the same places of the document's."""
+def slot_pairs(item: Column, doc: Column, start: Column) -> Column:
+    """(p, i, d): place in the item and the values at the slots of an item's window and at the same places of the document's."""
     value = lambda x: F.when(F.startswith(x, F.lit(NAME)), F.substring(x, 2, 1 << 30)).otherwise(x)
-    both = F.filter(F.arrays_zip(item.alias("i"), doc.alias("d")), lambda p: is_slot(p["i"]))
-    return F.transform(both, lambda p: F.struct(value(p["i"]).alias("i"), value(p["d"]).alias("d")))
+    both = F.transform(F.arrays_zip(item.alias("i"), doc.alias("d")), lambda x, k: F.struct((k + start).alias("p"), x["i"].alias("i"), x["d"].alias("d")))
+    return F.transform(F.filter(both, lambda x: is_slot(x["i"])), lambda x: F.struct(x["p"], value(x["i"]).alias("i"), value(x["d"]).alias("d")))
+
+
+def majority(pairs: Column) -> Column:
+    """(i, d): for each item value of distinct (p, i, d) the value it meets most often; of several the equal one, else that met first."""
+    kinds = F.array_distinct(F.transform(pairs, lambda x: F.struct(x["i"], x["d"])))
+
+    def vote(v: Column) -> Column:
+        places = F.transform(F.filter(pairs, lambda x: (x["i"] == v["i"]) & (x["d"] == v["d"])), lambda x: x["p"])
+        return F.struct(v["i"].alias("i"), F.struct(F.size(places), v["i"] == v["d"], -F.array_min(places)).alias("weight"), v["d"].alias("d"))
+
+    votes = F.transform(kinds, vote)
+    best = F.filter(votes, lambda v: ~F.exists(votes, lambda u: (u["i"] == v["i"]) & (u["weight"] > v["weight"])))
+    return F.transform(best, lambda v: F.struct(v["i"], v["d"]))
 
 
 def longest_run(places: Column) -> Column:
@@ -124,43 +137,45 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, co
     """One row for each leak: doc_id, item_id, ``matched`` and ``windows`` (longs), ``coverage``, ``run`` (tokens in a row, long), ``slots`` (distinct ones compared) and ``reparameterised``.
 
     An item leaks into a document if at least the share ``coverage`` of the item's distinct
-    window places, or ``run`` tokens in a row, occur there along alignments whose slots are
-    consistent; windows without slots count in any case. Items of fewer tokens than
-    ``window`` are searched whole, those of fewer than ``SHORTEST`` with equal values; null
-    texts are empty and items without a word are not searched. Rows with equal doc_id (nulls
-    too) are judged together, items with equal item_id too.
+    window places, or ``run`` tokens in a row, occur there along an alignment: windows with
+    equal values, and those whose values are the ones that the item's values meet most often
+    along it. Items of fewer tokens than ``window`` are searched whole, those of fewer than
+    ``SHORTEST`` with equal values; null texts are empty and items without a word are not
+    searched. Rows with equal doc_id (nulls too) are judged together, items with equal item_id
+    too. Very long texts are a row each as any other; extra columns are ignored, whatever
+    their names. An empty table on either side gives an empty one.
     """
     require(docs, ["doc_id", "text"])
     require(benchmark, ["item_id", "text"])
     items = benchmark.select("item_id", tokens(text_or_empty()).alias("toks")).withColumn("n", F.size("toks")).where("n > 0")
     short = sorted(r["n"] for r in items.where(F.col("n") < window).select("n").distinct().collect())  # fewer than window numbers
     lengths = [*short, window]
-    wanted = windows(items, lengths).unionByName(windows(items, lengths, False)).where(F.col("h").isNotNull() & (F.col("len") == F.least("n", F.lit(window))))
-    item_toks = F.slice("toks", F.col("pos") + 1, F.col("len"))
-    wanted = wanted.select("item_id", "len", F.col("pos").alias("item_pos"), "h", F.greatest(F.col("n") - window + 1, F.lit(1)).alias("windows"), item_toks.alias("item_toks")).distinct()
+    wanted = windows(items.withColumn("all", F.col("toks")), lengths).unionByName(windows(items.withColumn("all", F.col("toks")), lengths, False)).where(F.col("h").isNotNull() & (F.col("len") == F.least("n", F.lit(window))))
+    wanted = wanted.select("item_id", "len", F.col("pos").alias("item_pos"), "h", F.greatest(F.col("n") - window + 1, F.lit(1)).alias("windows"), F.slice("all", F.col("pos") + 1, F.col("len")).alias("item_toks")).distinct()
     wanted = materialise(wanted.withColumn("equal", (F.size(F.filter("item_toks", is_slot)) * 2 > F.col("len")) | (F.col("len") < SHORTEST)), "leak-windows")
-    found = windows(docs.select("doc_id", tokens(text_or_empty()).alias("toks")), lengths).withColumnsRenamed({"len": "dlen", "h": "dh"})
-    size = wanted.agg(F.sum(64 + F.octet_length(F.array_join("item_toks", " ")) + F.octet_length(F.col("item_id").cast("string")))).first()[0] or 0
-    right = F.broadcast(wanted) if size <= MOST_BROADCAST else wanted
-    pairs = slot_pairs(F.col("item_toks"), F.slice("toks", F.col("pos") + 1, F.col("dlen")))
-    hits = found.join(right, (F.col("dlen") == F.col("len")) & (F.col("dh") == F.col("h")))
-    hits = hits.select("doc_id", "item_id", "windows", "len", "item_pos", "equal", (F.col("pos") - F.col("item_pos")).alias("shift"), pairs.alias("pairs"))
-    # a condition here and not a filter, which Spark would move into the join and so copy tokens for every window
-    counts = ~(F.col("equal") & F.exists("pairs", lambda p: p["i"] != p["d"]))
-    lines = hits.groupBy("doc_id", "item_id", "windows", "len", "shift").agg(
-        F.collect_set(F.when(counts, F.col("item_pos"))).alias("places"),
-        F.collect_set(F.when(F.size("pairs") == 0, F.col("item_pos"))).alias("plain"),
-        F.array_distinct(F.flatten(F.collect_set(F.when(counts, F.col("pairs"))))).alias("pairs"),
-    )
-    agree = F.size(F.array_distinct(F.transform("pairs", lambda p: p["i"]))) == F.size("pairs")
-    judged = lines.select("doc_id", "item_id", "windows", "len", F.when(agree, F.col("places")).otherwise(F.col("plain")).alias("places"), "pairs", agree.alias("agree"))
-    rows = F.when(F.size("places") > 0, longest_run(F.col("places")) + F.col("len") - 1).otherwise(0)
+    rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), F.col("text"))
+    found = windows(rows.select("row", tokens(text_or_empty()).alias("toks")), lengths)
+    found = found.join(materialise(wanted.select("len", "h").distinct(), "leak-hashes"), ["len", "h"]).select("row", "len", "pos", "h")
+    held = materialise(found.groupBy("row").agg(F.collect_set(F.struct("len", "pos", "h")).alias("hits")), "leak-hits")
+    again = rows.join(held, "row").select("doc_id", tokens(text_or_empty()).alias("toks"), "hits")
+    # tokens are cut before hits are opened, so that opening copies none
+    cuts = F.transform("hits", lambda x: F.struct(x["len"].alias("len"), x["h"].alias("h"), x["pos"].alias("pos"), F.slice("toks", x["pos"] + 1, x["len"]).alias("toks")))
+    opened = again.select("doc_id", F.explode(cuts).alias("x")).select("doc_id", F.col("x.len").alias("len"), F.col("x.h").alias("h"), F.col("x.pos").alias("pos"), F.col("x.toks").alias("doc_toks"))
+    hits = opened.join(wanted, ["len", "h"]).select("doc_id", "item_id", "windows", "len", "item_pos", "equal", (F.col("pos") - F.col("item_pos")).alias("shift"), slot_pairs(F.col("item_toks"), F.col("doc_toks"), F.col("item_pos")).alias("pairs"))
+    differ = lambda x: x["i"] != x["d"]
+    hits = hits.where(~(F.col("equal") & F.exists("pairs", differ)))
+    lines = hits.groupBy("doc_id", "item_id", "windows", "len", "shift").agg(F.collect_set(F.struct("item_pos", "pairs")).alias("found"))
+    lines = lines.withColumn("votes", majority(F.array_distinct(F.flatten(F.transform("found", lambda w: w["pairs"])))))
+    agrees = lambda x: ~differ(x) | F.array_contains("votes", F.struct(x["i"], x["d"]))
+    kept = F.filter("found", lambda w: ~F.exists(w["pairs"], differ) | F.forall(w["pairs"], agrees))
+    lines = lines.withColumn("found", kept).where(F.size("found") > 0)
+    judged = lines.select("doc_id", "item_id", "windows", "len", F.transform("found", lambda w: w["item_pos"]).alias("places"), F.array_distinct(F.flatten(F.transform("found", lambda w: F.transform(w["pairs"], lambda x: F.struct(x["i"], x["d"]))))).alias("pairs"))
     leaks = judged.groupBy("doc_id", "item_id").agg(
         F.max("windows").cast("long").alias("windows"),
         F.size(F.array_distinct(F.flatten(F.collect_set("places")))).cast("long").alias("matched"),
-        F.max(rows).cast("long").alias("run"),
-        F.max(F.when(F.col("agree"), F.size("pairs")).otherwise(0)).cast("long").alias("slots"),
-        F.max(F.col("agree") & F.exists("pairs", lambda p: p["i"] != p["d"])).alias("reparameterised"),
+        F.max(longest_run(F.array_distinct(F.col("places"))) + F.col("len") - 1).cast("long").alias("run"),
+        F.max(F.size("pairs")).cast("long").alias("slots"),
+        F.max(F.exists("pairs", differ)).alias("reparameterised"),
     )
     share = F.col("matched") / F.col("windows")
     return leaks.where((share >= coverage) | (F.col("run") >= run)).select("doc_id", "item_id", "matched", "windows", share.alias("coverage"), "run", "slots", "reparameterised")

@@ -73,14 +73,16 @@ def brute(docs, items):
                 item = it[p : p + n]
                 strict = sum(map(bool, map(slot, item))) * 2 > n or n < dc.SHORTEST
                 for q in {*places[n].get(open_(item), []), *places[n].get(plain(item), [])}:
-                    pairs = [(a[1], b[1]) for a, b in zip(item, dt[q : q + n]) if slot(a)]
-                    if not strict or all(a == b for a, b in pairs):
+                    pairs = [(p + k, a[1], b[1]) for k, (a, b) in enumerate(zip(item, dt[q : q + n])) if slot(a)]
+                    if not strict or all(a == b for _, a, b in pairs):
                         lines.setdefault(q - p, []).append((p, pairs))
             matched, run = set(), 0
             for found in lines.values():
-                pairs = {x for _, ps in found for x in ps}
-                agree = len({a for a, _ in pairs}) == len(pairs)
-                good = {p for p, ps in found if agree or not ps}
+                met = {}  # item value: document value: places
+                for at, a, b in {x for _, ps in found for x in ps}:
+                    met.setdefault(a, {}).setdefault(b, []).append(at)
+                stands = {a: max(v, key=lambda b: (len(v[b]), a == b, -min(v[b]))) for a, v in met.items()}
+                good = {p for p, ps in found if all(a == b for _, a, b in ps) or all(stands[a] == b for _, a, b in ps)}
                 run = max([run, *(k - p + n for p in good for k in range(p, len(it)) if all(x in good for x in range(p, k + 1)))])
                 matched |= good
             if matched and (len(matched) >= dc.COVERAGE * max(len(it) - n + 1, 1) or run >= dc.RUN):
@@ -93,10 +95,11 @@ def both(spark, docs, items):
     return d, spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit("clash"))
 
 
-def test_other_values_are_found_and_contradictions_are_not(spark):
+def test_other_values_are_found_and_contradicting_windows_do_not_count(spark):
     d, i = both(spark, [(1, f"{FILLER} {ITEM} {FILLER}"), (2, f"{FILLER}. {OTHER}"), (3, TORN), (4, FILLER), (5, None), (6, "")], [(7, ITEM), (8, None), (9, "")])
     got = {r["doc_id"]: r for r in dc.contaminated(d, i).collect()}
-    assert set(got) == {1, 2} and not got[1]["reparameterised"] and got[2]["reparameterised"] and got[2]["slots"] >= 3
+    assert set(got) == {1, 2, 3} and not got[1]["reparameterised"] and got[2]["reparameterised"] and got[2]["slots"] >= 3
+    assert got[1]["matched"] == got[2]["matched"] == 13 and got[3]["matched"] == 9 and got[3]["run"] < 20
 
 
 def test_equals_brute_force(spark):
@@ -111,13 +114,29 @@ def test_equals_brute_force(spark):
     assert got == brute(docs, items) and len(got) > 40
 
 
-def test_the_join_without_a_broadcast_gives_the_same(spark, monkeypatch):
+FARMER = "A farmer has 12 cows and 30 sheep. He sells 12 cows for 400 dollars each and buys 8 more sheep for 90 dollars each at the fair. How many dollars does he have left after all of that is paid"
+
+
+@pytest.mark.parametrize("change", [("sells 12", "sells 11"), ("has 12", "has 14"), ("sells 12 cows for 400", "sells 9 cows for 350"), ("30 sheep", "31 sheep")])
+def test_one_contradicting_number_does_not_hide_a_copy(spark, change):
+    d, i = both(spark, [(1, FARMER.replace(*change)), (2, FILLER)], [(7, FARMER)])
+    got = dc.contaminated(d, i).collect()
+    assert [r["doc_id"] for r in got] == [1] and got[0]["coverage"] > 0.5
+    assert {(r["doc_id"], r["item_id"], r["matched"], r["run"]) for r in got} == brute([(1, FARMER.replace(*change))], [(7, FARMER)])
+
+
+def test_joins_of_any_kind_give_the_same_and_shuffle_no_tokens(spark):
     docs, items = [(1, ITEM), (2, OTHER), (3, TORN), (None, ITEM), (4, FILLER)], [(7, ITEM)]
     d, i = both(spark, docs, items)
     kept = lambda: sorted(r["doc_id"] for r in dc.clean_documents(d, i).collect())
-    first = kept()
-    monkeypatch.setattr(dc, "MOST_BROADCAST", 0)
-    assert kept() == first == [3, 4]
+    first, limit = kept(), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert kept() == first == [4]
+        plan = dc.contaminated(d, i)._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
 
 
 STORY = "Tom has 12 apples. Tom gives 5 apples to Ann and three pears to O'Brien. Tom then buys 4 more at the old mill by the river."
@@ -126,7 +145,7 @@ CASES = [
     ("a name that opens sentences", STORY, STORY.replace("Tom", "Bob").replace("12", "31").replace("three", "seven").replace("O'Brien", "McDonald"), True),
     ("values that become equal", STORY, STORY.replace("12", "4").replace("5 ", "4 "), True),
     ("one name for two", STORY.replace("Tom gives", "Tim gives"), STORY, True),
-    ("two names for one", STORY, STORY.replace("Tom gives", "Tim gives"), False),
+    ("two names for one", STORY, STORY.replace("Tom gives", "Tim gives"), True),
     ("capitals", STORY, STORY.upper(), True),
     ("small letters", STORY, STORY.lower(), True),
     ("a quotation of 13 words", QUOTE, "other text before " + " ".join(QUOTE.split()[3:16]) + " and after", True),
