@@ -6,9 +6,17 @@ language is the product over its words of the sum, over all segmentations of the
 pieces, of the product of the pieces' probabilities; a forward pass adds them up. Words end
 at white space, so pieces never cross them and every distinct word is scored once.
 
+Long words, as a script without spaces writes its sentences, are summed letter by letter with
+the last sixteen sums at hand, in logarithms, so memory does not grow with them.
+
 Fitting reads a bounded sample of labelled rows (``per_lang`` whole texts a language are
-expected, chosen by a hash of the id). Scoring is one narrow pass over all rows: no shuffle,
-no state between tasks but a cache of word scores of a fixed size.
+expected, chosen by a hash of the id, of at most ``most_langs`` languages). Scoring is one
+narrow pass over all rows: no shuffle, no state between tasks but a cache of word scores of a
+fixed size.
+
+A posterior tells languages apart but not a text in none of them, so the model also knows how
+likely a letter is in each language: from the sample, the mean of the words' log-likelihood a
+letter and how much it varies. ``predict`` gives each text's distance from that mean.
 """
 
 from __future__ import annotations
@@ -25,8 +33,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from siltstone.llm.shared import TOKENIZERS, materialise, require
 
 VOCABULARY = f"{TOKENIZERS}/piece_bpe_32k.model"
-#: Longer words are scored as consecutive runs of this many letters, so sums stay in range.
-WORD_RUN = 40
+#: Words of up to this many letters are summed many at a time; 1e-7 to this power is within a double.
+SHORT = 40
+#: Positions of a long word that are looked up at a time.
+STRETCH = 1 << 16
 #: Letters of the longest piece that a vocabulary may hold, and the least probability of a character that no piece covers.
 PIECE_CHARS, FLOOR = 16, 1e-7
 #: Distinct words whose scores a worker keeps.
@@ -72,8 +82,37 @@ class Pieces:
         return cls(pieces)
 
 
-def runs(word: str) -> list[str]:
-    return [MARK + word] if len(word) < WORD_RUN else [MARK + word[: WORD_RUN - 1], *(word[a : a + WORD_RUN] for a in range(WORD_RUN - 1, len(word), WORD_RUN))]
+def pieces_at(word: str, pieces: Pieces, start: int, end: int) -> np.ndarray:
+    """For n from 1 to 16 and each position of [start, end) the piece of n letters that ends there, or -1."""
+    first = max(0, start - PIECE_CHARS + 1)
+    points = np.frombuffer(word[first:end].encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
+    out = np.full((PIECE_CHARS, end - start), -1, np.int32)
+    run = np.zeros(len(points), np.uint64)
+    for n in range(1, min(PIECE_CHARS, len(points)) + 1):
+        run = run[: len(points) - n + 1] * Pieces.BASE + points[n - 1 :]  # hashes of the n letters from each place on
+        found = pieces.find(run)[max(0, start - first - n + 1) :]
+        out[n - 1, end - start - len(found) :] = found
+    return out
+
+
+def summed(word: str, pieces: Pieces, logs: np.ndarray, back: bool = False) -> np.ndarray:
+    """Log sums over all segmentations of a word of any length, a column a language; ``back``: of all its beginnings.
+
+    logs: the table's logarithms; its last row is for a letter without a piece.
+    """
+    last, every = np.zeros((1, logs.shape[1])), []  # sums up to the last sixteen positions, latest first
+    for a in range(0, len(word), STRETCH):
+        found = pieces_at(word, pieces, a, min(a + STRETCH, len(word)))
+        found[0][found[0] < 0] = len(logs) - 1
+        for column in found.T:
+            n = np.flatnonzero(column[: len(last)] >= 0)
+            terms = last[n] + logs[column[n]]
+            top = terms.max(axis=0)
+            now = top + np.log(np.exp(terms - top).sum(axis=0))
+            last = np.concatenate([now[None], last[: PIECE_CHARS - 1]])
+            if back:
+                every.append(now)
+    return np.array(every) if back else last[0]
 
 
 def lattices(words: list[str], pieces: Pieces, block: int = 4096) -> Iterator[tuple[np.ndarray, list[list[tuple[np.ndarray, np.ndarray]]], np.ndarray]]:
@@ -113,19 +152,47 @@ def forward(ends: list, count: int, table: np.ndarray) -> np.ndarray:
 
 def score_words(words: list[str], pieces: Pieces, table: np.ndarray) -> np.ndarray:
     """Log of each word's summed probability in each language."""
-    parts = [runs(w) for w in words]
-    flat = [p for ps in parts for p in ps]
-    out = np.empty((len(flat), table.shape[1]))
-    for rows, ends, size in lattices(flat, pieces):
-        out[rows] = np.log(forward(ends, len(rows), table)[size, np.arange(len(rows))])
-    if len(flat) == len(words):
-        return out
-    return np.add.reduceat(out, np.cumsum([0, *(len(p) for p in parts[:-1])]), axis=0)
+    marked = [MARK + w for w in words]
+    out = np.empty((len(words), table.shape[1]))
+    short = [k for k, w in enumerate(marked) if len(w) <= SHORT]
+    for rows, ends, size in lattices([marked[k] for k in short], pieces):
+        out[np.array(short)[rows]] = np.log(forward(ends, len(rows), table)[size, np.arange(len(rows))])
+    logs = np.log(table) if len(short) < len(words) else None
+    for k, w in enumerate(marked):
+        if len(w) > SHORT:
+            out[k] = summed(w, pieces, logs)
+    return out
+
+
+def expected_long(word: str, weight: float, pieces: Pieces, logs: np.ndarray) -> np.ndarray:
+    """As ``expected`` for one word of any length; logs: one column."""
+    total = np.zeros(len(logs))
+    ahead = np.concatenate([[0.0], summed(word, pieces, logs, True)[:, 0]])
+    behind = np.zeros(PIECE_CHARS)  # sums from the next positions to the end, nearest first
+    found = pieces_at(word, pieces, 0, len(word))
+    found[0][found[0] < 0] = len(logs) - 1
+    size = np.arange(1, PIECE_CHARS + 1)
+    for at in range(len(word) - 1, -1, -1):
+        n = size[: len(word) - at]
+        of = found[n - 1, at + n - 1]
+        n, of = n[of >= 0], of[of >= 0]
+        terms = behind[n - 1] + logs[of, 0]
+        np.add.at(total, of, weight * np.exp(ahead[at] + terms - ahead[-1]))
+        top = terms.max()
+        behind = np.concatenate([[top + np.log(np.exp(terms - top).sum())], behind[:-1]])
+    return total
 
 
 def expected(words: list[str], weights: np.ndarray, pieces: Pieces, table: np.ndarray) -> np.ndarray:
     """Expected uses of each piece (last: letters without a piece) over all segmentations; one language."""
     total = np.zeros(len(table))
+    long = [k for k, w in enumerate(words) if len(w) > SHORT]
+    if long:
+        logs = np.log(table)
+        for k in long:
+            total += expected_long(words[k], weights[k], pieces, logs)
+        short = [k for k, w in enumerate(words) if len(w) <= SHORT]
+        words, weights = [words[k] for k in short], weights[short]
     for rows, ends, size in lattices(words, pieces):
         alpha = forward(ends, len(rows), table)[:, :, 0]
         beta = np.zeros_like(alpha)
@@ -141,10 +208,13 @@ def expected(words: list[str], weights: np.ndarray, pieces: Pieces, table: np.nd
 
 
 class Model:
-    """Languages, their priors, the vocabulary, and a probability for each piece and language."""
+    """Languages, their priors, the vocabulary, a probability for each piece and language, and
+    the usual log-likelihood a letter and the variance of a word around it, by language."""
 
-    def __init__(self, langs: list[str], priors: np.ndarray, pieces: Pieces, table: np.ndarray):
+    def __init__(self, langs: list[str], priors: np.ndarray, pieces: Pieces, table: np.ndarray, usual: np.ndarray | None = None, spread: np.ndarray | None = None):
         self.langs, self.priors, self.pieces, self.table = langs, priors, pieces, table
+        self.usual = np.zeros(len(langs)) if usual is None else usual
+        self.spread = np.ones(len(langs)) if spread is None else spread
 
 
 def learning_rows(docs: DataFrame) -> Column:
@@ -156,17 +226,18 @@ def held_out() -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 == 0
 
 
-def fit(docs: DataFrame, vocabulary: str = VOCABULARY, per_lang: int = 1000, rounds: int = 3, where: Column | None = None) -> Model:
+def fit(docs: DataFrame, vocabulary: str = VOCABULARY, per_lang: int = 1000, rounds: int = 3, where: Column | None = None, most_langs: int = 256) -> Model:
     """Fit on about ``per_lang`` labelled rows a language, drawn by a hash of doc_id.
 
     Only ``text`` and ``lang`` of rows that ``where`` admits (default: outside the held-out
-    fifth) are used. Counting words and the expectation steps run on the executors; what
-    reaches the driver is one number a piece and language, bounded by the vocabulary.
+    fifth) are used. Of more than ``most_langs`` values of ``lang`` the most frequent are
+    learnt, ties by name. Counting words and the expectation steps run on the executors; what
+    reaches the driver is one number a piece and language, bounded by vocabulary and languages.
     """
     require(docs, ["doc_id", "text", "lang"])
     spark = docs.sparkSession
     rows = docs.where(learning_rows(docs) if where is None else where).select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_langs).collect()}
     langs = sorted(sizes)
     pieces = Pieces.load(vocabulary)
     if not langs:
@@ -180,11 +251,11 @@ def fit(docs: DataFrame, vocabulary: str = VOCABULARY, per_lang: int = 1000, rou
         for batch in batches:
             found: dict[str, Counter] = {}
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found.setdefault(lang, Counter()).update(p for w in text.split() for p in runs(w))
+                found.setdefault(lang, Counter()).update(MARK + w for w in text.split())
             for lang, words in found.items():
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(words)), pa.array(list(words)), pa.array(list(words.values()), pa.int64())], names=["lang", "word", "n"])
 
-    words = materialise(drawn.select("text", "lang").mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).repartition(24, "word"), "langid-words")
+    words = materialise(drawn.select("text", "lang").mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).repartition("word"), "langid-words")
     table = np.full((len(pieces.pieces) + 1, len(langs)), 1.0 / len(pieces.pieces))
     shared = spark.sparkContext.broadcast(pieces)
     for _ in range(rounds):
@@ -207,48 +278,73 @@ def fit(docs: DataFrame, vocabulary: str = VOCABULARY, per_lang: int = 1000, rou
             sums[r["piece"], r["lang"]] = r["n"] / SCALE
         table = np.maximum((sums + 0.01) / (sums.sum(axis=0) + 0.01 * len(sums)), FLOOR)
         table[-1] = np.minimum(table[-1], 1e-5)
+    final = spark.sparkContext.broadcast(table)
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sums by language over its words: uses, letters, log-likelihood, and products of the last two."""
+        sums = np.zeros((len(langs), 6))
+        for batch in batches:
+            of, n = np.array(batch.column(0).to_pylist()), batch.column(2).to_numpy(zero_copy_only=False).astype(float)
+            for k, lang in enumerate(langs):
+                mine = np.flatnonzero(of == lang)
+                if len(mine):
+                    words = [w[len(MARK) :] for w in batch.column(1).take(pa.array(mine)).to_pylist()]
+                    logs, size, uses = score_words(words, shared.value, final.value[:, k : k + 1])[:, 0], np.array([len(w) + 1 for w in words]), n[mine]
+                    sums[k] += [(uses * x).sum() for x in (np.ones(len(uses)), size, logs, size * size, size * logs, logs * logs)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(langs)), pa.int32()), *(pa.array(c) for c in sums.T)], names=["lang", *"abcdef"])
+
+    usual, around = np.zeros(len(langs)), np.ones(len(langs))
+    for r in words.mapInArrow(spread, "lang int, a double, b double, c double, d double, e double, f double").groupBy("lang").agg(*(F.sum(c).alias(c) for c in "abcdef")).collect():
+        if r["a"]:
+            usual[r["lang"]] = m = r["c"] / r["b"]
+            around[r["lang"]] = max((r["f"] - 2 * m * r["e"] + m * m * r["d"]) / r["a"], 1e-6)
     total = sum(sizes.values())
-    return Model(langs, np.log([sizes[lang] / total for lang in langs]), pieces, table)
+    return Model(langs, np.log([sizes[lang] / total for lang in langs]), pieces, table, usual, around)
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """Add ``lang_pred`` and ``score`` (the posterior, 0 to 1) to all rows of ``docs``.
+    """Add ``lang_pred``, ``score`` (the posterior, 0 to 1) and ``strange`` to all rows of ``docs``.
 
-    Only ``text`` is looked at. A text that is null or has no letter gets ``und`` and 0, and
-    so does every row if nothing was learnt. Ties go to the language first in the alphabet;
-    equal texts get equal results. Columns of these two names are replaced.
+    ``strange`` is how much less likely a letter of the text is than one of ``lang_pred``
+    usually is, in natural logarithms, less four standard errors for texts of as many words.
+    Only ``text`` is looked at. A text that is null or has no letter gets ``und``, 0 and null,
+    and so does every row if nothing was learnt. Ties go to the language first in the
+    alphabet; equal texts get equal results. Columns of these three names are replaced.
     """
     require(docs, ["text"])
-    docs = docs.drop("lang_pred", "score")
+    docs = docs.drop("lang_pred", "score", "strange")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang_pred string, score double")
+    @F.pandas_udf("lang_pred string, score double, strange double")
     def identify(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = shared.value
         letter, index = regex.compile(r"\p{L}").search, _Index()
         scores = np.zeros((0, len(model.langs)))
         for texts in batches:
-            langs, best = [], []
+            langs, best, strange = [], [], []
             usable = [bool(model.langs) and t is not None and letter(t) is not None for t in texts]
             ids = [np.fromiter(map(index.__getitem__, words := t.split()), np.int32, len(words)) if ok else None for t, ok in zip(texts, usable)]
             if index.new:
                 scores = np.concatenate([scores, score_words(index.new, model.pieces, model.table)])
                 index.new = []
-            for own in ids:
+            for own, text in zip(ids, texts):
                 if own is None:
                     langs.append(UNKNOWN)
                     best.append(0.0)
+                    strange.append(None)
                     continue
                 logs = scores[own].sum(axis=0) + model.priors
                 k = int(logs.argmax())
                 langs.append(model.langs[k])
                 best.append(float(1 / np.exp(logs - logs[k]).sum()))
+                letters = sum(map(len, text.split())) + len(own)
+                strange.append(float(model.usual[k] - (logs[k] - model.priors[k] + 4 * np.sqrt(model.spread[k] * len(own))) / letters))
             if len(index) > CACHE_WORDS:
                 index, scores = _Index(), scores[:0]
-            yield pd.DataFrame({"lang_pred": langs, "score": best})
+            yield pd.DataFrame({"lang_pred": langs, "score": best, "strange": pd.Series(strange, dtype=float)})
 
     found = docs.withColumn("_found", identify(F.col("text").cast("string")))
-    return found.select(*docs.columns, "_found.lang_pred", "_found.score")
+    return found.select(*docs.columns, "_found.lang_pred", "_found.score", F.nanvl("_found.strange", F.lit(None).cast("double")).alias("strange"))
 
 
 class _Index(dict):

@@ -87,6 +87,57 @@ def test_expected_counts_equal_enumeration():
     assert np.allclose(langid.expected(words, weights, pieces, table), want)
 
 
+def test_long_words_are_summed_over_all_segmentations(monkeypatch):
+    names = ["a", "b", "ab", "aba", "bb", "▁", "▁a", "▁ab", "abbaabbaabbaabba"]
+    pieces, index = langid.Pieces(names), {p: k for k, p in enumerate(names)}
+    table = np.random.default_rng(3).random((len(names) + 1, 2)) * 1e-6
+    words = ["abba" * 30, "ab" * 25 + "x" + "ba" * 40, "é" * 45, "a"]
+
+    def dynamic(word, k):
+        """Exact sums in whole multiples of tiny numbers: products are kept as logarithms."""
+        from decimal import Decimal
+
+        sums = [Decimal(1)]
+        for t in range(1, len(word) + 1):
+            now = Decimal(0)
+            for n in range(1, min(16, t) + 1):
+                at = index.get(word[t - n : t], len(names) if n == 1 else None)
+                if at is not None:
+                    now += sums[t - n] * Decimal(float(table[at, k]))
+            sums.append(now)
+        return float(sums[-1].ln())
+
+    want = [[dynamic("▁" + w, k) for k in range(2)] for w in words]
+    assert np.allclose(langid.score_words(words, pieces, table), want, rtol=1e-12)
+    monkeypatch.setattr(langid, "STRETCH", 7)
+    assert np.allclose(langid.score_words(words, pieces, table), want, rtol=1e-12)
+
+
+def test_expected_counts_of_long_words():
+    names = ["a", "b", "ab", "aba", "▁", "▁a", "▁ab"]
+    pieces, table = langid.Pieces(names), np.random.default_rng(4).random((8, 1))
+    for word in ("▁aba", "▁abxab", "▁abaabab"):
+        assert np.allclose(langid.expected_long(word, 2.0, pieces, np.log(table)), langid.expected([word], np.array([2.0]), pieces, table))
+    long = "▁" + "abaab" * 100
+    got = langid.expected([long], np.array([1.0]), pieces, table)
+    assert np.isclose(sum(n * len(p) for n, p in zip(got, names)) + got[-1], len(long))
+
+
+def test_strangers_are_told_from_the_learnt(spark, model):
+    rows = ["Suomen kieli on itämerensuomalainen kieli, jota puhutaan pääosin Suomessa ja Ruotsissa", "qwxz vbnk jjhgf trwq plmkn zzxcv", "这是一个用于测试的中文句子没有空格而且很长很长很长", "the house of the people is on the hill", None, "7"]
+    got = langid.predict(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), model).orderBy("doc_id").collect()
+    assert all(r["strange"] > 2.3 for r in got[:3]) and got[3]["strange"] < 0 and got[4]["strange"] is None and got[5]["strange"] is None
+
+
+def test_learnt_rows_are_not_strange(docs, model):
+    assert langid.predict(docs, model).agg(F.max("strange")).first()[0] < 2.3
+
+
+def test_a_dirty_language_column_is_bounded(docs):
+    dirty = docs.withColumn("lang", F.when(F.col("doc_id") % 3 == 0, F.concat("lang", F.lit("-"), F.col("doc_id").cast("string"))).otherwise(F.col("lang")))
+    assert langid.fit(dirty, rounds=1, most_langs=4).langs == ["de", "en", "es", "fr"]
+
+
 def test_a_tie_goes_to_the_first_language(spark):
     names = ["a", "▁"]
     model = langid.Model(["xx", "yy"], np.log([0.5, 0.5]), langid.Pieces(names), np.full((3, 2), 0.3))

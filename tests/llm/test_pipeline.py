@@ -63,3 +63,16 @@ def test_clashing_extra_columns_change_nothing(spark):
     for _, stage in corpus_pipeline.STAGES[1:-1]:
         key = lambda d: sorted((r["doc_id"], r["text"]) for r in stage(spark, d, folder).collect())
         assert key(more) == key(docs)
+
+
+def test_languages_that_are_not_labelled_or_not_known(spark):
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    none = corpus_pipeline.language_id(spark, docs.withColumn("lang", corpus_pipeline.F.lit(None).cast("string")), folder)
+    assert none.count() == docs.count() and none.where("lang is not null").count() == 0
+    one = corpus_pipeline.language_id(spark, docs.withColumn("lang", corpus_pipeline.F.expr("if(lang = 'en', lang, null)")), folder)
+    assert {r["lang"] for r in one.select("lang").distinct().collect()} == {"en"}
+    assert one.join(docs.where("lang = 'en' and text rlike '[a-zA-Z]'"), "doc_id", "right").where(one["text"].isNull()).count() == 0
+    stranger = spark.createDataFrame([(-1, "Suomen kieli on itämerensuomalainen kieli, jota puhutaan pääosin Suomessa", None, "web", 70), (-2, "qwxz vbnk jjhgf trwq plmkn zzxcv", None, "web", 32)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r["doc_id"] for r in corpus_pipeline.language_id(spark, docs.unionByName(stranger), folder).collect()}
+    assert not kept & {-1, -2} and kept == {r["doc_id"] for r in docs.where(r"text rlike '\\p{L}'").collect()}
