@@ -1,7 +1,9 @@
 """The corpus pipeline: five stages over ``documents``, each written as Parquet and read again.
 
-Rows that language identification rejects go: those without a letter, and those whose best
-language is less likely than all others together; ``lang`` of the rest is the language found.
+Rows that language identification rejects go: those without a letter, those whose best
+language is less likely than all others together, and those of which a letter is ten times
+less likely than usual in that language; ``lang`` of the rest is the language found. Where no
+row has a language nothing is learnt and all rows stay as they are.
 Runs of lines that stand elsewhere too are cut, and documents of which nothing but white space
 is left by that go; one document of each group of near duplicates stays; documents into which
 a benchmark item leaks go; the rest is encoded. Nulls: a null text is rejected as unknown, and
@@ -20,13 +22,22 @@ from siltstone.llm import bpe, dartminhash, decontam, langid, lines
 from siltstone.llm.shared import materialise, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-LEAST_SCORE = 0.5
+#: Least posterior of a language, and the most that a letter may be less likely than usual (natural logarithms; about ln 10).
+LEAST_SCORE, MOST_STRANGE = 0.5, 2.3
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that is told with a score of ``LEAST_SCORE`` or more."""
-    found = langid.predict(docs.select(*COLUMNS), langid.fit(docs))
-    told = found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
+    """Documents in a language that is told with a score of ``LEAST_SCORE`` or more and no more than ``MOST_STRANGE`` in it.
+
+    Without a labelled row nothing is learnt, and all rows stay with their ``lang``. Nulls and
+    texts without a letter go otherwise; repeated rows get equal decisions, and an empty table
+    gives an empty one.
+    """
+    model = langid.fit(docs)
+    if not model.langs:
+        return docs.select(*COLUMNS)
+    found = langid.predict(docs.select(*COLUMNS), model)
+    told = found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE) & (F.col("strange") <= MOST_STRANGE))
     return told.withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
 
@@ -39,17 +50,25 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates."""
+    """One document of each class of near duplicates, that with the smallest doc_id, null last.
+
+    Rows equal in doc_id and text are one document and stay or go together; texts without words,
+    null ones too, are one class. An empty table gives an empty one.
+    """
     return dartminhash.keep_one(docs.select(*COLUMNS), weight="count")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents into which no benchmark item leaks."""
+    """Documents into which no benchmark item leaks.
+
+    Null texts hold nothing and stay; rows with equal doc_id, nulls too, are judged together.
+    An empty table gives an empty one, an empty benchmark leaves all rows.
+    """
     return decontam.clean_documents(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of all that is left."""
+    """Token counts and digests of all that is left; a null text is empty, repeated rows stay, no row goes."""
     return bpe.encode_documents(docs)
 
 
