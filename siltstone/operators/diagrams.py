@@ -92,10 +92,10 @@ def design_index(nodes: DataFrame) -> DataFrame:
     return nodes.select("id", text.alias("text"), F.coalesce("artifact_type", F.lit(UNKNOWN)).alias("artifact_type"), F.lit("INDEXED").alias("status"))
 
 
-def token_vectors(chunks: DataFrame, source_id: str = "default", source_type: str = "document") -> DataFrame:
-    """Chunks (id, content, chunk_index, vectors) with several vectors each, as late interaction reads them; empty ones are left out."""
+def token_vectors(chunks: DataFrame, source_id: str = "default", source_type: str = "document", kind: str = "float") -> DataFrame:
+    """Chunks (id, content, chunk_index, vectors) with several vectors each, of numbers of a ``kind``, as late interaction reads them; empty ones are left out."""
     kept = chunks.where((F.coalesce("content", F.lit("")) != "") & (F.size("vectors") > 0))
-    return kept.select("id", "content", "chunk_index", F.lit(source_id).alias("source_id"), F.lit(source_type).alias("source_type"), F.col("vectors").cast("array<array<float>>").alias("vectors"))
+    return kept.select("id", "content", "chunk_index", F.lit(source_id).alias("source_id"), F.lit(source_type).alias("source_type"), F.col("vectors").cast(f"array<array<{kind}>>").alias("vectors"))
 
 
 def extraction_pieces(text: Column, size: int = 8000) -> Column:

@@ -11,6 +11,7 @@ Texts are embedded once for each content hash and joined back to all rows that h
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -23,7 +24,7 @@ from siltstone.functions.text import script_language
 from siltstone.storage import cut
 
 DIMS, GRAM = 256, 3
-#: Words whose vectors a worker keeps.
+#: Words and trigrams whose hashes a worker keeps.
 CACHE_WORDS = 50_000
 #: Rows of one block when vectors are compared.
 BLOCK = 1024
@@ -43,28 +44,38 @@ class Hashing:
     """The hashing embedder: a list of texts to rows of whole numbers."""
 
     def __init__(self, dims: int = DIMS):
-        self.dims, self.known, self.rows = dims, {}, np.zeros((64, dims), np.int32)
+        self.dims = dims
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known, self.cells, self.rows = {}, {}, np.zeros((64, self.dims), np.int32)
+
+    def _cell(self, feature: str) -> tuple[int, int]:
+        h = int.from_bytes(hashlib.md5(feature.encode()).digest()[:8]) >> 4
+        cell = self.cells[feature] = (h % self.dims, 1 if h // self.dims % 2 == 0 else -1)
+        return cell
 
     def _word(self, word: str) -> int:
-        at = self.known.get(word)
-        if at is None:
-            at = self.known[word] = len(self.known)
-            if at == len(self.rows):
-                self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-            for f in features(word):
-                h = int(hashlib.md5(f.encode()).hexdigest()[:15], 16)
-                self.rows[at, h % self.dims] += 1 if h // self.dims % 2 == 0 else -1
+        at = self.known[word] = len(self.known)
+        if at == len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+        row, cells = self.rows[at], self.cells
+        for f in features(word):
+            k, sign = cells.get(f) or self._cell(f)
+            row[k] += sign
+        del cells[f"<{word}>"]  # the word itself comes again only as a word
         return at
 
     def __call__(self, texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), self.dims), np.int32)
         for k, text in enumerate(texts):
-            found = _words(text.lower())
+            found = Counter(_words(text.lower()))
             if found:
-                at, n = np.unique([self._word(w) for w in found], return_counts=True)
-                out[k] = n @ self.rows[at]
-            if len(self.known) > CACHE_WORDS:
-                self.known, self.rows = {}, np.zeros((64, self.dims), np.int32)
+                known = self.known
+                at = [known[w] if w in known else self._word(w) for w in found]
+                out[k] = np.fromiter(found.values(), np.int64, len(found)) @ self.rows[at]
+            if len(self.known) + len(self.cells) > CACHE_WORDS:
+                self._forget()
         return out
 
 

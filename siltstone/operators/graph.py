@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from siltstone.storage import cut
 
@@ -115,6 +115,37 @@ def multi_hop(nodes: DataFrame, edges: DataFrame, text: str, hops: int = 3, limi
     return found.orderBy("hops", "path").limit(bounded(limit, 1, MAX_ROWS))
 
 
+def first_neighbours(edges: DataFrame, fan: int = 3, order: str | None = None) -> DataFrame:
+    """(a, b, place): the first ``fan`` edges of each node, by ``order`` if given and then by target and type; Spark cuts hubs before it shuffles."""
+    w = Window.partitionBy("src").orderBy(*([order] if order else []), "dst", "type")
+    return edges.withColumn("place", F.row_number().over(w)).where(F.col("place") <= fan).select(F.col("src").alias("a"), F.col("dst").alias("b"), "place")
+
+
+def traversals(seeds: DataFrame, edges: DataFrame, hops: int = 3, fan: int = 3, order: str | None = None, within: DataFrame | None = None) -> DataFrame:
+    """(start, nodes): from each seed (id) the first ``hops`` nodes met in depth-first order.
+
+    A node leads on to its first ``fan`` edges, hubs too; a way never meets a node twice, and
+    is at most ``hops`` nodes long. ``within`` (id) names the only nodes that lead on. The
+    frontier grows by one join a hop; a seed without edges has itself alone. Repeated seeds
+    count once, null ids are left out; repeated edges count as edges of their own.
+    """
+    bounded(hops, 1, MAX_DEPTH)
+    bounded(fan, 1)
+    step = first_neighbours(edges, fan, order).withColumnRenamed("place", "turn")
+    if within is not None:
+        step = step.join(within.select(F.col("id").alias("a")).distinct(), "a", "left_semi")
+    step = cut(step)
+    front = seeds.where("id is not null").select(F.col("id").alias("start"), F.col("id").alias("node"), F.array("id").alias("way"), F.array().cast("array<int>").alias("place")).distinct()
+    met = front
+    for hop in range(1, hops):
+        near = front.join(step, F.col("node") == F.col("a")).where(~F.array_contains("way", F.col("b")))
+        front = near.select("start", F.col("b").alias("node"), F.concat("way", F.array("b")).alias("way"), F.concat("place", F.array("turn")).alias("place"))
+        met = met.unionByName(front)
+    # a way's places come before those of the ways that go on from it, so their order is depth-first
+    found = F.array_sort(F.collect_list(F.struct("place", "node")))
+    return met.groupBy("start").agg(F.slice(F.transform(found, lambda x: x["node"]), 1, hops).alias("nodes"))
+
+
 def optional_match(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Every node with its outgoing edges, if any: n_edges and targets in order."""
     e = edges.groupBy("src").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("dst")), ",").alias("targets"))

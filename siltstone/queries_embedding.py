@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from siltstone.operators import chunk, embedding
+from siltstone.operators import chunk, diagrams, embedding, late
 from siltstone.plans import retrieve
 from siltstone.queries import query, r6
 from siltstone.sources import tables
@@ -91,3 +91,41 @@ def chunk_html(spark, d):
 @query()
 def chunk_sentence(spark, d):
     return chunk.chunks(tables.docs(spark, d), "sentence").select("source_id", "chunk_index", "start_char", "end_char")
+
+
+# Late interaction: user turns of every twentieth conversation against all documents
+
+
+def asked_turns(spark, d):
+    c = tables.read(spark, d, "conversations").where("role = 'user' and conv_id % 20 = 0")
+    return c.select(F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("qid"), F.col("text").alias("content"))
+
+
+def late_index(spark, d):
+    vectors = late.word_vectors(tables.docs(spark, d))
+    chunks = vectors.withColumns({"content": F.lit("words"), "chunk_index": F.lit(0)})
+    return late.build(diagrams.token_vectors(chunks, kind="double"))
+
+
+def words_of(table: str, key: str, text: str) -> str:
+    return f"select distinct {key}, unnest(regexp_extract_all(lower(coalesce({text}, '')), '[\\p{{L}}\\p{{N}}]+')) as word from {table}"
+
+
+@query(f"""with asked as (select conv_id || '-' || turn as qid, text from conversations where role = 'user' and conv_id % 20 = 0),
+qw as materialized ({words_of('asked', 'qid', 'text')}), dw as materialized ({words_of('documents', 'doc_id', 'text')}),
+words as (select distinct word from (select word from qw union all select word from dw)),
+w as (select word as own, word from words), {hashed_sql('w', 'own', 'word', 'v', late.DIMS)},
+s as materialized (select a.own as q, b.own as w, sum(a.x * b.x) / (sqrt(any_value(m.q)) * sqrt(any_value(n.q))) as sim
+  from v a join v b using (i) join v_n m on m.own = a.own join v_n n on n.own = b.own where a.own in (select word from qw) and b.own in (select word from dw) group by a.own, b.own),
+z as (select qid, doc_id, qw.word, max(coalesce(sim, 0)) as best from qw cross join dw left join s on s.q = qw.word and s.w = dw.word where qw.word in (select own from v_n) and dw.word in (select own from v_n) group by qid, doc_id, qw.word),
+t as (select qid, doc_id as id, round(sum(best), 9) as score from z group by qid, doc_id)
+select qid, row_number() over (partition by qid order by score desc, id) as rank, id, round(score, 6) as score from t qualify rank <= 5""")
+def late_search_exact(spark, d):
+    queries = late.word_vectors(asked_turns(spark, d), "qid")
+    return late.search(late_index(spark, d), queries, 5, candidates=None).select("qid", F.col("rank").cast("long").alias("rank"), "id", r6("score").alias("score"))
+
+
+@query()
+def late_search(spark, d):
+    queries = late.word_vectors(asked_turns(spark, d), "qid")
+    return late.search(late_index(spark, d), queries, 5).select("qid", F.col("rank").cast("long").alias("rank"), "id", r6("score").alias("score"))

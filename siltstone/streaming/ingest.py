@@ -42,3 +42,38 @@ def windowed(events: DataFrame, at: str = "ts", late: str = "10 minutes", width:
     """Counts and sums of event-time windows; an extension with watermarks."""
     w = F.window(at, width, slide) if slide else F.window(at, width)
     return events.withWatermark(at, late).groupBy(w.alias("w"), *keys).agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), *keys, "n", "total")
+
+
+def telemetry_pairs(logs: DataFrame, metrics: DataFrame, before: str = "30 seconds", after: str = "30 seconds", late: str | None = "10 minutes") -> DataFrame:
+    """(service, log_id, at, message, metric_id, metric_at, metric, value): metrics from ``before`` to ``after`` each log of the same service.
+
+    logs: (id, ts, service, message), metrics: (id, ts, service, metric_name, value). The same
+    join in batch (``late=None``) and as a stream; a stream forgets what watermarks say no
+    later row can meet, and drops rows that come later than ``late``, which ``dropped_rows``
+    counts. Rows with a null time or service meet nothing; repeated rows meet as often as they stand.
+    """
+    a = logs.select(F.col("id").alias("log_id"), F.col("ts").alias("at"), "service", "message")
+    b = metrics.select(F.col("id").alias("metric_id"), F.col("ts").alias("metric_at"), F.col("service").alias("_service"), F.col("metric_name").alias("metric"), "value")
+    if late is not None:
+        a, b = a.withWatermark("at", late), b.withWatermark("metric_at", late)
+    near = F.expr(f"service = _service and metric_at >= at - interval {before} and metric_at <= at + interval {after}")
+    return a.join(b, near).select("service", "log_id", "at", "message", "metric_id", "metric_at", "metric", "value")
+
+
+def bucketed_pairs(logs: DataFrame, metrics: DataFrame, seconds: int = 30) -> DataFrame:
+    """``telemetry_pairs`` in batch for long tables: rows meet by service and time bucket, so a busy service is many keys.
+
+    A log looks into the buckets that its interval touches, two at most.
+    """
+    bucket = lambda c: F.floor(F.unix_micros(c.cast("timestamp")) / (2_000_000 * seconds))
+    width = F.expr(f"interval {seconds} seconds")
+    a = logs.select(F.col("id").alias("log_id"), F.col("ts").alias("at"), "service", "message")
+    a = a.withColumn("_b", F.explode(F.sequence(bucket(F.col("at") - width), bucket(F.col("at") + width))))
+    b = metrics.select(F.col("id").alias("metric_id"), F.col("ts").alias("metric_at"), "service", F.col("metric_name").alias("metric"), "value").withColumn("_b", bucket(F.col("metric_at")))
+    near = a.join(b, ["service", "_b"]).where(F.col("metric_at").between(F.col("at") - width, F.col("at") + width))
+    return near.select("service", "log_id", "at", "message", "metric_id", "metric_at", "metric", "value")
+
+
+def dropped_rows(query: StreamingQuery) -> int:
+    """How many rows the query's watermarks have dropped in the batches that it still tells of."""
+    return sum(int(s["numRowsDroppedByWatermark"]) for p in query.recentProgress for s in p["stateOperators"])
