@@ -323,11 +323,12 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
         for texts in batches:
             langs, best, strange = [], [], []
             usable = [bool(model.langs) and t is not None and letter(t) is not None for t in texts]
-            ids = [np.fromiter(map(index.__getitem__, words := t.split()), np.int32, len(words)) if ok else None for t, ok in zip(texts, usable)]
+            split = [t.split() if ok else None for t, ok in zip(texts, usable)]
+            ids = [None if words is None else np.fromiter(map(index.__getitem__, words), np.int32, len(words)) for words in split]
             if index.new:
                 scores = np.concatenate([scores, score_words(index.new, model.pieces, model.table)])
                 index.new = []
-            for own, text in zip(ids, texts):
+            for own, words in zip(ids, split):
                 if own is None:
                     langs.append(UNKNOWN)
                     best.append(0.0)
@@ -337,7 +338,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 k = int(logs.argmax())
                 langs.append(model.langs[k])
                 best.append(float(1 / np.exp(logs - logs[k]).sum()))
-                letters = sum(map(len, text.split())) + len(own)
+                letters = sum(map(len, words)) + len(own)
                 strange.append(float(model.usual[k] - (logs[k] - model.priors[k] + 4 * np.sqrt(model.spread[k] * len(own))) / letters))
             if len(index) > CACHE_WORDS:
                 index, scores = _Index(), scores[:0]
