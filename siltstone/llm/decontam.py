@@ -12,7 +12,8 @@ short items, must agree in the values too.
 
 Documents are scanned twice. First their windows' hashes alone, without tokens, meet those of
 the benchmark; then the documents that hold some are read again and their tokens compared.
-Spark chooses each join by the sizes of the tables, and the plan is the same at every size.
+The plan is the same at every size but for the benchmark's windows, which Spark broadcasts
+where they are small; the join that brings the texts back shuffles every text once.
 """
 
 from __future__ import annotations
@@ -157,7 +158,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, co
     found = windows(rows.select("row", tokens(text_or_empty()).alias("toks")), lengths)
     found = found.join(materialise(wanted.select("len", "h").distinct(), "leak-hashes"), ["len", "h"]).select("row", "len", "pos", "h")
     held = materialise(found.groupBy("row").agg(F.collect_set(F.struct("len", "pos", "h")).alias("hits")), "leak-hits")
-    again = rows.join(held, "row").select("doc_id", tokens(text_or_empty()).alias("toks"), "hits")
+    # by sort and merge at every size, so that cost grows in proportion
+    again = rows.join(held.hint("merge"), "row").select("doc_id", tokens(text_or_empty()).alias("toks"), "hits")
     # tokens are cut before hits are opened, so that opening copies none
     cuts = F.transform("hits", lambda x: F.struct(x["len"].alias("len"), x["h"].alias("h"), x["pos"].alias("pos"), F.slice("toks", x["pos"] + 1, x["len"]).alias("toks")))
     opened = again.select("doc_id", F.explode(cuts).alias("x")).select("doc_id", F.col("x.len").alias("len"), F.col("x.h").alias("h"), F.col("x.pos").alias("pos"), F.col("x.toks").alias("doc_toks"))
