@@ -7,6 +7,7 @@ A source is a function (query, limit) -> DataFrame of (source, id, content, scor
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
@@ -14,6 +15,7 @@ from pyspark.sql.utils import AnalysisException
 
 from siltstone.functions.text import refine_terms
 from siltstone.operators import fusion, graph, linking, reasoning, retrieval
+from siltstone.storage import cut
 
 Source = Callable[[str, int], DataFrame]
 COLUMNS = ["source", "id", "content", "score", "seq"]
@@ -133,6 +135,76 @@ def iterative(spark: SparkSession, sources: dict[str, Source], query: str, limit
     return fuse(once, limit)
 
 
+@dataclass
+class Round:
+    """What one round of ``unseen`` asked, which source answered, how many rows were new, and its confidence."""
+
+    source: str
+    query: str
+    new: int
+    confidence: float
+    refined: str | None
+
+
+def unseen(spark: SparkSession, sources: dict[str, Source], query: str, limit: int = 10, rounds: int = 3, least: int = 3, confident: float = 0.7, order: list[str] | None = None, refine: Callable[[str, DataFrame], str | None] | None = None) -> tuple[DataFrame, list[Round]]:
+    """Rows that rounds of retrieval found for the first time (with ``round``), and the rounds.
+
+    Each round asks the source with the best running average of past mean scores (a source not
+    asked yet counts 1; ties by ``order``) and keeps what an anti join on the content leaves.
+    A round's average moves half way to its mean score. Rounds end when there are ``least``
+    rows and the confidence is reached, when the refined query is the same or none, or after
+    ``rounds``. What was found is written each round; only counts and means reach the driver.
+    """
+    names = order or list(sources)
+    average: dict[str, float | None] = {n: None for n in names}
+    seen, told, now, total = cut(spark.createDataFrame([], f"{SCHEMA}, round int")), [], query, 0
+    for k in range(rounds):
+        name = max(names, key=lambda n: (1.0 if average[n] is None else average[n], -names.index(n)))
+        got = gathered(spark, sources, [name], now, limit)
+        once = fusion.keep_first(got, F.coalesce("content", F.lit("")))
+        new = cut(once.join(seen.select(F.col("content").alias("_c")), F.col("content").eqNullSafe(F.col("_c")), "left_anti").withColumn("round", F.lit(k + 1)).select(*COLUMNS, "round"))
+        n, mean = new.agg(F.count("*"), F.avg(F.coalesce("score", F.lit(0.0)))).first()
+        total += n
+        confidence = max(0.0, min(1.0, mean + min(total / 10.0, 0.3) - min(k * 0.1, 0.3))) if n else 0.0
+        average[name] = (mean or 0.0) if average[name] is None else (average[name] + (mean or 0.0)) / 2
+        seen = cut(seen.unionByName(new))
+        done = total >= least and confidence >= confident
+        refined = None if done else (refine or expanded)(now, seen.orderBy("round", "seq"))
+        told.append(Round(name, now, n, confidence, refined if refined != now else None))
+        if done or not refined or refined == now:
+            break
+        now = refined
+    return seen, told
+
+
+def expanded(query: str, found: DataFrame) -> str | None:
+    """The query's words with two new words of over four letters from each of the first three contents, in order."""
+    first = found.limit(3).withColumn("_n", F.row_number().over(Window.orderBy("round", "seq")))
+    words = first.select("_n", F.posexplode(F.split(F.lower(F.coalesce("content", F.lit(""))), r"\s+")).alias("p", "w")).where("length(w) > 4")
+    terms = set(query.lower().split())
+    held = words.where(~F.col("w").isin(sorted(terms)))
+    few = held.withColumn("_k", F.row_number().over(Window.partitionBy("_n").orderBy("p"))).where("_k <= 8").orderBy("_n", "p").select("_n", "w").collect()  # 24 words at most
+    for n in (1, 2, 3):
+        terms.update([r["w"] for r in few if r["_n"] == n and r["w"] not in terms][:2])
+    out = " ".join(sorted(terms))
+    return out if out != query else None
+
+
+def adaptive(spark: SparkSession, sources: dict[str, Source], steps: list[str], query: str, intent: str, limit: int = 10) -> DataFrame:
+    """Rows (with ``step``) of an agent's steps: all of them to troubleshoot (one after the other) or to design (at once), else as many steps as it takes to have ``limit`` rows.
+
+    Errors of a source leave it out. A cascade is one plan: steps are united with their counts, and those behind a full prefix are dropped.
+    """
+    parts = [gathered(spark, sources, [name], query, limit).withColumn("step", F.lit(k)) for k, name in enumerate(steps)]
+    out = reduce(DataFrame.unionByName, parts)
+    if intent in ("troubleshoot", "design"):
+        return out
+    counts = out.groupBy("step").agg(F.count("*").alias("n"))  # a row a step
+    before = F.coalesce(F.sum("n").over(Window.orderBy("step").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    used = counts.withColumn("_before", before).where(F.col("_before") < limit).select("step")
+    return out.join(F.broadcast(used), "step", "left_semi").select(*COLUMNS, "step")
+
+
 def with_fallback(found: DataFrame, more: DataFrame, limit: int) -> DataFrame:
     """Rows of ``more`` appended, not fused, if ``found`` has fewer than ``limit``: one plan, without counting first."""
     numbered = found.withColumn("_b", F.lit(0)).unionByName(more.withColumn("_b", F.lit(1)), allowMissingColumns=True)
