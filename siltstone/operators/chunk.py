@@ -280,33 +280,30 @@ def json_parts(text: str, depth: int = 2) -> Iterator[Chunk]:
 def adjacent_distances(sentences: Column, buffer: int = 1, make: Callable[[], Model] = Hashing) -> Column:
     """1 - cosine of each sentence and the next, each with ``buffer`` sentences on both sides; 1 if a vector has no length.
 
-    Sentences are embedded one after the other and summed in a sliding window, so memory does
-    not grow with the text; the model's vectors must add up as counts do.
+    Sentences are embedded a few hundred at a time and summed in a sliding window, so memory
+    does not grow with the text; the model's vectors must add up as counts do.
     """
 
     @F.pandas_udf("array<double>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = make()
+
+        def distances(parts: list[str]) -> list[float]:
+            n, found, step = len(parts), [], 256
+            for a in range(0, n - 1, step):  # pairs (a, a + 1) to (b - 1, b)
+                b = min(a + step, n - 1)
+                low, high = max(0, a - buffer), min(n, b + buffer + 1)
+                v = model(parts[low:high]).astype(np.float64)
+                sums = np.concatenate([np.zeros((1, v.shape[1])), np.cumsum(v, axis=0)])
+                at = np.arange(a, b + 1)
+                near = sums[np.minimum(at + buffer + 1, n) - low] - sums[np.maximum(at - buffer, 0) - low]
+                square = np.sqrt((near * near).sum(axis=1))
+                length, dot = square[:-1] * square[1:], (near[:-1] * near[1:]).sum(axis=1)
+                found += np.where(length > 0, 1 - dot / np.where(length > 0, length, 1), 1.0).tolist()
+            return found
+
         for texts in batches:
-            out = []
-            for parts in texts:
-                n = 0 if parts is None else len(parts)
-                found, held, now, before = [], {}, None, None
-                for k in range(n + buffer):
-                    if k < n:
-                        held[k] = model([parts[k]])[0].astype(np.float64)
-                        now = held[k].copy() if now is None else now + held[k]
-                    middle = k - buffer  # the window around this sentence is whole
-                    if middle < 0 or middle >= n:
-                        continue
-                    if middle - buffer - 1 in held:
-                        now = now - held.pop(middle - buffer - 1)
-                    if before is not None:
-                        length = np.sqrt(before @ before) * np.sqrt(now @ now)
-                        found.append(float(1 - (before @ now) / length) if length > 0 else 1.0)
-                    before = now
-                out.append(found)
-            yield pd.Series(out, dtype=object)
+            yield pd.Series([distances(list(parts)) if parts is not None and len(parts) > 1 else [] for parts in texts], dtype=object)
 
     return run(sentences)
 

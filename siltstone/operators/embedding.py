@@ -25,7 +25,7 @@ from siltstone.storage import cut
 
 DIMS, GRAM = 256, 3
 #: Words and trigrams whose hashes a worker keeps.
-CACHE_WORDS = 50_000
+CACHE_WORDS = 100_000
 #: Rows of one block when vectors are compared.
 BLOCK = 1024
 Model = Callable[[list[str]], np.ndarray]
@@ -48,34 +48,63 @@ class Hashing:
         self._forget()
 
     def _forget(self) -> None:
-        self.known, self.cells, self.rows = {}, {}, np.zeros((64, self.dims), np.int32)
+        self.known, self.cells, self.rows = {}, {}, np.zeros((8192, self.dims), np.int32)
 
     def _cell(self, feature: str) -> tuple[int, int]:
         h = int.from_bytes(hashlib.md5(feature.encode()).digest()[:8]) >> 4
-        cell = self.cells[feature] = (h % self.dims, 1 if h // self.dims % 2 == 0 else -1)
-        return cell
-
-    def _word(self, word: str) -> int:
-        at = self.known[word] = len(self.known)
-        if at == len(self.rows):
+        return h % self.dims, 1 if h // self.dims % 2 == 0 else -1
+
+    def _learn(self, words: list[str]) -> None:
+        """Rows for new words: the hashes of their trigrams are looked up all at once."""
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        points = np.frombuffer("".join(f"<{w}>" for w in words).encode("utf-32-le"), np.uint32).astype(np.uint64)
+        start = np.repeat(np.cumsum(size + 2) - size - 2, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        codes = (points[start] << np.uint64(42)) | (points[start + 1] << np.uint64(21)) | points[start + 2]
+        kinds, of = np.unique(codes, return_inverse=True)
+        for c in (kinds := kinds.tolist()):
+            if c not in self.cells:
+                self.cells[c] = self._cell(chr(c >> 42) + chr(c >> 21 & 0x1FFFFF) + chr(c & 0x1FFFFF))
+        cell = np.array([self.cells[c] for c in kinds], np.int64).reshape(-1, 2)[of]
+        md5 = hashlib.md5
+        h = np.frombuffer(b"".join([md5(f"<{w}>".encode()).digest()[:8] for w in words]), ">u8").astype(np.uint64) >> np.uint64(4)
+        whole = np.stack([h % np.uint64(self.dims), 1 - 2 * (h // np.uint64(self.dims) % np.uint64(2)).astype(np.int64)], axis=1).astype(np.int64)
+        at = np.concatenate([np.repeat(np.arange(len(words)), size) * self.dims + cell[:, 0], np.arange(len(words)) * self.dims + whole[:, 0]])
+        rows = np.bincount(at, np.concatenate([cell[:, 1], whole[:, 1]]), len(words) * self.dims).astype(np.int32)
+        first, last = len(self.known), len(self.known) + len(words)
+        while last > len(self.rows):
             self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        row, cells = self.rows[at], self.cells
-        for f in features(word):
-            k, sign = cells.get(f) or self._cell(f)
-            row[k] += sign
-        del cells[f"<{word}>"]  # the word itself comes again only as a word
-        return at
+        self.rows[first:last] = rows.reshape(-1, self.dims)
+        self.known.update(zip(words, range(first, last)))
 
     def __call__(self, texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), self.dims), np.int32)
-        for k, text in enumerate(texts):
-            found = Counter(_words(text.lower()))
-            if found:
-                known = self.known
-                at = [known[w] if w in known else self._word(w) for w in found]
-                out[k] = np.fromiter(found.values(), np.int64, len(found)) @ self.rows[at]
+        found = [_words(t.lower()) for t in texts]
+        a = 0
+        while a < len(found):  # texts of some thousand words at a time
+            b, total = a, 0
+            while b < len(found) and (b == a or total + len(found[b]) <= 4096):
+                total += len(found[b])
+                b += 1
             if len(self.known) + len(self.cells) > CACHE_WORDS:
                 self._forget()
+            known, counts = self.known, None
+            words = [w for ws in found[a:b] for w in ws]
+            if b == a + 1 and total > 4096:  # one long text by its distinct words
+                counts = Counter(words)
+                words = list(counts)
+            if new := list(dict.fromkeys(w for w in words if w not in known)):
+                for k in range(0, len(new), 4096):
+                    self._learn(new[k : k + 4096])
+            ids = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+            if counts is not None:
+                n = np.fromiter(counts.values(), np.int32, len(counts))
+                for k in range(0, len(ids), 4096):
+                    out[a] += (self.rows[ids[k : k + 4096]] * n[k : k + 4096, None]).sum(axis=0, dtype=np.int32)
+            elif len(ids):
+                size = np.fromiter(map(len, found[a:b]), np.int64, b - a)
+                some = np.flatnonzero(size)
+                out[a + some] = np.add.reduceat(self.rows[ids], (np.cumsum(size) - size)[some], axis=0)
+            a = b
         return out
 
 

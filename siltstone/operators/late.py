@@ -66,60 +66,115 @@ def centroids(x: np.ndarray, lists: int = LISTS, rounds: int = ROUNDS) -> np.nda
 
 @dataclass
 class Index:
-    """blocks: block, ids, counts (vectors of each document), x (all vectors), lists (the centroid of each vector); centers: centroids."""
+    """blocks: block, ids, counts (vectors of each document), tokens (which of the block's vectors), x (the block's distinct vectors), lists (the centroid of each); centers: centroids."""
 
     blocks: DataFrame
     centers: np.ndarray
 
 
+BLOCK_SCHEMA = "block long, ids array<long>, counts binary, tokens binary, x binary, lists binary"
+
+
+def _record(number: int, ids: pa.Array, counts: np.ndarray, tokens: np.ndarray, x: np.ndarray, centers: np.ndarray) -> pa.RecordBatch:
+    from pyspark import TaskContext
+
+    own = (x @ centers.T).argmax(axis=1) if len(x) else np.zeros(0)
+    held = (pa.array([y.tobytes()], pa.binary()) for y in (counts.astype(np.int32), tokens.astype(np.int32), x.astype(np.float64), own.astype(np.int32)))
+    return pa.RecordBatch.from_arrays([pa.array([(TaskContext.get().partitionId() << 32) + number]), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), *held], names=[c.split(" ")[0] for c in BLOCK_SCHEMA.split(", ")])
+
+
+def _drawn(rows: DataFrame, share: float) -> DataFrame:
+    """Rows drawn by a hash of the id."""
+    return rows.where(F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1 << 30)) < int(min(share, 1.0) * (1 << 30)) + 1)
+
+
+def _fitted(vectors: DataFrame, lists: int, sample: int) -> np.ndarray:
+    x = [r["v"] for r in vectors.select(F.explode("vectors").alias("v")).limit(2 * sample).collect()]
+    return centroids(np.array(x) if x else np.zeros((0, 1)), lists)
+
+
 def build(docs: DataFrame, lists: int = LISTS, sample: int = SAMPLE, block: int = BLOCK) -> Index:
     """The index of (id long, vectors: array of arrays of one length); documents without a vector or id are left out.
 
     Centroids come from about ``sample`` vectors (at most twice as many) of documents drawn by
-    a hash of the id; every document is indexed.
+    a hash of the id; every document is indexed. Equal vectors of a block are stored once.
     """
     rows = docs.select(F.col("id").cast("long").alias("id"), F.col("vectors").cast("array<array<double>>").alias("vectors")).where("id is not null and size(vectors) > 0")
     n = rows.agg(F.sum(F.size("vectors"))).first()[0] or 0
-    share = min(1.0, sample / n) if n else 1.0
-    drawn = rows.where(F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).select(F.explode("vectors").alias("v")).limit(2 * sample)
-    x = [r["v"] for r in drawn.collect()]
-    centers = centroids(np.array(x) if x else np.zeros((0, 1)), lists)
+    centers = _fitted(_drawn(rows, sample / n if n else 1.0), lists, sample)
     shared = docs.sparkSession.sparkContext.broadcast(centers)  # lists x dimension
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
         k = 0
         for whole in batches:
             for a in range(0, len(whole), block):
                 batch = whole.slice(a, block)
                 counts = np.diff(batch.column(1).offsets.to_numpy())
                 v = batch.column(1).flatten().flatten().to_numpy(zero_copy_only=False).reshape(int(counts.sum()), -1)
-                own = (v @ shared.value.T).argmax(axis=1).astype(np.int32)
-                ids = pa.ListArray.from_arrays(pa.array([0, len(batch)], pa.int32()), batch.column(0))
-                yield pa.RecordBatch.from_arrays([pa.array([(TaskContext.get().partitionId() << 32) + k]), ids, *(pa.array([y.tobytes()], pa.binary()) for y in (counts.astype(np.int32), v, own))], names=["block", "ids", "counts", "x", "lists"])
+                x, tokens = np.unique(v, axis=0, return_inverse=True)
+                yield _record(k, batch.column(0), counts, tokens.ravel(), x, shared.value)
                 k += 1
 
-    return Index(cut(rows.mapInArrow(pack, "block long, ids array<long>, counts binary, x binary, lists binary")), centers)
+    bounded_batches(docs)
+    return Index(cut(rows.mapInArrow(pack, BLOCK_SCHEMA)), centers)
+
+
+def build_texts(docs: DataFrame, lists: int = LISTS, sample: int = SAMPLE, block: int = BLOCK, dims: int = DIMS) -> Index:
+    """The index of the words of (id long, content), as ``build`` of ``word_vectors`` makes it, in one pass over the texts.
+
+    The sample takes documents of about 100 words to be the usual.
+    """
+    rows = docs.select(F.col("id").cast("long").alias("id"), "content").where("id is not null")
+    n = rows.count()
+    centers = _fitted(word_vectors(_drawn(rows, sample / 100 / n if n else 1.0), dims=dims), lists, sample)
+    shared = docs.sparkSession.sparkContext.broadcast(centers)  # lists x dimension
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, k = Hashing(dims), 0
+        for whole in batches:
+            for a in range(0, len(whole), block):
+                batch = whole.slice(a, block)
+                found = [list(dict.fromkeys(_words((t or "").lower()))) for t in batch.column(1).to_pylist()]
+                number = {w: i for i, w in enumerate(dict.fromkeys(w for ws in found for w in ws))}
+                raw = model(list(number)).astype(np.float64)
+                norm = np.sqrt((raw * raw).sum(axis=1))
+                place = np.where(norm > 0, np.cumsum(norm > 0) - 1, -1)
+                kept = [[p for w in ws if (p := place[number[w]]) >= 0] for ws in found]
+                some = [i for i, t in enumerate(kept) if t]
+                if some:
+                    tokens = np.array([p for i in some for p in kept[i]])
+                    yield _record(k, batch.column(0).take(pa.array(some)), np.array([len(kept[i]) for i in some]), tokens, raw[norm > 0] / norm[norm > 0, None], shared.value)
+                    k += 1
+
+    return Index(cut(rows.mapInArrow(pack, BLOCK_SCHEMA)), centers)
+
+
+def bounded_batches(df: DataFrame, most: int = 64 << 20) -> None:
+    """Rows of this module are megabytes each, so batches of them are bounded by bytes unless the session says otherwise."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not df.sparkSession.conf.get(name, None) or int(df.sparkSession.conf.get(name)) > 1 << 30:
+        df.sparkSession.conf.set(name, str(most))
 
 
-def gains(sims: np.ndarray, lists: np.ndarray, counts: np.ndarray, probes: int) -> np.ndarray:
+def gains(sims: np.ndarray, lists: np.ndarray, tokens: np.ndarray, starts: np.ndarray, probes: int) -> np.ndarray:
     """What each document of a block gains for one query from the lists nearest to its vectors; sims: query vectors x centroids."""
     if probes < sims.shape[1]:
         far = np.argpartition(-sims, probes - 1, axis=1)[:, probes:]
         sims = sims.copy()
         np.put_along_axis(sims, far, 0.0, axis=1)
-    total, starts = np.zeros(len(counts)), np.cumsum(counts) - counts
+    total, of = np.zeros(len(starts)), lists[tokens]
     for s in np.maximum(sims, 0):
-        total += np.maximum.reduceat(s[lists], starts)
+        total += np.maximum.reduceat(s[of], starts)
     return total
 
 
 def search(index: Index, queries: DataFrame, k: int = 10, probes: int = PROBES, candidates: int | None = CANDIDATES) -> DataFrame:
     """(qid, rank, id, score): the best ``k`` documents for each query (qid, vectors) by the sum of best matches.
 
-    Every block of documents meets every block of queries once. In each, the ``candidates``
-    documents that gain most from the probed lists are scored exactly; None scores all. Scores
+    Every block of documents meets every block of queries once: blocks of documents are dealt
+    by a number, and each number gets all queries, so no join has few keys. In each, the
+    ``candidates`` documents that gain most from the probed lists are scored exactly; None
+    scores all. Scores
     are rounded to nine digits, ties go to the smaller id. Queries without a vector find
     nothing. The bests of the blocks are merged by a window that Spark cuts before it shuffles.
     """
@@ -140,34 +195,39 @@ def search(index: Index, queries: DataFrame, k: int = 10, probes: int = PROBES,
                 n += 1
 
     asked = cut(rows.mapInArrow(pack, f"q long, qids array<{kind}>, q_counts binary, q_x binary"))
-    names = [r["q"] for r in asked.select("q").collect()]  # a number a block of queries
-    paired = index.blocks.withColumn("q", F.explode(F.array(*map(F.lit, names)) if names else F.array().cast("array<long>"))).join(asked, "q")
+    slots = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    everywhere = asked.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
+    paired = index.blocks.withColumn("slot", F.pmod(F.xxhash64("block"), F.lit(slots)).cast("int")).join(everywhere, "slot")
+    bounded_batches(queries)
     shared = queries.sparkSession.sparkContext.broadcast(index.centers)
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(len(batch)):
-                ids, counts, x, lists, qids, q_counts, q_x = (batch.column(c)[i].as_py() for c in range(7))
-                ids, counts, lists, q_counts = np.array(ids), np.frombuffer(counts, np.int32), np.frombuffer(lists, np.int32), np.frombuffer(q_counts, np.int32)
+                ids, counts, tokens, x, lists, qids, q_counts, q_x = (batch.column(c)[i].as_py() for c in range(8))
+                ids, (counts, tokens, lists, q_counts) = np.array(ids), (np.frombuffer(v, np.int32) for v in (counts, tokens, lists, q_counts))
                 x = np.frombuffer(x).reshape(len(lists), -1)
                 starts = np.cumsum(counts) - counts
                 asked = np.split(np.frombuffer(q_x).reshape(int(q_counts.sum()), -1), np.cumsum(q_counts)[:-1])
                 out = [[], [], []]
                 for qid, q in zip(qids, asked):
                     if candidates is None or candidates >= len(ids):
-                        at = np.arange(len(ids))
+                        at, mine = np.arange(len(ids)), tokens
                     else:
-                        gained = gains(q @ shared.value.T, lists, counts, probes)
+                        gained = gains(q @ shared.value.T, lists, tokens, starts, probes)
                         at = np.sort(np.lexsort((ids, -gained))[:candidates])
-                    mine = np.concatenate([x[starts[d] : starts[d] + counts[d]] for d in at])
-                    first = np.cumsum(counts[at]) - counts[at]
-                    score = np.round(np.maximum.reduceat(q @ mine.T, first, axis=1).sum(axis=0), 9) + 0.0
+                        mine = np.concatenate([tokens[starts[d] : starts[d] + counts[d]] for d in at])
+                    first, score = np.cumsum(counts[at]) - counts[at], np.zeros(len(at))
+                    used, local = np.unique(mine, return_inverse=True)
+                    for s in q @ x[used].T:
+                        score += np.maximum.reduceat(s[local], first)
+                    score = np.round(score, 9) + 0.0
                     top = np.lexsort((ids[at], -score))[:k]
                     out[0] += [qid] * len(top)
                     out[1] += ids[at][top].tolist()
                     out[2] += score[top].tolist()
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], batch.schema.field(4).type.value_type), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], names=["qid", "id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(out[0], batch.schema.field(5).type.value_type), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], names=["qid", "id", "score"])
 
-    found = paired.select("ids", "counts", "x", "lists", "qids", "q_counts", "q_x").mapInArrow(best, f"qid {kind}, id long, score double")
+    found = paired.select("ids", "counts", "tokens", "x", "lists", "qids", "q_counts", "q_x").mapInArrow(best, f"qid {kind}, id long, score double")
     w = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("qid", "rank", "id", "score")

@@ -102,9 +102,19 @@ def asked_turns(spark, d):
 
 
 def late_index(spark, d):
-    vectors = late.word_vectors(tables.docs(spark, d))
-    chunks = vectors.withColumns({"content": F.lit("words"), "chunk_index": F.lit(0)})
-    return late.build(diagrams.token_vectors(chunks, kind="double"))
+    return late.build_texts(tables.docs(spark, d))
+
+
+@query("""with q as (select vec_id // 4 as g, vec_id as v, list_transform(embedding, lambda x: x::double) as x from embeddings),
+s as (select a.g as qid, b.g as id, a.v, max(list_dot_product(a.x, b.x)) as best from q a join q b on a.g % 20 = 0 group by a.g, b.g, a.v),
+t as (select qid, id, round(sum(best), 9) as score from s group by qid, id)
+select cast(qid as varchar) as qid, row_number() over (partition by qid order by score desc, id) as rank, id, round(score, 6) as score from t qualify rank <= 5""")
+def late_search_vectors(spark, d):
+    """Every twentieth group of four embeddings against all groups, as rows of several vectors feed the index; scored exactly."""
+    e = tables.read(spark, d, "embeddings").groupBy(F.expr("vec_id div 4").alias("id")).agg(F.collect_list("embedding").alias("vectors")).withColumns({"content": F.lit("group"), "chunk_index": F.lit(0)})
+    groups = diagrams.token_vectors(e, kind="double")
+    out = late.search(late.build(groups, 64), groups.where("id % 20 = 0").select(F.col("id").cast("string").alias("qid"), "vectors"), 5, candidates=None)
+    return out.select("qid", F.col("rank").cast("long").alias("rank"), "id", r6("score").alias("score"))
 
 
 def words_of(table: str, key: str, text: str) -> str:

@@ -52,6 +52,15 @@ def test_word_vectors(spark):
     assert all(abs(sum(x * x for x in v) - 1) < 1e-12 for v in got[1])
 
 
+def test_texts_make_the_same_index(spark):
+    rows = spark.createDataFrame([(1, "Red red BLUE"), (2, None), (3, ""), (4, "blue green sea"), (None, "red"), (5, "sea red red")], "id long, content string").repartition(2)
+    asked = late.word_vectors(spark.createDataFrame([("a", "red sea"), ("b", "blue"), ("c", "")], "qid string, content string"), "qid")
+    found = lambda index: {(r["qid"], r["rank"], r["id"], round(r["score"], 6)) for r in late.search(index, asked, 3, candidates=None).collect()}
+    got = found(late.build_texts(rows, block=2))
+    assert got == found(late.build(late.word_vectors(rows), block=2)) and {i for q, r, i, _ in got if (q, r) == ("a", 1)} == {5}
+    assert late.search(late.build_texts(rows.limit(0)), asked).collect() == []
+
+
 def test_recall_of_the_index(spark):
     """The best five of the index against those of all documents scored."""
     exact = {(r["qid"], r["id"]) for r in queries_embedding.late_search_exact(spark, FOLDER).collect()}
