@@ -18,12 +18,13 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from siltstone.llm.shared import TOKENIZERS, require, text_or_empty
+from siltstone.llm.shared import require, text_or_empty
 
-VOCABULARY = f"{TOKENIZERS}/byte_bpe_50k.json"
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 #: The public byte-level pre-tokeniser pattern (a fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: The same for texts of ASCII and Latin letters alone, where the standard library's faster engine agrees with it.

@@ -26,13 +26,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import public_tokenizers
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
-from siltstone.llm.shared import TOKENIZERS, materialise, require
+from siltstone.llm.shared import materialise, require
 
-VOCABULARY = f"{TOKENIZERS}/piece_bpe_32k.model"
+VOCABULARY = public_tokenizers.path("piece_bpe_32k.model")
 #: Words of up to this many letters are summed many at a time; 1e-7 to this power is within a double.
 SHORT = 40
 #: Positions of a long word that are looked up at a time.

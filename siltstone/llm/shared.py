@@ -8,9 +8,6 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-#: Where the public vocabularies are; every operator takes its path as a parameter.
-TOKENIZERS = "/opt/tokenizers"
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

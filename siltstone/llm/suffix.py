@@ -261,7 +261,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bloc
     Texts are UTF-8 bytes, null ones empty; each byte under a ``length``-byte string that
     also starts anywhere else in the input, the same document included, is removed. Shorter
     texts keep everything. Repeated rows count as documents of their own, so a text of
-    ``length`` bytes or more that stands twice goes altogether. Extra columns are ignored.
+    ``length`` bytes or more that stands twice goes altogether. Extra columns are ignored, and
+    an empty table gives an empty one. A text is hashed whole in its task, with about ten
+    8-byte numbers a byte: one of 100 MB takes some 10 GB there, so texts of that size need
+    workers to match or must be parted before. Windows are told apart by 64-bit hashes.
     """
     require(docs, ["doc_id", "text"])
     rows = docs.select(F.col("doc_id"), F.xxhash64("doc_id", "text").alias("row"), F.encode(text_or_empty(), "UTF-8").alias("data"))

@@ -98,7 +98,8 @@ def section_counts(docs: DataFrame, rule: str = "start", ends: str = LINES, path
     Sections end after each match of the regular expression ``ends`` and at the end of the
     text; ``start`` and ``end`` are characters, ``section`` counts from 0. A null or empty
     text has one empty section without tokens. Repeated rows give repeated sections; an empty
-    table none. The counts of a document's sections add up to its tokens.
+    table none; extra columns are ignored, whatever their names. The counts of a document's
+    sections add up to its tokens.
     """
     if rule not in RULES:
         raise ValueError(f"rule must be one of {', '.join(RULES)}")
@@ -124,7 +125,12 @@ def section_counts(docs: DataFrame, rule: str = "start", ends: str = LINES, path
 
 
 def field_counts(rows: DataFrame, fields: list[str], separator: str = "\n", rule: str = "start", id_col: str = "doc_id", path: str = VOCABULARY) -> DataFrame:
-    """(id, field, n_tokens): string columns joined by ``separator`` and encoded once, each field with the separator after it."""
+    """(id, field, n_tokens): string columns joined by ``separator`` and encoded once, each field with the separator after it.
+
+    A null field is empty and still has its separator; null and repeated ids are rows of their
+    own, and a row gives one row a field. An empty table gives an empty one; extra columns are
+    ignored. The counts of a row's fields add up to the tokens of the joined text.
+    """
     require(rows, [id_col, *fields])
     if rule not in RULES:
         raise ValueError(f"rule must be one of {', '.join(RULES)}")

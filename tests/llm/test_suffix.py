@@ -4,6 +4,8 @@ from collections import Counter
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from siltstone.llm import suffix
 
 
@@ -52,3 +54,13 @@ def test_equals_brute_force(spark, seed, block):
 
 def test_empty_table(spark):
     assert suffix.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_a_text_of_megabytes(spark):
+    rng = random.Random(9)
+    block = "".join(rng.choice("abcdefghij") for _ in range(1_000_000))
+    rows = [(1, block + "left" + block[:150]), (2, "x" + block[300_000:301_000] + "y"), (3, None)]
+    got = {r["doc_id"]: r for r in suffix.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").withColumns({"row": F.lit("clash"), "marks": F.lit(1)})).collect()}
+    assert got[1]["n_bytes"] == 1_000_154 and got[1]["n_removed"] == 1000 and got[1]["n_spans"] == 1
+    assert got[2]["n_removed"] == 1000 and got[2]["kept_sha256"] == hashlib.sha256(b"xy").hexdigest()
+    assert got[3]["n_bytes"] == got[3]["n_removed"] == 0

@@ -86,3 +86,20 @@ def test_bad_rule(spark):
 def test_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert bpe.encode_documents(empty).count() == 0 and tokencounts.section_counts(empty).count() == 0
+
+
+def test_odd_rows_of_sections_and_fields(spark):
+    rows = [(1, "a b\nc d\n"), (1, "a b\nc d\n"), (None, None), (2, "x" * 200_000 + "\ny")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("clash") for c in ("section", "start", "n_tokens", "field")})
+    got = sorted((r["doc_id"] or 0, r["section"], r["start"], r["end"]) for r in tokencounts.section_counts(df).collect())
+    assert got == [(0, 0, 0, 0), (1, 0, 0, 4), (1, 0, 0, 4), (1, 1, 4, 8), (1, 1, 4, 8), (2, 0, 0, 200_001), (2, 1, 200_001, 200_002)]
+    fields = tokencounts.field_counts(df.withColumn("other", F.lit(None).cast("string")), ["text", "other"]).collect()
+    assert len(fields) == 8 and all(r["n_tokens"] >= 0 for r in fields)
+    assert sorted(r["n_tokens"] for r in fields if r["doc_id"] is None) == [0, 1]
+    assert tokencounts.field_counts(df.limit(0), ["text"]).count() == 0
+
+
+def test_the_vocabulary_is_the_public_one():
+    import public_tokenizers
+
+    assert bpe.VOCABULARY == public_tokenizers.path("byte_bpe_50k.json")
