@@ -9,15 +9,15 @@ import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
 #: Stop words (fixed values).
-STOP_RU = "и в во не что он на я с со как а то все она так его но да ты у же вы за бы по только ее мне было вот от меня еще нет о из ему теперь когда уже вам ни быть был него до нас для".split()
-STOP_EN = "the is at which on and a an to in of for that by with from as it be are was or have has had were been being this these those can will just should would could".split()
+STOP_RU = ["и", "в", "во", "не", "что", "он", "на", "я", "с", "со", "как", "а", "то", "все", "она", "так", "его", "но", "да", "ты", "у", "же", "вы", "за", "бы", "по", "только", "ее", "мне", "было", "вот", "от", "меня", "еще", "нет", "о", "из", "ему", "теперь", "когда", "уже", "вам", "ни", "быть", "был", "него", "до", "нас", "для"]
+STOP_EN = ["the", "is", "at", "which", "on", "and", "a", "an", "to", "in", "of", "for", "that", "by", "with", "from", "as", "it", "be", "are", "was", "or", "have", "has", "had", "were", "been", "being", "this", "these", "those", "can", "will", "just", "should", "would", "could"]
 #: Names of languages, characters a token by provider, and punctuation that ends names (fixed values).
 LANGUAGE_NAMES = {"ru": "Russian", "en": "English", "unknown": "Unknown"}
 CHARS_PER_TOKEN = {"openai": 4, "qwen": 4, "ollama": 3}
 TRAILING = ".,!?;:()[]{}\"'"
 #: Words of feelings (fixed values).
-POSITIVE = "love great amazing excellent good best awesome".split()
-NEGATIVE = "hate bad terrible awful worst poor broken slow".split()
+POSITIVE = ["love", "great", "amazing", "excellent", "good", "best", "awesome"]
+NEGATIVE = ["hate", "bad", "terrible", "awful", "worst", "poor", "broken", "slow"]
 
 
 def words(text: Column) -> Column:

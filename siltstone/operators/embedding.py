@@ -163,51 +163,75 @@ def points(chunks: DataFrame, source_tag: str = "default", entities: DataFrame |
     return chunks.select(F.col("chunk_id").alias("id"), F.col("embedding").alias("vector"), F.create_map(*payload).alias("payload"))
 
 
-def in_blocks(rows: DataFrame, name: str, size: int = BLOCK) -> DataFrame:
-    """(block, ids, vectors as bytes of doubles): rows (id long, embedding) packed a few a record, in place."""
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        n = 0
-        for whole in batches:
-            for a in range(0, len(whole), size):
-                batch = whole.slice(a, size)
-                flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-                ids = pa.ListArray.from_arrays(pa.array([0, len(batch)], pa.int32()), batch.column(0))
-                yield pa.RecordBatch.from_arrays([pa.array([(TaskContext.get().partitionId() << 32) + n]), ids, pa.array([flat.tobytes()], pa.binary())], names=[name, f"{name}_ids", f"{name}_x"])
-                n += 1
-
-    return rows.select(F.col("id").cast("long").alias("id"), "embedding").where("id is not null and size(embedding) > 0").mapInArrow(pack, f"{name} long, {name}_ids array<long>, {name}_x binary")
-
-
-def neighbours(rows: DataFrame, queries: DataFrame, k: int = 10, size: int = BLOCK) -> DataFrame:
+def as_matrix(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and unit vectors of a batch of (id, embedding); vectors must have one length."""
+    x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(batch), -1)
+    norm = np.sqrt((x * x).sum(axis=1))
+    return batch.column(0).to_numpy(), x / np.where(norm > 0, norm, 1)[:, None]
+
+
+class Best:
+    """The best ``k`` of all rows seen, for each query: by score rounded to nine digits, then by id."""
+
+    def __init__(self, queries: np.ndarray, k: int):
+        self.x, self.k = queries, k
+        self.found: list[list[tuple[float, int]]] = [[] for _ in queries]
+        self.least = np.full(len(queries), -np.inf)
+
+    def see(self, ids: np.ndarray, rows: np.ndarray, size: int) -> None:
+        for a in range(0, len(self.x), size):
+            score = self.x[a : a + size] @ rows.T
+            top = score.max(axis=1) >= self.least[a : a + size] - 1e-9
+            for q in np.flatnonzero(top):
+                own = score[q]
+                least = self.least[a + q] - 1e-9
+                if len(own) > self.k:  # equals of the k-th best are looked at too
+                    least = max(least, np.partition(own, len(own) - self.k)[len(own) - self.k] - 1e-9)
+                at = np.flatnonzero(own >= least)
+                merged = sorted([*self.found[a + q], *zip((-np.round(own[at], 9) + 0.0).tolist(), ids[at].tolist())])[: self.k]
+                self.found[a + q] = merged
+                if len(merged) == self.k:
+                    self.least[a + q] = -merged[-1][0]
+
+
+def neighbours(rows: DataFrame, queries: DataFrame, k: int = 10, size: int = BLOCK, most: int = 32_768) -> DataFrame:
     """(query_id, rank, id, score): the ``k`` nearest rows of every query by cosine, exactly; both have (id, embedding).
 
-    Every block of queries meets every block of rows in a task of its own, which keeps the
-    best ``k`` a query; the bests are merged by a window that Spark cuts to ``k`` before it
-    shuffles. Scores are rounded to nine digits and ties go to the smaller id. A query finds
-    itself if it is among the rows. Null ids and empty vectors are left out.
+    Queries go to the workers ``most`` at a time (64 MB at 256 numbers each), and every task
+    runs once through its rows with them in blocks of ``size``; rows are not moved. A task keeps
+    the best ``k`` a query, and the bests are merged by a window that Spark cuts to ``k`` before
+    it shuffles. Scores are rounded to nine digits and ties go to the smaller id. A query finds
+    itself if it is among the rows. Null ids and empty vectors are left out; repeated rows are
+    found as often as they stand, repeated queries must not be.
     """
-    asked = cut(in_blocks(queries, "q", size))
-    held = cut(in_blocks(rows, "r", size))
-    names = [r["q"] for r in asked.select("q").collect()]  # a number for each thousand queries
-    paired = held.withColumn("q", F.explode(F.array(*map(F.lit, names)) if names else F.array().cast("array<long>"))).join(asked, "q")
-
-    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(len(batch)):
-                r_ids, r_x, q_ids, q_x = (batch.column(c)[i].as_py() for c in range(4))
-                a, b = (np.frombuffer(x).reshape(n, -1) for x, n in ((q_x, len(q_ids)), (r_x, len(r_ids))))
-                norms = [np.sqrt((v * v).sum(axis=1)) for v in (a, b)]
-                a, b = (v / np.where(n > 0, n, 1)[:, None] for v, n in zip((a, b), norms))
-                ids, score = np.array(r_ids), np.round(a @ b.T, 9) + 0.0
-                top = min(k, len(ids))
-                order = np.stack([np.lexsort((ids, -s))[:top] for s in score])
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(q_ids), top)), pa.array(ids[order].ravel()), pa.array(np.take_along_axis(score, order, 1).ravel())], names=["query_id", "id", "score"])
-
     from pyspark.sql import Window
 
-    found = paired.select("r_ids", "r_x", "q_ids", "q_x").mapInArrow(best, "query_id long, id long, score double")
+    fine = lambda d: d.select(F.col("id").cast("long").alias("id"), "embedding").where("id is not null and size(embedding) > 0")
+    asked, held, spark = cut(fine(queries)), fine(rows), rows.sparkSession
+    n = asked.count()
+    turns = max(1, -(-n // most))
+    # a turn is a range of the hash of ids, so that it has about as many queries as the others
+    part = F.pmod(F.xxhash64("id"), F.lit(turns))
+    held = cut(held) if turns > 1 else held
+    found = None
+    for turn in range(turns):
+        mine = (asked.where(part == turn) if turns > 1 else asked).toArrow()
+        batch = mine.combine_chunks().to_batches()[0] if len(mine) else None
+        shared = spark.sparkContext.broadcast(as_matrix(batch) if batch is not None else (np.zeros(0, np.int64), np.zeros((0, 1))))
+
+        def best(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            names, x = shared.value
+            if not len(names):
+                return
+            kept = Best(x, k)
+            for whole in batches:
+                for a in range(0, len(whole), size):
+                    kept.see(*as_matrix(whole.slice(a, size)), size)
+            count = [len(f) for f in kept.found]
+            every = [f for fs in kept.found for f in fs]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, count)), pa.array([i for _, i in every], pa.int64()), pa.array([0.0 - s for s, _ in every], pa.float64())], names=["query_id", "id", "score"])
+
+        own = held.mapInArrow(best, "query_id long, id long, score double")
+        found = own if found is None else found.unionByName(own)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")

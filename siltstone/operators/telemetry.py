@@ -18,13 +18,20 @@ def metric_terms(rows: DataFrame, key: str = "metric_name", value: str = "value"
     return out.orderBy(F.desc("doc_count"), "key").limit(size)
 
 
-def percentiles(rows: DataFrame, group: str, value: str, order: str, last: int = 10_000, points: tuple[float, ...] = (0.5, 0.95, 0.99)) -> DataFrame:
-    """By group: the number of the last samples and their percentiles by index, sorted[min(int(n p), n - 1)].
+def newest(rows: DataFrame, group: str, order: str, last: int, salts: int = 64) -> DataFrame:
+    """The last ``last`` rows of each group, in two steps: of each of ``salts`` parts of a group first, then of what they left.
 
-    Samples are bounded by ``last`` a group, which Spark applies before the shuffle.
+    So the task that ends a group reads ``salts`` x ``last`` rows at most, however long it is.
     """
-    w = Window.partitionBy(group).orderBy(F.desc(order))
-    kept = rows.where(F.col(value).isNotNull()).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= last)
+    salted = Window.partitionBy(group, "_salt").orderBy(F.desc(order))
+    whole = Window.partitionBy(group).orderBy(F.desc(order))
+    some = rows.withColumn("_salt", F.pmod(F.xxhash64(order), F.lit(salts))).withColumn("_r", F.row_number().over(salted)).where(F.col("_r") <= last).drop("_salt", "_r")
+    return some.withColumn("_r", F.row_number().over(whole)).where(F.col("_r") <= last).drop("_r")
+
+
+def percentiles(rows: DataFrame, group: str, value: str, order: str, last: int = 10_000, points: tuple[float, ...] = (0.5, 0.95, 0.99)) -> DataFrame:
+    """By group: the number of the last samples and their percentiles by index, sorted[min(int(n p), n - 1)]; samples are bounded by ``last`` a group."""
+    kept = newest(rows.where(F.col(value).isNotNull()), group, order, last)
     one = kept.groupBy(group).agg(F.array_sort(F.collect_list(value)).alias("v")).withColumn("n", F.size("v"))
     at = lambda p: F.get("v", F.least(F.floor(F.col("n") * p), F.col("n") - 1).cast("int"))
     return one.select(group, F.col("n").cast("long").alias("count"), *(at(p).alias(f"p{round(p * 100)}") for p in points))
@@ -35,9 +42,10 @@ def counters(rows: DataFrame, key: str, value: str, at: str) -> DataFrame:
     return rows.groupBy(key).agg(F.sum(value).alias("total"), F.max_by(value, at).alias("last"))
 
 
-def range_series(rows: DataFrame, key: str, value: str, at: str, step: str) -> DataFrame:
-    """Last value of each series in each step of time that has one."""
-    return rows.groupBy(key, F.window(at, step).alias("w")).agg(F.max_by(value, at).alias("value")).select(key, F.col("w.start").alias("at"), "value")
+def range_series(rows: DataFrame, key: str, value: str, at: str, step: str, *ties: str) -> DataFrame:
+    """Last value of each series in each step of time that has one; rows of one time by ``ties``."""
+    last = F.max_by(value, F.struct(at, *ties))
+    return rows.groupBy(key, F.window(at, step).alias("w")).agg(last.alias("value")).select(key, F.col("w.start").alias("at"), "value")
 
 
 def instant(rows: DataFrame, keys: list[str], value: str, *order: str) -> DataFrame:
@@ -68,17 +76,23 @@ def version_at(versions: DataFrame, number: int, column: str = "version") -> Dat
     return versions.where(F.col(column) == number)
 
 
+#: Values beyond this many count nothing in a double: 2 to the power of -1075 is 0.
+HALVINGS = 1075
+
+
 def running_half_average(rows: DataFrame, key: str, value: str, order: str) -> DataFrame:
     """avg <- (avg + new) / 2 over each key's values in order, from 0; null if a value is.
 
-    The newest value counts by 1/2, the one before by 1/4 and so on: a sum after windows, which
-    spill. Rows come oldest first, so that the sum is rounded as the steps are.
+    The newest value counts by 1/2, the one before by 1/4 and so on, so only the last
+    ``HALVINGS`` of a key are looked at, in two steps. Rows come oldest first, so that the sum
+    is rounded as the steps are. Order must be unique in a key.
     """
-    own = Window.partitionBy(key)
-    back = F.count(F.lit(1)).over(own) - F.row_number().over(own.orderBy(order, value)) + 1
-    weighed = rows.select(key, F.col(value).alias("_v"), back.alias("_n"))
-    total = F.sum(F.col("_v") * F.pow(F.lit(0.5), F.col("_n")))
-    return weighed.groupBy(key).agg(F.when(F.count("_v") == F.count("*"), total).alias("average"))
+    none = rows.groupBy(key).agg(F.count_if(F.col(value).isNull()).alias("_none"))
+    last = newest(rows.select(key, order, F.col(value).alias("_v")), key, order, HALVINGS)
+    back = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))
+    weighed = last.withColumn("_n", back).groupBy(key).agg(F.array_sort(F.collect_list(F.struct((-F.col("_n")).alias("n"), "_v"))).alias("_w"))
+    total = F.aggregate("_w", F.lit(0.0), lambda a, x: a + x["_v"] * F.pow(F.lit(2.0), x["n"]))
+    return weighed.join(none, key).select(key, F.when(F.col("_none") == 0, total).alias("average"))
 
 
 def repeated_steps(trace: DataFrame, key: str, order: str, step: str) -> DataFrame:

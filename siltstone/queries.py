@@ -282,9 +282,8 @@ def counters_gauges(spark, d):
 
 @query(f"with {EVENTS} select service, cast(epoch(time_bucket(interval '1 hour', ts)) as bigint) as at, round(max_by(value, (ts, id)), 6) as value from ev group by 1, 2")
 def range_series(spark, d):
-    e = tables.events(spark, d).withColumn("o", F.struct("ts", "id"))
-    g = e.groupBy("service", F.window("ts", "1 hour").alias("w")).agg(F.max_by("value", "o").alias("value"))
-    return g.select("service", F.unix_timestamp("w.start").alias("at"), r6("value").alias("value"))
+    g = telemetry.range_series(tables.events(spark, d), "service", "value", "ts", "1 hour", "id")
+    return g.select("service", F.unix_timestamp(F.col("at").cast("timestamp")).alias("at"), r6("value").alias("value"))
 
 
 @query(f"with {EVENTS} select service, metric_name, round(max_by(value, (ts, id)), 6) as value from ev group by 1, 2")

@@ -65,8 +65,8 @@ def test_models_and_points(spark):
     assert embedding.points(made).count() == 2
 
 
-@pytest.mark.parametrize("size", [7, 1024])
-def test_neighbours(spark, size):
+@pytest.mark.parametrize("size,most", [(7, 3), (1024, 32_768)])
+def test_neighbours(spark, size, most):
     rng = np.random.default_rng(size)
     x = rng.integers(-2, 3, (60, 5)).astype(float)  # few directions: many ties, and vectors of length 0
     rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)] + [(None, [1.0] * 5), (99, None), (98, [])], "id long, embedding array<double>").repartition(4)
@@ -75,7 +75,7 @@ def test_neighbours(spark, size):
     u = x / np.where(n > 0, n, 1)[:, None]
     score = np.round(u @ u.T, 9) + 0.0
     want = {(q, r + 1, int(i), float(score[q, i])) for q in range(0, 60, 10) for r, i in enumerate(np.lexsort((np.arange(60), -score[q]))[:4])}
-    assert {tuple(r) for r in embedding.neighbours(rows, asked, 4, size).collect()} == want
+    assert {tuple(r) for r in embedding.neighbours(rows, asked, 4, size, most).collect()} == want
     assert embedding.neighbours(rows, rows.limit(0), 4).count() == 0
 
 
