@@ -16,7 +16,8 @@ fixed size.
 
 A posterior tells languages apart but not a text in none of them, so the model also knows how
 likely a letter is in each language: from the sample, the mean of the words' log-likelihood a
-letter and how much it varies. ``predict`` gives each text's distance from that mean.
+letter and how much it varies. ``predict`` gives each text's distance from that mean. Only
+words of letters count there: numbers, addresses and keys are strange in every language.
 """
 
 from __future__ import annotations
@@ -45,9 +46,15 @@ CACHE_WORDS = 200_000
 #: Steps of an expected count; whole numbers add up alike in every order.
 SCALE = 2.0**24
 UNKNOWN = "und"
+PUNCTUATION = ".,;:!?\"'()[]«»„“”‘’¿¡-"
 MARK = "▁"
 
 
+def plain_size(word: str) -> int:
+    """Letters of a word with its mark, 0 for one that is not made of letters between marks of punctuation."""
+    return len(word) + 1 if word.strip(PUNCTUATION).isalpha() else 0
+
+
 class Pieces:
     """The vocabulary, found by a rolling hash of code points."""
 
@@ -290,7 +297,9 @@ def fit(docs: DataFrame, vocabulary: str = VOCABULARY, per_lang: int = 1000, rou
                 mine = np.flatnonzero(of == lang)
                 if len(mine):
                     words = [w[len(MARK) :] for w in batch.column(1).take(pa.array(mine)).to_pylist()]
-                    logs, size, uses = score_words(words, shared.value, final.value[:, k : k + 1])[:, 0], np.array([len(w) + 1 for w in words]), n[mine]
+                    size = np.array([plain_size(w) for w in words])
+                    uses, words, size = n[mine][size > 0], [w for w, m in zip(words, size) if m], size[size > 0]
+                    logs = score_words(words, shared.value, final.value[:, k : k + 1])[:, 0]
                     sums[k] += [(uses * x).sum() for x in (np.ones(len(uses)), size, logs, size * size, size * logs, logs * logs)]
         yield pa.RecordBatch.from_arrays([pa.array(range(len(langs)), pa.int32()), *(pa.array(c) for c in sums.T)], names=["lang", *"abcdef"])
 
@@ -306,8 +315,9 @@ def fit(docs: DataFrame, vocabulary: str = VOCABULARY, per_lang: int = 1000, rou
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """Add ``lang_pred``, ``score`` (the posterior, 0 to 1) and ``strange`` to all rows of ``docs``.
 
-    ``strange`` is how much less likely a letter of the text is than one of ``lang_pred``
-    usually is, in natural logarithms, less four standard errors for texts of as many words.
+    ``strange`` is how much less likely a letter of the text's words of letters is than one of
+    ``lang_pred`` usually is, in natural logarithms, less four standard errors for as many
+    words; null where there are none.
     Only ``text`` is looked at. A text that is null or has no letter gets ``und``, 0 and null,
     and so does every row if nothing was learnt. Ties go to the language first in the
     alphabet; equal texts get equal results. Columns of these three names are replaced.
@@ -320,29 +330,34 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     def identify(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = shared.value
         letter, index = regex.compile(r"\p{L}").search, _Index()
-        scores = np.zeros((0, len(model.langs)))
+        scores, plain = np.zeros((0, len(model.langs))), np.zeros(0, np.int64)
         for texts in batches:
             langs, best, strange = [], [], []
-            usable = [bool(model.langs) and t is not None and letter(t) is not None for t in texts]
-            split = [t.split() if ok else None for t, ok in zip(texts, usable)]
-            ids = [None if words is None else np.fromiter(map(index.__getitem__, words), np.int32, len(words)) for words in split]
-            if index.new:
-                scores = np.concatenate([scores, score_words(index.new, model.pieces, model.table)])
-                index.new = []
-            for own, words in zip(ids, split):
-                if own is None:
-                    langs.append(UNKNOWN)
-                    best.append(0.0)
-                    strange.append(None)
-                    continue
-                logs = scores[own].sum(axis=0) + model.priors
-                k = int(logs.argmax())
-                langs.append(model.langs[k])
-                best.append(float(1 / np.exp(logs - logs[k]).sum()))
-                letters = sum(map(len, words)) + len(own)
-                strange.append(float(model.usual[k] - (logs[k] - model.priors[k] + 4 * np.sqrt(model.spread[k] * len(own))) / letters))
-            if len(index) > CACHE_WORDS:
-                index, scores = _Index(), scores[:0]
+            for a in range(0, len(texts), 500):
+                held = []
+                for t in texts.iloc[a : a + 500]:
+                    words = t.split() if model.langs and t is not None and letter(t) is not None else None
+                    held.append(None if words is None else np.fromiter(map(index.__getitem__, words), np.int32, len(words)))
+                if index.new:
+                    scores = np.concatenate([scores, score_words(index.new, model.pieces, model.table)])
+                    plain = np.concatenate([plain, [plain_size(w) for w in index.new]])
+                    index.new = []
+                for own in held:
+                    if own is None:
+                        langs.append(UNKNOWN)
+                        best.append(0.0)
+                        strange.append(None)
+                        continue
+                    mine = scores[own]
+                    logs = mine.sum(axis=0) + model.priors
+                    k = int(logs.argmax())
+                    langs.append(model.langs[k])
+                    best.append(float(1 / np.exp(logs - logs[k]).sum()))
+                    size = plain[own]
+                    letters, n = int(size.sum()), int(np.count_nonzero(size))
+                    strange.append(float(model.usual[k] - (mine[size > 0, k].sum() + 4 * np.sqrt(model.spread[k] * n)) / letters) if n else None)
+                if len(index) > CACHE_WORDS:
+                    index, scores, plain = _Index(), scores[:0], plain[:0]
             yield pd.DataFrame({"lang_pred": langs, "score": best, "strange": pd.Series(strange, dtype=float)})
 
     found = docs.withColumn("_found", identify(F.col("text").cast("string")))
