@@ -37,7 +37,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if not model.langs:
         return docs.select(*COLUMNS)
     found = langid.predict(docs.select(*COLUMNS), model)
-    told = found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE) & (F.col("strange") <= MOST_STRANGE))
+    told = found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE) & (F.coalesce("strange", F.lit(0.0)) <= MOST_STRANGE))
     return told.withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
 
