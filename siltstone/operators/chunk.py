@@ -10,7 +10,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from html.parser import HTMLParser
 
 import numpy as np
@@ -181,6 +181,8 @@ def helm(text: str) -> Iterator[Chunk]:
         yield 1, "\n".join(values), 0, 0, None, "values"
 
 
+#: Sentences that are embedded at a time.
+STRETCH = 1024
 #: A sentence with its terminator and the space after it; sentences of a text make up the text.
 SENTENCE = r"(?s).+?(?:[.!?]+\s+|\z)"
 _whole_sentence = re.compile(r"(?s).+?(?:[.!?]+\s+|\Z)").findall
@@ -277,33 +279,63 @@ def json_parts(text: str, depth: int = 2) -> Iterator[Chunk]:
         k += 1
 
 
+def distances_of(texts: Iterable[list[str] | None], buffer: int = 1, model: Model | None = None) -> list[list[float]]:
+    """1 - cosine of each sentence of a text and the next, each with ``buffer`` sentences on both sides."""
+    model = model or Hashing()
+
+    def far(v: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Distances of the windows around each sentence and the next; first and last: of the text that it stands in."""
+        sums = np.concatenate([np.zeros((1, v.shape[1]), v.dtype), np.cumsum(v, axis=0, dtype=v.dtype)])
+        at = np.arange(len(v))
+        near = (sums[np.minimum(at + buffer + 1, last)] - sums[np.maximum(at - buffer, first)]).astype(np.float64)
+        square = np.sqrt(np.einsum("ij,ij->i", near, near))
+        length, dot = square[:-1] * square[1:], np.einsum("ij,ij->i", near[:-1], near[1:])
+        return np.where(length > 0, 1 - dot / np.where(length > 0, length, 1), 1.0)
+
+    def long(parts: list[str]) -> list[float]:
+        out: list[float] = []
+        for a in range(0, len(parts) - 1, STRETCH):  # pairs from (a, a + 1) on
+            b = min(a + STRETCH, len(parts) - 1)
+            low, high = max(0, a - buffer), min(len(parts), b + buffer + 1)
+            out += far(model(parts[low:high]), np.zeros(1, int), np.full(1, high - low))[a - low : b - low].tolist()
+        return out
+
+    def short(texts: list[list[str]]) -> list[list[float]]:
+        """Many texts at once."""
+        size = np.array([len(t) for t in texts])
+        ends = np.cumsum(size)
+        if not len(ends) or not ends[-1]:
+            return [[] for _ in texts]
+        found = far(model([p for t in texts for p in t]), np.repeat(ends - size, size), np.repeat(ends, size)).tolist()
+        return [found[e - n : e - 1] if n > 1 else [] for e, n in zip(ends.tolist(), size.tolist())]
+
+    out, held, total = [], [], 0
+    for parts in texts:
+        parts = [] if parts is None else list(parts)
+        if len(parts) > STRETCH or total + len(parts) > STRETCH:
+            out += short(held)
+            held, total = [], 0
+        if len(parts) > STRETCH:
+            out.append(long(parts))
+        else:
+            held.append(parts)
+            total += len(parts)
+    return [*out, *short(held)]
+
+
 def adjacent_distances(sentences: Column, buffer: int = 1, make: Callable[[], Model] = Hashing) -> Column:
     """1 - cosine of each sentence and the next, each with ``buffer`` sentences on both sides; 1 if a vector has no length.
 
-    Sentences are embedded a few hundred at a time and summed in a sliding window, so memory
-    does not grow with the text; the model's vectors must add up as counts do.
+    Sentences are embedded about a thousand at a time, of many texts or of a part of a long
+    one, and summed in a sliding window, so memory does not grow with the text; the model's
+    vectors must add up as counts do.
     """
 
     @F.pandas_udf("array<double>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = make()
-
-        def distances(parts: list[str]) -> list[float]:
-            n, found, step = len(parts), [], 256
-            for a in range(0, n - 1, step):  # pairs (a, a + 1) to (b - 1, b)
-                b = min(a + step, n - 1)
-                low, high = max(0, a - buffer), min(n, b + buffer + 1)
-                v = model(parts[low:high]).astype(np.float64)
-                sums = np.concatenate([np.zeros((1, v.shape[1])), np.cumsum(v, axis=0)])
-                at = np.arange(a, b + 1)
-                near = sums[np.minimum(at + buffer + 1, n) - low] - sums[np.maximum(at - buffer, 0) - low]
-                square = np.sqrt((near * near).sum(axis=1))
-                length, dot = square[:-1] * square[1:], (near[:-1] * near[1:]).sum(axis=1)
-                found += np.where(length > 0, 1 - dot / np.where(length > 0, length, 1), 1.0).tolist()
-            return found
-
         for texts in batches:
-            yield pd.Series([distances(list(parts)) if parts is not None and len(parts) > 1 else [] for parts in texts], dtype=object)
+            yield pd.Series(distances_of(texts, buffer, model), dtype=object)
 
     return run(sentences)
 

@@ -21,9 +21,9 @@ from siltstone.operators.embedding import Hashing, _words
 from siltstone.storage import cut
 
 #: Cells of a word's vector, lists of the index, vectors that they are fitted on at most, rounds of that.
-DIMS, LISTS, SAMPLE, ROUNDS = 64, 512, 20_000, 8
+DIMS, LISTS, SAMPLE, ROUNDS = 64, 256, 20_000, 8
 #: Documents and queries of a block; lists that a query vector looks at; documents of a block that are scored exactly.
-BLOCK, ASKED, PROBES, CANDIDATES = 256, 64, 8, 32
+BLOCK, ASKED, PROBES, CANDIDATES = 256, 64, 8, 48
 
 
 def word_vectors(rows: DataFrame, key: str = "id", text: str = "content", dims: int = DIMS) -> DataFrame:
@@ -78,7 +78,7 @@ BLOCK_SCHEMA = "block long, ids array<long>, counts binary, tokens binary, x bin
 def _record(number: int, ids: pa.Array, counts: np.ndarray, tokens: np.ndarray, x: np.ndarray, centers: np.ndarray) -> pa.RecordBatch:
     from pyspark import TaskContext
 
-    own = (x @ centers.T).argmax(axis=1) if len(x) else np.zeros(0)
+    own = np.concatenate([(x[a : a + 2048] @ centers.T).argmax(axis=1) for a in range(0, len(x), 2048)] or [np.zeros(0)])
     held = (pa.array([y.tobytes()], pa.binary()) for y in (counts.astype(np.int32), tokens.astype(np.int32), x.astype(np.float64), own.astype(np.int32)))
     return pa.RecordBatch.from_arrays([pa.array([(TaskContext.get().partitionId() << 32) + number]), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), *held], names=[c.split(" ")[0] for c in BLOCK_SCHEMA.split(", ")])
 

@@ -43,7 +43,7 @@ def events_source(events: DataFrame, name: str = "code") -> Source:
 def graph_source(nodes: DataFrame, edges: DataFrame) -> Source:
     def search(query: str, limit: int) -> DataFrame:
         n = nodes.select("id", F.lower("name").alias("content"))
-        out = retrieval.ranked_scan(n.withColumn("seq", F.xxhash64("id")), query, limit)
+        out = retrieval.ranked_scan(n.withColumn("seq", F.col("id")), query, limit)
         degree = edges.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("degree"))
         return rows(out.join(degree, "id", "left").withColumn("content", F.concat_ws(" ", "content", F.lit("degree"), F.coalesce("degree", F.lit(0)).cast("string"))), "graph")
 

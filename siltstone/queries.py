@@ -200,7 +200,7 @@ def sanitize_prompts(spark, d):
     return tables.read(spark, d, "conversations").select("conv_id", "turn", F.sha2(text.sanitize_prompt(F.col("text")), 256).alias("safe"))
 
 
-@query()
+@query(r"select doc_id as id, sha256(regexp_replace(regexp_replace(nfc_normalize(strip_accents(lower(coalesce(text, '')))), '\s+', ' ', 'g'), '^ | $', '', 'g')) as folded from documents")
 def normalize_unicode(spark, d):
     return tables.docs(spark, d).select("id", F.sha2(text.normalize_text(F.col("content")), 256).alias("folded"))
 

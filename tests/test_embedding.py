@@ -97,6 +97,26 @@ def semantic_by_hand(text, share=0.95):
     return [*out, held] if held else out
 
 
+def test_distances_of_long_texts_go_on_over_stretches(spark, monkeypatch):
+    rng = random.Random(8)
+    texts = [[rng.choice(["a b", "b c d", "!", "e"]) for _ in range(n)] for n in (0, 1, 2, 3, 9, 10, 11, 31, 4, 64)]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "id long, s array<string>").coalesce(1)
+    for buffer in (1, 2):
+        whole = [r["d"] for r in df.select("id", chunk.adjacent_distances(F.col("s"), buffer).alias("d")).orderBy("id").collect()]
+        want = []
+        for t in texts:
+            near = [np.array(by_hand(" ".join(t[max(0, k - buffer) : k + buffer + 1]))) for k in range(len(t))]
+            want.append([1 - float(a @ b) if a.any() and b.any() else 1.0 for a, b in zip(near, near[1:])])
+        assert all(np.allclose(a, b) and len(a) == len(b) for a, b in zip(whole, want))
+        held = chunk.STRETCH
+        try:
+            chunk.STRETCH = 10
+            parts = list(chunk.distances_of(texts, buffer))
+        finally:
+            chunk.STRETCH = held
+        assert all(np.allclose(a, b) and len(a) == len(b) for a, b in zip(parts, want))
+
+
 def test_semantic(spark):
     rng = random.Random(3)
     topics = [["cat", "dog", "paw", "tail"], ["stock", "bond", "yield", "rate"], ["rain", "wind", "cloud"]]
