@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from siltstone.operators.planner import PLATFORMS, holds, named
+from siltstone.operators.rules import holds as holds_condition
 
 #: Words that tell what a question wants, in order of precedence (fixed values).
 INTENT_WORDS = {
@@ -59,6 +60,29 @@ def match_patterns(resolved: DataFrame, patterns: dict[str, list[str]], most: in
     return resolved.withColumn("matches", F.transform(best, lambda m: F.struct(m["pattern"].alias("pattern"), m["score"].alias("score"))))
 
 
+def verdicts(matched: DataFrame, rules: DataFrame) -> DataFrame:
+    """Adds ``violations`` (rule ids in order), ``errors``, ``can_proceed`` and ``reasoning`` to ``match_patterns``.
+
+    rules: (rule, platform, severity, feature, operator, expected), a row a condition; a rule
+    holds if all its conditions do. Features of a question are ``platform``, ``technology``
+    ("true" if one is named), ``technologies`` and ``intent``. Rules of other platforms than
+    the question's are left out, so a question without a platform violates none. Rules are a
+    small curated table; questions meet those of their platform, and equal questions with null
+    or repeated ids are judged together by all that they show.
+    """
+    rows = matched.withColumn("_id", F.xxhash64(F.col("platform"), F.col("intent"), F.col("technologies")))
+    shown = F.create_map(F.lit("platform"), F.col("platform"), F.lit("technology"), (F.size("technologies") > 0).cast("string"), F.lit("technologies"), F.array_join("technologies", ","), F.lit("intent"), F.col("intent"))
+    kinds = rows.where("platform is not null").select("_id", "platform", F.explode(shown).alias("feature", "value")).distinct()
+    needed = rules.groupBy("rule", "platform", "severity").agg(F.count("*").alias("n"))
+    met = kinds.join(rules, ["platform", "feature"]).where(holds_condition(F.col("operator"), F.col("value"), F.col("expected")))
+    found = met.groupBy("_id", "rule", "platform", "severity").agg(F.count("*").alias("m")).join(needed, ["rule", "platform", "severity"]).where("m = n")
+    told = found.groupBy("_id").agg(F.array_sort(F.collect_list("rule")).alias("violations"), F.count_if(F.col("severity") == "error").alias("errors"))
+    out = rows.join(told, "_id", "left").drop("_id").withColumns({"violations": F.coalesce("violations", F.array().cast("array<string>")), "errors": F.coalesce("errors", F.lit(0))})
+    best = F.get("matches", F.lit(0))
+    parts = F.array_compact(F.array(F.concat(F.lit("Intent: "), F.col("intent")), F.when(F.size("matches") > 0, F.concat(F.lit("Recommended: "), best["pattern"], F.lit(" ("), F.round(best["score"] * 100).cast("int").cast("string"), F.lit("%)"))), F.when(F.col("errors") > 0, F.concat(F.lit("Blocking: "), F.col("errors").cast("string"), F.lit(" issues")))))
+    return out.withColumns({"can_proceed": F.col("errors") == 0, "reasoning": F.array_join(parts, " | ")})
+
+
 def scan(query: str, nodes: DataFrame, kinds: dict[str, DataFrame], limit: int = 10) -> DataFrame:
     """(branch, type, id, name): platforms named in the query with their services, then use cases, decisions and references if it asks for them.
 

@@ -80,6 +80,42 @@ def plans(rows: DataFrame, query: str = "query") -> DataFrame:
     return known.select(*rows.columns, intent.alias("intent"), sources.alias("plan_sources"), named(q, TOOL_WORDS).alias("tools"), named(q, PLATFORMS).alias("platforms"))
 
 
+STEP = "struct<step_type: string, action: string, source: string, limit: int, tools: array<string>>"
+
+
+def step(kind: str, action: str, source: Column | str | None = None, limit: int | None = None, tools: Column | None = None) -> Column:
+    of = F.lit(source) if source is None or isinstance(source, str) else source
+    return F.struct(F.lit(kind).alias("step_type"), F.lit(action).alias("action"), of.cast("string").alias("source"), F.lit(limit).cast("int").alias("limit"), (F.array().cast("array<string>") if tools is None else tools).alias("tools"))
+
+
+def steps(planned: DataFrame) -> DataFrame:
+    """Adds ``steps`` to ``plans``: what is done for the question, in order.
+
+    A design is analysed, looked up in documents and code, and drawn up; trouble is looked up
+    in tickets and telemetry, and diagnosed; other questions are searched in each of their
+    sources. Tools come after that, and an answer at the end.
+    """
+    design = F.array(step("analyze", "analyze_ir", "ir"), step("retrieve", "search", "docs"), step("retrieve", "search", "code"), step("reason", "generate_architecture"))
+    trouble = F.array(step("retrieve", "search", "tickets"), step("retrieve", "search", "telemetry"), step("analyze", "analyze_logs"), step("reason", "diagnose"))
+    others = F.transform(F.array_distinct("plan_sources"), lambda s: step("retrieve", "search", s, 10))
+    first = F.when(F.col("intent") == "design", design).when(F.col("intent") == "troubleshoot", trouble).otherwise(others)
+    used = F.when(F.size("tools") > 0, F.array(step("tool", "execute_tools", tools=F.col("tools")))).otherwise(F.array().cast(f"array<{STEP}>"))
+    return planned.withColumn("steps", F.concat(first, used, F.array(step("reason", "generate_answer"))))
+
+
+#: What a source is asked besides the question itself (fixed forms).
+ALSO_ASKED = {"docs": "SAP BTP {}", "code": "{} implementation", "tickets": "{} known issues", "telemetry": "{} logs metrics"}
+
+
+def source_queries(planned: DataFrame, query: str = "query") -> DataFrame:
+    """One row for each text that a source of ``plans`` is asked: adds ``source``, ``k`` (0 is the question itself) and ``asked``."""
+    pairs = F.array(*(F.struct(F.lit(s).alias("source"), F.lit(form).alias("form")) for s, form in ALSO_ASKED.items()))
+    both = planned.withColumn("_p", F.explode(pairs)).where(F.array_contains("plan_sources", F.col("_p.source")))
+    q = F.coalesce(F.col(query), F.lit(""))
+    asked = F.array(q, F.replace(F.col("_p.form"), F.lit("{}"), q))
+    return both.select(*planned.columns, F.col("_p.source").alias("source"), F.posexplode(asked).alias("k", "asked"))
+
+
 def design_scores(designs: DataFrame, name: str = "id") -> DataFrame:
     """Adds the score of each criterion by the first pattern in the design's name, their mean and the issues."""
     n = F.lower(F.coalesce(F.col(name).cast("string"), F.lit("")))

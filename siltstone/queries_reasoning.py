@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
-from siltstone.operators import code, graph, reasoning
-from siltstone.queries import EDGES, query, r6
+from siltstone.operators import code, graph, knowledge, planner, reasoning
+from siltstone.queries import CLASSIFIED, EDGES, any_sql, case_sql, named_sql, query, r6
+from siltstone.queries_search import MATCHES_SQL, PATTERNS
 from siltstone.sources import tables
 from siltstone.streaming import caches, ingest
 
@@ -46,8 +47,6 @@ def order_questions(spark, d):
 
 
 def reasoning_window():
-    from pyspark.sql import Window
-
     return Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")
 
 
@@ -137,3 +136,94 @@ def telemetry_joined(spark, d):
     e = tables.events(spark, d)
     out = ingest.bucketed_pairs(e.where("metric_name = 'error'"), e.where("metric_name in ('purchase', 'click')"), 30)
     return out.select("service", "log_id", "metric_id", "metric", r6("value").alias("value"))
+
+
+# Plans, verdicts, citations and checks of answers
+
+
+@query(f"""with {CLASSIFIED}, p as (select qid, trim({case_sql(planner.INTENT_WORDS | {"design ": planner.SKETCH_WORDS}, "case l[1] when 'causal' then 'troubleshoot' when 'complex' then 'design' else 'explain' end")}) as intent, {named_sql(planner.SOURCE_WORDS)} as s, {named_sql(planner.TOOL_WORDS)} as t from k),
+f as (select qid, t, case intent when 'design' then ['analyze:analyze_ir:ir:', 'retrieve:search:docs:', 'retrieve:search:code:', 'reason:generate_architecture::'] when 'troubleshoot' then ['retrieve:search:tickets:', 'retrieve:search:telemetry:', 'analyze:analyze_logs::', 'reason:diagnose::']
+  else list_transform(case when len(s) > 0 then s else ['{"', '".join(planner.ALL_SOURCES)}'] end, lambda x: 'retrieve:search:' || x || ':10') end as a from p)
+select qid, array_to_string(list_concat(a, case when len(t) > 0 then ['tool:execute_tools::' || array_to_string(t, '+')] else [] end, ['reason:generate_answer::']), '|') as steps from f""")
+def plan_steps(spark, d):
+    p = planner.steps(planner.plans(tables.queries(spark, d)))
+    text = lambda s: F.concat_ws(":", s["step_type"], s["action"], F.coalesce(s["source"], F.lit("")), F.coalesce(s["limit"].cast("string"), F.array_join(s["tools"], "+")))
+    return p.select("qid", F.array_join(F.transform("steps", text), "|").alias("steps"))
+
+
+@query(f"""with {CLASSIFIED}, p as (select qid, query, {named_sql(planner.SOURCE_WORDS)} as s from k), z as (select qid, query, case when len(s) > 0 then s else ['{"', '".join(planner.ALL_SOURCES)}'] end as s from p),
+x as (select unnest(['docs', 'code', 'tickets', 'telemetry']) as source, unnest(['SAP BTP ', '', '', '']) as before, unnest(['', ' implementation', ' known issues', ' logs metrics']) as after)
+select qid, source, k::bigint as k, sha256(case k when 0 then query else before || query || after end) as asked from z, x, range(2) r(k) where list_contains(s, source)""")
+def source_queries(spark, d):
+    q = planner.source_queries(planner.plans(tables.queries(spark, d)))
+    return q.select("qid", "source", F.col("k").cast("long").alias("k"), F.sha2("asked", 256).alias("asked"))
+
+
+#: Rules of platforms for questions made from orders, a condition a row.
+RULES = [("no-rest", "sap", "error", "technologies", "contains", "rest"), ("no-rest", "sap", "error", "intent", "eq", "design"), ("named", "sap", "warning", "technology", "eq", "true"), ("slow", "tanzu", "error", "intent", "eq", "optimize"), ("any", "tanzu", "warning", "platform", "eq", "tanzu")]
+
+
+def order_wishes(spark, d):
+    """A question an order, whose words tell platform, technology and intent by its keys."""
+    o = tables.read(spark, d, "orders")
+    pick = lambda c, words: F.element_at(F.array(*map(F.lit, words)), (c % len(words) + 1).cast("int"))
+    text = F.concat_ws(" ", pick(F.col("o_orderkey"), ["design", "optimize", "tell", "explain", "move"]), pick(F.col("o_custkey"), ["rest", "graphql", "it", "database jwt"]), F.lit("on"), pick(F.col("o_orderkey") + F.col("o_custkey"), ["kyma", "knative", "dataverse", "paper"]))
+    return o.select(F.col("o_orderkey").alias("qid"), text.alias("query"))
+
+
+@query(f"""with o as (select o_orderkey as qid, ['design', 'optimize', 'tell', 'explain', 'move'][o_orderkey % 5 + 1] || ' ' || ['rest', 'graphql', 'it', 'database jwt'][o_custkey % 4 + 1] || ' on ' || ['kyma', 'knative', 'dataverse', 'paper'][(o_orderkey + o_custkey) % 4 + 1] as query from orders),
+k as (select qid, query, {case_sql(knowledge.INTENT_WORDS, "'analyze'")} as intent, {named_sql(knowledge.PLATFORM_WORDS)} as p, {named_sql({t: [t] for t in knowledge.TECHNOLOGIES})} as t from o),
+v as (select *, list_filter([case when p[1] = 'tanzu' then 'any' end, case when p[1] = 'sap' and len(t) > 0 then 'named' end, case when p[1] = 'sap' and contains(array_to_string(t, ','), 'rest') and intent = 'design' then 'no-rest' end, case when p[1] = 'tanzu' and intent = 'optimize' then 'slow' end], lambda x: x is not null) as found from k),
+e as (select *, len(list_filter(found, lambda x: x in ('no-rest', 'slow'))) as errors, {MATCHES_SQL} as m from v)
+select qid, array_to_string(found, ',') as violations, errors = 0 as can_proceed, 'Intent: ' || intent || case when len(m) > 0 then ' | Recommended: ' || m[1].n || ' (' || (-10 * m[1].r) || '%)' else '' end || case when errors > 0 then ' | Blocking: ' || errors || ' issues' else '' end as reasoning from e""")
+def resolver_verdicts(spark, d):
+    rules = spark.createDataFrame(RULES, "rule string, platform string, severity string, feature string, operator string, expected string")
+    v = knowledge.verdicts(knowledge.match_patterns(knowledge.resolve(order_wishes(spark, d)), PATTERNS), rules)
+    return v.select("qid", F.array_join("violations", ",").alias("violations"), "can_proceed", "reasoning")
+
+
+@query("""with s as (select unnest(['parenthetical', 'footnote', 'verbatim', 'highlight', 'structured']) as style), o as (select o_custkey as id, count(*) as n from orders group by 1)
+select id, style, 'so it is' || case style when 'parenthetical' then ' (see [' || array_to_string(list_transform(range(1, n + 1), lambda i: i::varchar), ', ') || '])' when 'footnote' then ' ' || array_to_string(list_transform(range(1, n + 1), lambda i: '[' || i || ']'), ' ') else '' end as cited from o, s""")
+def citation_styles(spark, d):
+    o = tables.read(spark, d, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.count("*").alias("n"))
+    cited = F.array(*(F.struct(F.lit(s).alias("style"), reasoning.cite(F.lit("so it is"), F.col("n"), s).alias("cited")) for s in ("parenthetical", "footnote", "verbatim", "highlight", "structured")))
+    return o.select("id", F.explode(cited).alias("c")).select("id", "c.style", "c.cited")
+
+
+TURNS = "turns as (select conv_id, turn, text as query, lead(text) over (partition by conv_id order by turn) as response, role from conversations), pairs as (select * from turns where role = 'user' and response is not null)"
+
+
+def answered_turns(spark, d):
+    t = tables.read(spark, d, "conversations").withColumn("response", F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn")))
+    return t.where("role = 'user' and response is not null").select("conv_id", "turn", F.col("text").alias("query"), "response")
+
+
+@query(f"""with {TURNS}, w as (select *, list_filter(string_split_regex(lower(query), '\\s+'), lambda x: x <> '') as words, list_filter(list_distinct(string_split_regex(lower(query), '\\s+')), lambda x: length(x) > 6) as aspects from pairs)
+select conv_id, turn, round(case when query = '' then 0.5 when contains(lower(response), lower(query)) then 1.0 else len(list_filter(words, lambda x: contains(lower(response), x))) / greatest(len(words), 1)::double end, 6) as correctness,
+  round(len(list_filter(aspects, lambda x: contains(lower(response), x))) / greatest(len(aspects), 1)::double, 6) as relevance,
+  0.5 + case when contains(lower(query), 'architecture') and (contains(lower(response), 'component') or contains(lower(response), 'service') or contains(lower(response), 'api')) then 0.25 else 0 end + case when contains(lower(response), 'database') or contains(lower(response), 'cache') or contains(lower(response), 'queue') then 0.25 else 0 end as quality from w""")
+def answer_quality(spark, d):
+    """Correctness, relevance and quality of the answer to every user turn, the longer words of the turn being what is expected."""
+    t = answered_turns(spark, d)
+    aspects = F.filter(F.array_distinct(F.split(F.lower("query"), r"\s+")), lambda x: F.length(x) > 6)
+    q, r = F.col("query"), F.col("response")
+    return t.select("conv_id", "turn", r6(reasoning.correctness(r, q)).alias("correctness"), r6(reasoning.relevance(r, aspects)).alias("relevance"), reasoning.architecture_quality(r, q).cast("double").alias("quality"))
+
+
+TOPIC_LIST = "['" + "', '".join(reasoning.TOPICS) + "']"
+
+
+@query(f"""with {TURNS}, t as (select *, list_filter(list_distinct(string_split_regex(lower(query), '\\s+')), lambda w: length(w) >= 4) as terms,
+  list_distinct(list_filter(list_filter(string_split_regex(lower(query), '\\s+'), lambda w: length(w) > 4), lambda w: list_contains({TOPIC_LIST}, w))) as asked,
+  list_filter(string_split_regex(lower(response), '\\s+'), lambda w: length(w) > 4) as told from pairs),
+c as (select *, len(list_filter(terms, lambda w: not contains(lower(response), w))) as accuracy,
+  case when ({any_sql(reasoning.QUESTIONS)}) and length(response) < 50 then 1 else 0 end + case when contains(query, '?') and not regexp_matches(response, '[?.!]$') then 1 else 0 end
+  + case when len(list_filter(asked, lambda w: not list_contains(told, w))) > 0 and len(list_filter(asked, lambda w: not list_contains(told, w))) > floor(len(asked) / 2) then 1 else 0 end as completeness,
+  {' + '.join(f"case when regexp_matches(response, '(?i){p}') then 1 else 0 end" for p in reasoning.DESTRUCTIVE)} as safety from t),
+s as (select *, ((accuracy = 0)::int + (completeness = 0)::int + (safety = 0)::int + 1) / 4.0::double as score from c)
+select conv_id, turn, accuracy::bigint as accuracy_issues, completeness::bigint as completeness_issues, safety::bigint as safety_issues, safety = 0 as valid, score, (score + case when turn % 2 = 0 then 1.0 else 0.5 end) / 2 as confidence from s""")
+def validation_outputs(spark, d):
+    """Every output of the validation of the answer to a user turn; odd turns have one relevant source of two."""
+    relevant = F.when(F.col("turn") % 2 == 0, F.array(F.lit(True))).otherwise(F.array(F.lit(True), F.lit(False)))
+    v = reasoning.validate(answered_turns(spark, d).withColumns({"contexts": F.array("response"), "relevant": relevant}))
+    return v.select("conv_id", "turn", "accuracy_issues", "completeness_issues", "safety_issues", "valid", F.col("score").cast("double").alias("score"), F.col("confidence").cast("double").alias("confidence"))
