@@ -223,6 +223,39 @@ def merge_edges(current: DataFrame, new: DataFrame, nodes: DataFrame) -> DataFra
     return known_ends(current.unionByName(new), nodes).dropDuplicates(["src", "dst", "type"])
 
 
+def merge_architecture(nodes: DataFrame, edges: DataFrame, components: DataFrame, relationships: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges after the components (id, type, properties), then the relationships (src, dst, type) of an architecture are merged.
+
+    Components of one id become one first, later types and properties over earlier ones in
+    their order; relationships with an unknown end are left out. A null id is no component.
+    """
+    given = components.where("id is not null")
+    pairs = given.select("id", "type", F.explode_outer("properties").alias("k", "v"))
+    held = pairs.where("k is not null").groupBy("id", "k").agg(F.max("v").alias("v")).groupBy("id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias("properties"))
+    once = given.groupBy("id").agg(F.max("type").alias("type")).join(held, "id", "left").select("id", "type", F.coalesce("properties", F.create_map().cast("map<string,string>")).alias("properties"))
+    after = merge_nodes(nodes, once)
+    return after, merge_edges(edges, relationships.select("src", "dst", "type"), after)
+
+
+def related(seeds: DataFrame, edges: DataFrame, depth: int = 1, types: list[str] | None = None) -> DataFrame:
+    """(start, node, distance): nodes within ``depth`` steps along edges of any of the types, and against those that say DEPENDS_ON; each once, without the start."""
+    kept = match_edges(edges, types)
+    back = kept.where("type = 'DEPENDS_ON'").select(F.col("dst").alias("src"), F.col("src").alias("dst"), "type")
+    return neighbourhood(seeds, kept.unionByName(back), depth, "outgoing")
+
+
+def dependencies(edges: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """(name, other): what imports each named node, all of them without ``names`` (name)."""
+    found = match_edges(edges, ["IMPORTS"]).select(F.col("dst").alias("name"), F.col("src").alias("other")).distinct()
+    return found if names is None else found.join(names.select("name").distinct(), "name", "left_semi")
+
+
+def usage(edges: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """(name, other): what each named node calls, all of them without ``names`` (name)."""
+    found = match_edges(edges, ["CALLS"]).select(F.col("src").alias("name"), F.col("dst").alias("other")).distinct()
+    return found if names is None else found.join(names.select("name").distinct(), "name", "left_semi")
+
+
 def known_ends(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     ids = nodes.select("id")
     return edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")

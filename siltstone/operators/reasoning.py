@@ -186,6 +186,13 @@ def architecture_quality(answer: Column, query: Column) -> Column:
     return 0.5 + 0.25 * about.cast("int") + 0.25 * any_word(answer, ["database", "cache", "queue"]).cast("int")
 
 
+def summary(scores: DataFrame, key: str, measures: list[str]) -> DataFrame:
+    """By key: the number of evaluated rows, the mean of each measure, and ``overall``, the mean of rows' means; null measures count 0."""
+    given = {m: F.coalesce(F.col(m), F.lit(0.0)) for m in measures}
+    mean = sum(list(given.values())[1:], given[measures[0]]) / len(measures)
+    return scores.groupBy(key).agg(F.count("*").alias("n"), *(F.avg(c).alias(m) for m, c in given.items()), F.avg(mean).alias("overall"))
+
+
 def vulnerabilities(rows: DataFrame, content: str = "content") -> DataFrame:
     """Adds ``findings`` (descriptions in order), ``n_medium`` and ``passed``."""
     c = F.coalesce(F.col(content), F.lit(""))

@@ -931,4 +931,4 @@ def node_listing(spark, d):
     return linking.page_of(tables.nodes(spark, d), ["nation", "supplier"], 15, 20).select("id", "type", "name")
 
 
-from siltstone import queries_embedding, queries_layout, queries_plans, queries_reasoning, queries_search  # noqa: E402,F401  register their queries
+from siltstone import queries_embedding, queries_graph, queries_layout, queries_plans, queries_reasoning, queries_search  # noqa: E402,F401  register their queries

@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Tables written since ``scratch`` began, innermost last.
+_held: list[list[str]] = []
+
 
 def shared_folder(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``; set here only where it is unset and Spark runs in one process."""
@@ -22,5 +27,27 @@ def shared_folder(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """The same rows from a table in the shared folder, which outlives executors."""
     path = f"{shared_folder(df.sparkSession)}/step-{uuid.uuid4().hex}"
+    note(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def note(path: str) -> None:
+    """Remember a table that the innermost ``scratch`` is to delete."""
+    if _held:
+        _held[-1].append(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes, at the end, the tables that operators wrote to cut lineages in the meantime.
+
+    Results must be written (or collected) inside, as plans made inside read those tables.
+    """
+    _held.append([])
+    try:
+        yield
+    finally:
+        for path in _held.pop():
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

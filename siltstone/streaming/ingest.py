@@ -38,6 +38,26 @@ def watch(folder: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint:
     return (w.trigger(availableNow=True) if once else w).start()
 
 
+def notifying(sink: Callable[[DataFrame, int], None], callbacks: list[Callable[[str, DataFrame], None]], source: str, log: Callable[[str], None] = print) -> Callable[[DataFrame, int], None]:
+    """A sink for ``watch`` that tells each callback of what was ingested, after it is stored; one that fails is logged and does not stop the others."""
+
+    def run(batch: DataFrame, number: int) -> None:
+        sink(batch, number)
+        for callback in dict.fromkeys(callbacks):
+            try:
+                callback(source, batch)
+            except Exception as e:  # noqa: BLE001  a callback is foreign code
+                log(f"a callback failed for source {source}: {e}")
+
+    return run
+
+
+def normalised_logs(logs: DataFrame) -> DataFrame:
+    """(at, message, level, service, source) of raw log rows (ns: nanoseconds since 1970, message, level, service, source); levels are lower-case, info where there is none."""
+    level = F.coalesce(F.nullif(F.trim(F.lower("level")), F.lit("")), F.lit("info"))
+    return logs.select(F.timestamp_micros(F.expr("ns div 1000")).alias("at"), F.coalesce("message", F.lit("")).alias("message"), level.alias("level"), F.coalesce("service", F.lit("unknown")).alias("service"), "source")
+
+
 def windowed(events: DataFrame, at: str = "ts", late: str = "10 minutes", width: str = "5 minutes", slide: str | None = None, *keys: str) -> DataFrame:
     """Counts and sums of event-time windows; an extension with watermarks."""
     w = F.window(at, width, slide) if slide else F.window(at, width)

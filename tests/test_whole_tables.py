@@ -58,3 +58,45 @@ def test_cooccurrence_reads_every_document_as_it_is(spark, tmp_path):
     own.select(*(F.col(c) if c in own.columns else F.lit(None).cast(t).alias(c) for c, t in docs.dtypes)).write.parquet(str(tmp_path / "documents.parquet"))
     got = [(r["id"], r["a"], r["b"], r["count"]) for r in queries.QUERIES["cooccurrence"](spark, str(tmp_path)).collect()]
     assert got == [(70_000, "Docker", "Kubernetes", 1)]
+
+
+def test_scratch_tables_go(spark):
+    import os
+
+    from siltstone.operators import graph
+    from siltstone.storage import scratch, shared_folder
+
+    edges = spark.createDataFrame([("a", "b", "T"), ("b", "c", "T"), ("c", "d", "T")], "src string, dst string, type string")
+    seeds = spark.createDataFrame([("a",)], "id string")
+    steps = lambda: {f for f in os.listdir(shared_folder(spark).removeprefix("file://").removeprefix("file:")) if f.startswith("step-")}
+    before = steps()
+    with scratch(spark):
+        assert {r["node"] for r in graph.neighbourhood(seeds, edges, 3).collect()} == {"b", "c", "d"}
+        assert steps() > before
+    assert steps() == before
+
+
+def test_callbacks_hear_of_batches_and_may_fail(spark):
+    from siltstone.streaming import ingest
+
+    heard, logged, stored = [], [], []
+
+    def fails(source, batch):
+        raise ValueError("no")
+
+    hears = lambda source, batch: heard.append((source, batch.count()))
+    run = ingest.notifying(lambda b, n: stored.append(n), [fails, hears, hears], "docs", logged.append)
+    run(spark.range(3), 7)
+    assert stored == [7] and heard == [("docs", 3)] and logged == ["a callback failed for source docs: no"]
+
+
+def test_components_of_one_id_become_one(spark):
+    from siltstone.operators import graph
+
+    schema = "id string, type string, properties map<string,string>"
+    nodes = spark.createDataFrame([("a", "old", {"x": "1", "y": "2"})], schema)
+    new = spark.createDataFrame([("a", "db", {"y": "3"}), ("a", "cache", {"z": "4"}), ("b", "api", None), (None, "none", {"q": "1"})], schema)
+    edges = spark.createDataFrame([("a", "b", "USES"), ("a", "b", "USES"), ("a", "q", "USES")], "src string, dst string, type string")
+    after, kept = graph.merge_architecture(nodes, edges.limit(0), new, edges)
+    assert {r["id"]: (r["type"], r["properties"]) for r in after.collect()} == {"a": ("db", {"x": "1", "y": "3", "z": "4"}), "b": ("api", {})}
+    assert [tuple(r) for r in kept.select("src", "dst", "type").collect()] == [("a", "b", "USES")]
