@@ -21,9 +21,9 @@ from siltstone.operators.embedding import Hashing, _words
 from siltstone.storage import cut
 
 #: Cells of a word's vector, lists of the index, vectors that they are fitted on at most, rounds of that.
-DIMS, LISTS, SAMPLE, ROUNDS = 64, 256, 20_000, 8
-#: Documents and queries of a block; lists that a query vector looks at; documents of a block that are scored exactly.
-BLOCK, ASKED, PROBES, CANDIDATES = 256, 64, 8, 48
+DIMS, LISTS, SAMPLE, ROUNDS = 64, 512, 20_000, 8
+#: Documents of a block; query vectors that go to the workers at a time; lists that one looks at; documents of a block that are scored exactly.
+BLOCK, ASKED, PROBES, CANDIDATES = 1024, 65_536, 8, 128
 
 
 def word_vectors(rows: DataFrame, key: str = "id", text: str = "content", dims: int = DIMS) -> DataFrame:
@@ -66,21 +66,35 @@ def centroids(x: np.ndarray, lists: int = LISTS, rounds: int = ROUNDS) -> np.nda
 
 @dataclass
 class Index:
-    """blocks: block, ids, counts (vectors of each document), tokens (which of the block's vectors), x (the block's distinct vectors), lists (the centroid of each); centers: centroids."""
+    """blocks: block, ids, counts (vectors of each document), tokens (which of the block's vectors), x (the block's distinct vectors, numbers of a ``kind``), lists (the centroid of each); centers: centroids.
+
+    Vectors of whole numbers, as hashed words are, take a byte or two a cell and are scaled to
+    length 1 when they are read.
+    """
 
     blocks: DataFrame
     centers: np.ndarray
 
 
-BLOCK_SCHEMA = "block long, ids array<long>, counts binary, tokens binary, x binary, lists binary"
+BLOCK_SCHEMA = "block long, ids array<long>, counts binary, tokens binary, x binary, kind string, lists binary"
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    norm = np.sqrt((x * x).sum(axis=1))
+    return x / np.where(norm > 0, norm, 1)[:, None]
 
 
 def _record(number: int, ids: pa.Array, counts: np.ndarray, tokens: np.ndarray, x: np.ndarray, centers: np.ndarray) -> pa.RecordBatch:
     from pyspark import TaskContext
 
-    own = np.concatenate([(x[a : a + 2048] @ centers.T).argmax(axis=1) for a in range(0, len(x), 2048)] or [np.zeros(0)])
-    held = (pa.array([y.tobytes()], pa.binary()) for y in (counts.astype(np.int32), tokens.astype(np.int32), x.astype(np.float64), own.astype(np.int32)))
-    return pa.RecordBatch.from_arrays([pa.array([(TaskContext.get().partitionId() << 32) + number]), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), *held], names=[c.split(" ")[0] for c in BLOCK_SCHEMA.split(", ")])
+    whole = np.issubdtype(x.dtype, np.integer)
+    real = lambda part: unit(part.astype(np.float64)) if whole else part
+    own = np.concatenate([(real(x[a : a + 2048]) @ centers.T).argmax(axis=1) for a in range(0, len(x), 2048)] or [np.zeros(0)])
+    most = int(np.abs(x).max()) if whole and x.size else 0
+    kind = "f8" if not whole else "i1" if most < 128 else "i4"
+    held = [pa.array([y.tobytes()], pa.binary()) for y in (counts.astype(np.int32), tokens.astype(np.int32), x.astype(kind), own.astype(np.int32))]
+    first = [pa.array([(TaskContext.get().partitionId() << 32) + number]), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)]
+    return pa.RecordBatch.from_arrays([*first, *held[:3], pa.array([kind]), held[3]], names=[c.split(" ")[0] for c in BLOCK_SCHEMA.split(", ")])
 
 
 def _drawn(rows: DataFrame, share: float) -> DataFrame:
@@ -136,14 +150,14 @@ def build_texts(docs: DataFrame, lists: int = LISTS, sample: int = SAMPLE, block
                 batch = whole.slice(a, block)
                 found = [list(dict.fromkeys(_words((t or "").lower()))) for t in batch.column(1).to_pylist()]
                 number = {w: i for i, w in enumerate(dict.fromkeys(w for ws in found for w in ws))}
-                raw = model(list(number)).astype(np.float64)
-                norm = np.sqrt((raw * raw).sum(axis=1))
-                place = np.where(norm > 0, np.cumsum(norm > 0) - 1, -1)
+                raw = model(list(number))
+                there = (raw != 0).any(axis=1)
+                place = np.where(there, np.cumsum(there) - 1, -1)
                 kept = [[p for w in ws if (p := place[number[w]]) >= 0] for ws in found]
                 some = [i for i, t in enumerate(kept) if t]
                 if some:
                     tokens = np.array([p for i in some for p in kept[i]])
-                    yield _record(k, batch.column(0).take(pa.array(some)), np.array([len(kept[i]) for i in some]), tokens, raw[norm > 0] / norm[norm > 0, None], shared.value)
+                    yield _record(k, batch.column(0).take(pa.array(some)), np.array([len(kept[i]) for i in some]), tokens, raw[there], shared.value)
                     k += 1
 
     return Index(cut(rows.mapInArrow(pack, BLOCK_SCHEMA)), centers)
@@ -156,78 +170,64 @@ def bounded_batches(df: DataFrame, most: int = 64 << 20) -> None:
         df.sparkSession.conf.set(name, str(most))
 
 
-def gains(sims: np.ndarray, lists: np.ndarray, tokens: np.ndarray, starts: np.ndarray, probes: int) -> np.ndarray:
-    """What each document of a block gains for one query from the lists nearest to its vectors; sims: query vectors x centroids."""
-    if probes < sims.shape[1]:
-        far = np.argpartition(-sims, probes - 1, axis=1)[:, probes:]
-        sims = sims.copy()
-        np.put_along_axis(sims, far, 0.0, axis=1)
-    total, of = np.zeros(len(starts)), lists[tokens]
-    for s in np.maximum(sims, 0):
-        total += np.maximum.reduceat(s[of], starts)
-    return total
+def gains(sims: np.ndarray, held: np.ndarray, probes: int) -> np.ndarray:
+    """What each document of a block gains for one query from the lists nearest to its vectors; sims: query vectors x centroids, held: documents x centroids."""
+    near = np.argpartition(-sims, min(probes, sims.shape[1]) - 1, axis=1)[:, :probes]
+    best = np.maximum(np.take_along_axis(sims, near, 1), 0)
+    return (held[:, near] * best).max(axis=2).sum(axis=1)
 
 
-def search(index: Index, queries: DataFrame, k: int = 10, probes: int = PROBES, candidates: int | None = CANDIDATES) -> DataFrame:
+def search(index: Index, queries: DataFrame, k: int = 10, probes: int = PROBES, candidates: int | None = CANDIDATES, most: int = ASKED) -> DataFrame:
     """(qid, rank, id, score): the best ``k`` documents for each query (qid, vectors) by the sum of best matches.
 
-    Every block of documents meets every block of queries once: blocks of documents are dealt
-    by a number, and each number gets all queries, so no join has few keys. In each, the
+    Queries go to the workers about ``most`` vectors at a time (32 MB at 64 numbers each), and
+    tasks run through the blocks with them; blocks are not moved. In each block the
     ``candidates`` documents that gain most from the probed lists are scored exactly; None
-    scores all. Scores
-    are rounded to nine digits, ties go to the smaller id. Queries without a vector find
-    nothing. The bests of the blocks are merged by a window that Spark cuts before it shuffles.
+    scores all. Scores are rounded to nine digits, ties go to the smaller id. Queries without
+    a vector find nothing; a null qid is a query. The bests of the blocks are merged by a
+    window that Spark cuts before it shuffles.
     """
     kind = dict(queries.dtypes)["qid"]
-    rows = queries.select("qid", F.col("vectors").cast("array<array<double>>").alias("vectors")).where("size(vectors) > 0")
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        n = 0
-        for whole in batches:
-            for a in range(0, len(whole), ASKED):
-                batch = whole.slice(a, ASKED)
-                counts = np.diff(batch.column(1).offsets.to_numpy())
-                v = batch.column(1).flatten().flatten().to_numpy(zero_copy_only=False)
-                ids = pa.ListArray.from_arrays(pa.array([0, len(batch)], pa.int32()), batch.column(0))
-                yield pa.RecordBatch.from_arrays([pa.array([(TaskContext.get().partitionId() << 32) + n]), ids, pa.array([counts.astype(np.int32).tobytes()], pa.binary()), pa.array([v.tobytes()], pa.binary())], names=["q", "qids", "q_counts", "q_x"])
-                n += 1
-
-    asked = cut(rows.mapInArrow(pack, f"q long, qids array<{kind}>, q_counts binary, q_x binary"))
-    slots = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    everywhere = asked.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
-    paired = index.blocks.withColumn("slot", F.pmod(F.xxhash64("block"), F.lit(slots)).cast("int")).join(everywhere, "slot")
+    asked = cut(queries.select("qid", F.col("vectors").cast("array<array<double>>").alias("vectors")).where("size(vectors) > 0"))
+    turns = max(1, -(-(asked.agg(F.sum(F.size("vectors"))).first()[0] or 0) // most))
+    part, spark, found = F.pmod(F.xxhash64("qid"), F.lit(turns)), queries.sparkSession, None
     bounded_batches(queries)
-    shared = queries.sparkSession.sparkContext.broadcast(index.centers)
-
-    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(len(batch)):
-                ids, counts, tokens, x, lists, qids, q_counts, q_x = (batch.column(c)[i].as_py() for c in range(8))
-                ids, (counts, tokens, lists, q_counts) = np.array(ids), (np.frombuffer(v, np.int32) for v in (counts, tokens, lists, q_counts))
-                x = np.frombuffer(x).reshape(len(lists), -1)
-                starts = np.cumsum(counts) - counts
-                asked = np.split(np.frombuffer(q_x).reshape(int(q_counts.sum()), -1), np.cumsum(q_counts)[:-1])
-                out = [[], [], []]
-                for qid, q in zip(qids, asked):
-                    if candidates is None or candidates >= len(ids):
-                        at, mine = np.arange(len(ids)), tokens
-                    else:
-                        gained = gains(q @ shared.value.T, lists, tokens, starts, probes)
-                        at = np.sort(np.lexsort((ids, -gained))[:candidates])
-                        mine = np.concatenate([tokens[starts[d] : starts[d] + counts[d]] for d in at])
-                    first, score = np.cumsum(counts[at]) - counts[at], np.zeros(len(at))
-                    used, local = np.unique(mine, return_inverse=True)
-                    for s in q @ x[used].T:
-                        score += np.maximum.reduceat(s[local], first)
-                    score = np.round(score, 9) + 0.0
-                    top = np.lexsort((ids[at], -score))[:k]
-                    out[0] += [qid] * len(top)
-                    out[1] += ids[at][top].tolist()
-                    out[2] += score[top].tolist()
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], batch.schema.field(5).type.value_type), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], names=["qid", "id", "score"])
-
-    found = paired.select("ids", "counts", "tokens", "x", "lists", "qids", "q_counts", "q_x").mapInArrow(best, f"qid {kind}, id long, score double")
+    for turn in range(turns):
+        mine = (asked.where(part == turn) if turns > 1 else asked).toArrow().to_pylist()
+        shared = spark.sparkContext.broadcast((index.centers, [(r["qid"], np.array(r["vectors"])) for r in mine]))
+
+        def best(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            centers, asked = shared.value
+            sims = [q @ centers.T for _, q in asked] if len(centers) else []
+            for batch in batches:
+                for i in range(len(batch)):
+                    ids, counts, tokens, x, dtype, lists = (batch.column(c)[i].as_py() for c in range(6))
+                    ids, (counts, tokens, lists) = np.array(ids), (np.frombuffer(v, np.int32) for v in (counts, tokens, lists))
+                    x, starts = np.frombuffer(x, dtype).reshape(len(lists), -1), np.cumsum(counts) - counts
+                    held = np.zeros((len(ids), len(centers)))
+                    held[np.repeat(np.arange(len(ids)), counts), lists[tokens]] = 1
+                    out = [[], [], []]
+                    for (qid, q), near in zip(asked, sims):
+                        if candidates is None or candidates >= len(ids):
+                            at, mine = np.arange(len(ids)), tokens
+                        else:
+                            gained = gains(near, held, probes)
+                            at = np.sort(np.lexsort((ids, -gained))[:candidates])
+                            mine = np.concatenate([tokens[starts[d] : starts[d] + counts[d]] for d in at])
+                        first, score = np.cumsum(counts[at]) - counts[at], np.zeros(len(at))
+                        used, local = np.unique(mine, return_inverse=True)
+                        own = unit(x[used].astype(np.float64)) if dtype != "f8" else x[used]
+                        for s in q @ own.T:
+                            score += np.maximum.reduceat(s[local], first)
+                        score = np.round(score, 9) + 0.0
+                        top = np.lexsort((ids[at], -score))[:k]
+                        out[0] += [qid] * len(top)
+                        out[1] += ids[at][top].tolist()
+                        out[2] += score[top].tolist()
+                    yield pa.RecordBatch.from_arrays([pa.array(out[0], names), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], names=["qid", "id", "score"])
+
+        names = asked.select("qid").limit(0).toArrow().schema.field("qid").type
+        own = index.blocks.select("ids", "counts", "tokens", "x", "kind", "lists").mapInArrow(best, f"qid {kind}, id long, score double")
+        found = own if found is None else found.unionByName(own)
     w = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("qid", "rank", "id", "score")

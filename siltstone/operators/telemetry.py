@@ -89,10 +89,11 @@ def running_half_average(rows: DataFrame, key: str, value: str, order: str) -> D
     """
     none = rows.groupBy(key).agg(F.count_if(F.col(value).isNull()).alias("_none"))
     last = newest(rows.select(key, order, F.col(value).alias("_v")), key, order, HALVINGS)
-    back = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))
-    weighed = last.withColumn("_n", back).groupBy(key).agg(F.array_sort(F.collect_list(F.struct((-F.col("_n")).alias("n"), "_v"))).alias("_w"))
-    total = F.aggregate("_w", F.lit(0.0), lambda a, x: a + x["_v"] * F.pow(F.lit(2.0), x["n"]))
-    return weighed.join(none, key).select(key, F.when(F.col("_none") == 0, total).alias("average"))
+    own = Window.partitionBy(key)
+    back = F.count(F.lit(1)).over(own) - F.row_number().over(own.orderBy(order)) + 1
+    total = F.sum(F.col("_v") * F.pow(F.lit(0.5), F.col("_n"))).alias("average")
+    summed = last.withColumn("_n", back).groupBy(key).agg(total)
+    return summed.join(none, key).select(key, F.when(F.col("_none") == 0, F.col("average")).alias("average"))
 
 
 def repeated_steps(trace: DataFrame, key: str, order: str, step: str) -> DataFrame:
