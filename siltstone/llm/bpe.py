@@ -32,7 +32,7 @@ LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
 ONLY_LATIN = re.compile(rf"[\t-\r -~{LATIN}]*")
 LATIN_PATTERN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LATIN}]+| ?[0-9]+| ?[^\s0-9{LATIN}]+|\s+(?!\S)|\s+")
 #: A worker forgets its pre-tokens before a text that finds more than this many.
-CACHE_ENTRIES = 250_000
+CACHE_ENTRIES = 150_000
 _LOADED: dict[str, "Encoder"] = {}
 
 

@@ -36,7 +36,7 @@ WORDS, LEAST, K, BANDS, ROWS = 5, 0.8, 384, 64, 6
 SLACK = 0.11
 #: Members of a bucket that are compared in one block, the shingles that fill one, and partners that share a copy of a text.
 BLOCK, BLOCK_SHINGLES, HUB = 1024, 2_000_000, 128
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 #: Steps of rank in a unit, and a rank beyond all others.
 UNIT, FAR = 2.0**32, 2**62
 _G = np.uint64(0x9E3779B97F4A7C15)

@@ -26,7 +26,6 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 import regex
@@ -42,7 +41,7 @@ STRETCH = 1 << 16
 #: Letters of the longest piece that a vocabulary may hold, and the least probability of a character that no piece covers.
 PIECE_CHARS, FLOOR = 16, 1e-7
 #: Distinct words whose scores a worker keeps.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 100_000
 #: Steps of an expected count; whole numbers add up alike in every order.
 SCALE = 2.0**24
 UNKNOWN = "und"
@@ -326,8 +325,8 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     docs = docs.drop("lang_pred", "score", "strange")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang_pred string, score double, strange double")
-    def identify(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("lang_pred string, score double, strange double")
+    def identify(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = shared.value
         letter, index = regex.compile(r"\p{L}").search, _Index()
         scores, plain = np.zeros((0, len(model.langs))), np.zeros(0, np.int64)
@@ -335,7 +334,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             langs, best, strange = [], [], []
             for a in range(0, len(texts), 500):
                 held = []
-                for t in texts.iloc[a : a + 500]:
+                for t in texts.slice(a, 500).to_pylist():
                     words = t.split() if model.langs and t is not None and letter(t) is not None else None
                     held.append(None if words is None else np.fromiter(map(index.__getitem__, words), np.int32, len(words)))
                 if index.new:
@@ -358,10 +357,10 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                     strange.append(float(model.usual[k] - (mine[size > 0, k].sum() + 4 * np.sqrt(model.spread[k] * n)) / letters) if n else None)
                 if len(index) > CACHE_WORDS:
                     index, scores, plain = _Index(), scores[:0], plain[:0]
-            yield pd.DataFrame({"lang_pred": langs, "score": best, "strange": pd.Series(strange, dtype=float)})
+            yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(best, pa.float64()), pa.array(strange, pa.float64())], names=["lang_pred", "score", "strange"])
 
     found = docs.withColumn("_found", identify(F.col("text").cast("string")))
-    return found.select(*docs.columns, "_found.lang_pred", "_found.score", F.nanvl("_found.strange", F.lit(None).cast("double")).alias("strange"))
+    return found.select(*docs.columns, "_found.lang_pred", "_found.score", "_found.strange")
 
 
 class _Index(dict):
