@@ -41,7 +41,7 @@ STRETCH = 1 << 16
 #: Letters of the longest piece that a vocabulary may hold, and the least probability of a character that no piece covers.
 PIECE_CHARS, FLOOR = 16, 1e-7
 #: Distinct words whose scores a worker keeps.
-CACHE_WORDS = 100_000
+CACHE_WORDS = 200_000
 #: Steps of an expected count; whole numbers add up alike in every order.
 SCALE = 2.0**24
 UNKNOWN = "und"
@@ -59,11 +59,21 @@ class Pieces:
 
     BASE = np.uint64(0x9E3779B97F4A7C15)
 
+    SLOTS = 18  # bits: at 32,000 pieces one slot in eight is taken
+    SPREAD = 0xD6E8FEB86659FD93
+
     def __init__(self, pieces: list[str]):
         self.pieces = pieces
-        keys = np.array([self._hash(p) for p in pieces], np.uint64)
-        order = np.argsort(keys)
-        self.keys, self.index = keys[order], order.astype(np.int32)
+        self.keys, self.index = np.zeros(1 << self.SLOTS, np.uint64), np.full(1 << self.SLOTS, -1, np.int32)
+        if len(pieces) > len(self.keys) // 2:
+            raise ValueError(f"a vocabulary of {len(pieces)} pieces")
+        for k, piece in enumerate(pieces):
+            h = self._hash(piece)
+            at = (h * self.SPREAD & 0xFFFFFFFFFFFFFFFF) >> (64 - self.SLOTS)
+            while self.index[at] >= 0 and int(self.keys[at]) != h:
+                at = (at + 1) % len(self.keys)
+            if self.index[at] < 0:
+                self.keys[at], self.index[at] = h, k
 
     def _hash(self, piece: str) -> int:
         h = 0
@@ -72,10 +82,20 @@ class Pieces:
         return h
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
-        """The piece with each hash, or -1."""
-        at = np.searchsorted(self.keys, hashes)
-        at[at == len(self.keys)] = 0
-        return np.where(self.keys[at] == hashes, self.index[at], -1)
+        """The piece with each hash, or -1: one look at a table, a few more where slots collide."""
+        at = (hashes * np.uint64(self.SPREAD) >> np.uint64(64 - self.SLOTS)).astype(np.int64)
+        out = self.index[at]
+        other = np.flatnonzero((out >= 0).ravel() & (self.keys[at] != hashes).ravel())
+        if len(other):
+            flat, at, wanted = out.reshape(-1), at.reshape(-1)[other], hashes.reshape(-1)[other]
+            while len(other):
+                at = (at + 1) % len(self.keys)
+                now = self.index[at]
+                right = (now >= 0) & (self.keys[at] == wanted)
+                done = right | (now < 0)
+                flat[other[done]] = np.where(right[done], now[done], -1)
+                other, at, wanted = other[~done], at[~done], wanted[~done]
+        return out
 
     @classmethod
     def load(cls, path: str) -> "Pieces":
@@ -131,19 +151,19 @@ def lattices(words: list[str], pieces: Pieces, block: int = 4096) -> Iterator[tu
         rows = order[a : a + block]
         size = lengths[rows]
         top = int(size[-1])
-        points = np.zeros((len(rows), top), np.uint64)
+        points = np.zeros((top, len(rows)), np.uint64)  # a row a position
         for k, r in enumerate(rows):
-            points[k, : size[k]] = np.frombuffer(words[r].encode("utf-32-le", "surrogatepass"), np.uint32)
+            points[: size[k], k] = np.frombuffer(words[r].encode("utf-32-le", "surrogatepass"), np.uint32)
         points += np.uint64(1)
         ends: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(top + 1)]
         run = np.zeros_like(points)
         for n in range(1, min(PIECE_CHARS, top) + 1):
-            run = run[:, : top - n + 1] * Pieces.BASE + points[:, n - 1 :]  # hashes of the n letters from each place on
+            run = run[: top - n + 1] * Pieces.BASE + points[n - 1 :]  # hashes of the n letters from each place on
             found = pieces.find(run)
             for start in range(top - n + 1):
-                inside = np.flatnonzero((found[:, start] >= 0) & (size >= start + n)) if n > 1 else np.flatnonzero(size >= start + 1)
+                inside = np.flatnonzero((found[start] >= 0) & (size >= start + n)) if n > 1 else np.flatnonzero(size >= start + 1)
                 if len(inside):
-                    ends[start + n].append((inside, found[inside, start], n))
+                    ends[start + n].append((inside, found[start, inside], n))
         yield rows, ends, size
 
 
