@@ -11,7 +11,6 @@ Texts are embedded once for each content hash and joined back to all rows that h
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -31,7 +30,16 @@ BLOCK = 1024
 Model = Callable[[list[str]], np.ndarray]
 #: Models by provider; the last two are those for Russian texts (fixed values).
 MODELS = {"openai": "text-embedding-3-small", "qwen": "text-embedding-v3", "ollama": "nomic-embed-text"}
-_words = regex.compile(r"[\p{L}\p{N}]+").findall
+#: Stands between texts that are searched for words together.
+MARK = "\0"
+#: Words whose rows are added up at a time.
+STRETCH = 8192
+_words = regex.compile(r"[\p{L}\p{N}]+|\0").findall
+
+
+def words_of(text: str | None) -> list[str]:
+    """The distinct words of a text in order of first use."""
+    return [w for w in dict.fromkeys(_words((text or "").lower())) if w != MARK]
 
 
 def features(word: str) -> list[str]:
@@ -48,7 +56,7 @@ class Hashing:
         self._forget()
 
     def _forget(self) -> None:
-        self.known, self.cells, self.rows = {}, {}, np.zeros((8192, self.dims), np.int32)
+        self.known, self.cells, self.rows, self.count = {MARK: -1}, {}, np.zeros((8192, self.dims), np.int32), 0
 
     def _cell(self, feature: str) -> tuple[int, int]:
         h = int.from_bytes(hashlib.md5(feature.encode()).digest()[:8]) >> 4
@@ -70,43 +78,49 @@ class Hashing:
         whole = np.stack([h % np.uint64(self.dims), 1 - 2 * (h // np.uint64(self.dims) % np.uint64(2)).astype(np.int64)], axis=1).astype(np.int64)
         at = np.concatenate([np.repeat(np.arange(len(words)), size) * self.dims + cell[:, 0], np.arange(len(words)) * self.dims + whole[:, 0]])
         rows = np.bincount(at, np.concatenate([cell[:, 1], whole[:, 1]]), len(words) * self.dims).astype(np.int32)
-        first, last = len(self.known), len(self.known) + len(words)
+        first, last = self.count, self.count + len(words)
         while last > len(self.rows):
             self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
         self.rows[first:last] = rows.reshape(-1, self.dims)
         self.known.update(zip(words, range(first, last)))
+        self.count = last
 
-    def __call__(self, texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), self.dims), np.int32)
-        found = [_words(t.lower()) for t in texts]
+    def _sums(self, ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The sums of the rows of each text's words; ends: behind the last word of each, marks between texts left out."""
+        out, first = np.zeros((len(ends), self.dims), np.int32), ends - np.diff(ends, prepend=0)
         a = 0
-        while a < len(found):  # texts of some thousand words at a time
-            b, total = a, 0
-            while b < len(found) and (b == a or total + len(found[b]) <= 4096):
-                total += len(found[b])
-                b += 1
-            if len(self.known) + len(self.cells) > CACHE_WORDS:
-                self._forget()
-            known, counts = self.known, None
-            words = [w for ws in found[a:b] for w in ws]
-            if b == a + 1 and total > 4096:  # one long text by its distinct words
-                counts = Counter(words)
-                words = list(counts)
-            if new := list(dict.fromkeys(w for w in words if w not in known)):
-                for k in range(0, len(new), 4096):
-                    self._learn(new[k : k + 4096])
-            ids = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-            if counts is not None:
-                n = np.fromiter(counts.values(), np.int32, len(counts))
-                for k in range(0, len(ids), 4096):
-                    out[a] += (self.rows[ids[k : k + 4096]] * n[k : k + 4096, None]).sum(axis=0, dtype=np.int32)
-            elif len(ids):
-                size = np.fromiter(map(len, found[a:b]), np.int64, b - a)
-                some = np.flatnonzero(size)
-                out[a + some] = np.add.reduceat(self.rows[ids], (np.cumsum(size) - size)[some], axis=0)
+        while a < len(ends):
+            b = max(a + 1, int(np.searchsorted(ends, first[a] + STRETCH, "right")))
+            if ends[a] - first[a] > STRETCH:  # a long text in parts
+                for k in range(int(first[a]), int(ends[a]), STRETCH):
+                    out[a] += self.rows[ids[k : min(k + STRETCH, int(ends[a]))]].sum(axis=0, dtype=np.int32)
+                b = a + 1
+            elif ends[b - 1] > first[a]:
+                some = np.flatnonzero(ends[a:b] > first[a:b])
+                out[a + some] = np.add.reduceat(self.rows[ids[first[a] : ends[b - 1]]], first[a + some] - first[a], axis=0)
             a = b
         return out
 
+    def __call__(self, texts: list[str]) -> np.ndarray:
+        out = [np.zeros((0, self.dims), np.int32)]
+        for a in range(0, len(texts), 256):
+            part = texts[a : a + 256]
+            if len(self.known) + len(self.cells) > CACHE_WORDS:
+                self._forget()
+            whole = MARK.join(part).lower()
+            if whole.count(MARK) != len(part) - 1:
+                whole = MARK.join(t.replace(MARK, " ") for t in part).lower()
+            found = _words(whole)
+            known = self.known
+            new = [w for w in dict.fromkeys(found) if w not in known]
+            for k in range(0, len(new), 4096):
+                self._learn(new[k : k + 4096])
+            ids = np.fromiter(map(known.__getitem__, found), np.int64, len(found))
+            marks = np.flatnonzero(ids < 0)
+            ends = np.append(marks, len(ids)) - np.arange(len(part))
+            out.append(self._sums(np.delete(ids, marks), ends))
+        return np.concatenate(out)
+
 
 def vectors(text: Column, make: Callable[[], Model] = Hashing) -> Column:
     """The model's numbers for each text, null as empty; ``make`` builds the model once a worker and task."""

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from siltstone.operators.embedding import Hashing, _words
+from siltstone.operators.embedding import Hashing, words_of
 from siltstone.storage import cut
 
 #: Cells of a word's vector, lists of the index, vectors that they are fitted on at most, rounds of that.
@@ -36,7 +36,7 @@ def word_vectors(rows: DataFrame, key: str = "id", text: str = "content", dims:
             for a in range(0, len(whole), 200):
                 batch, flat, counts = whole.slice(a, 200), [], []
                 for t in batch.column(1).to_pylist():
-                    found = list(dict.fromkeys(_words((t or "").lower())))
+                    found = words_of(t)
                     v = model(found).astype(np.float64) if found else np.zeros((0, dims))
                     norm = np.sqrt((v * v).sum(axis=1))
                     v = v[norm > 0] / norm[norm > 0, None]
@@ -148,7 +148,7 @@ def build_texts(docs: DataFrame, lists: int = LISTS, sample: int = SAMPLE, block
         for whole in batches:
             for a in range(0, len(whole), block):
                 batch = whole.slice(a, block)
-                found = [list(dict.fromkeys(_words((t or "").lower()))) for t in batch.column(1).to_pylist()]
+                found = [words_of(t) for t in batch.column(1).to_pylist()]
                 number = {w: i for i, w in enumerate(dict.fromkeys(w for ws in found for w in ws))}
                 raw = model(list(number))
                 there = (raw != 0).any(axis=1)

@@ -41,6 +41,20 @@ def test_embed_rows(spark):
     assert embedding.embed_rows(table(spark).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("stretch", [3, 8192])
+def test_many_texts_at_once_equal_one_by_one(monkeypatch, stretch):
+    monkeypatch.setattr(embedding, "STRETCH", stretch)
+    monkeypatch.setattr(embedding, "CACHE_WORDS", 400)
+    rng = random.Random(stretch)
+    texts = ["", "a\0b \0c", "\0", "x y z " * 5, "!?"] + [" ".join(rng.choice(["ab", "Cé", "d1", "word", "longer", "ünit"]) + str(rng.randint(0, 99)) for _ in range(rng.randint(0, 30))) for _ in range(600)]
+    got = embedding.Hashing(32)(texts)
+    for t, v in zip(texts, got):
+        want = by_hand(t.replace("\0", " "), 32)
+        norm = float(v @ v) ** 0.5
+        assert [x / norm if norm else 0.0 for x in v.tolist()] == pytest.approx(want)
+    assert embedding.Hashing(8)([]).shape == (0, 8)
+
+
 def test_distinct_texts_go_through_the_model_once(spark, tmp_path):
     def counted():
         def model(texts):
