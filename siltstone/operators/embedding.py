@@ -222,11 +222,12 @@ def neighbours(rows: DataFrame, queries: DataFrame, k: int = 10, size: int = BLO
 
     fine = lambda d: d.select(F.col("id").cast("long").alias("id"), "embedding").where("id is not null and size(embedding) > 0")
     asked, held, spark = cut(fine(queries)), fine(rows), rows.sparkSession
+    held = held.coalesce(2 * spark.sparkContext.defaultParallelism)  # each task answers every query, so as few as keep all cores busy
     n = asked.count()
     turns = max(1, -(-n // most))
     # a turn is a range of the hash of ids, so that it has about as many queries as the others
     part = F.pmod(F.xxhash64("id"), F.lit(turns))
-    held = cut(held) if turns > 1 else held
+    held = cut(held).coalesce(2 * spark.sparkContext.defaultParallelism) if turns > 1 else held
     found = None
     for turn in range(turns):
         mine = (asked.where(part == turn) if turns > 1 else asked).toArrow()

@@ -42,7 +42,7 @@ TESTED = {
     "chunk_sentence": "test_folds.test_sentence_chunks_cover_their_texts",
     "chunk_structural": "test_folds.test_structural_chunks",
     "connected_components_all": "test_folds.test_components_of_all_edges",
-    "cooccurrence": "test_operators.test_cooccurrence",
+    "cooccurrence": "test_operators.test_entities_and_cooccurrence",
     "late_search": "test_late.test_recall_of_the_index",
     "rate_limit_exact": "test_folds.test_exact_rate_limit",
     "running_average_all": "test_queries.test_both_running_averages",
