@@ -125,8 +125,9 @@ def words_of(table: str, key: str, text: str) -> str:
 qw as materialized ({words_of('asked', 'qid', 'text')}), dw as materialized ({words_of('documents', 'doc_id', 'text')}),
 words as (select distinct word from (select word from qw union all select word from dw)),
 w as (select word as own, word from words), {hashed_sql('w', 'own', 'word', 'v', late.DIMS)},
-s as materialized (select a.own as q, b.own as w, sum(a.x * b.x) / (sqrt(any_value(m.q)) * sqrt(any_value(n.q))) as sim
-  from v a join v b using (i) join v_n m on m.own = a.own join v_n n on n.own = b.own where a.own in (select word from qw) and b.own in (select word from dw) group by a.own, b.own),
+qv as materialized (select own, i, x, q from v join v_n using (own) where own in (select distinct word from qw)),
+dv as materialized (select own, i, x, q from v join v_n using (own) where own in (select distinct word from dw)),
+s as materialized (select a.own as q, b.own as w, sum(a.x * b.x) / (sqrt(any_value(a.q)) * sqrt(any_value(b.q))) as sim from qv a join dv b using (i) group by a.own, b.own),
 z as (select qid, doc_id, qw.word, max(coalesce(sim, 0)) as best from qw cross join dw left join s on s.q = qw.word and s.w = dw.word where qw.word in (select own from v_n) and dw.word in (select own from v_n) group by qid, doc_id, qw.word),
 t as (select qid, doc_id as id, round(sum(best), 9) as score from z group by qid, doc_id)
 select qid, row_number() over (partition by qid order by score desc, id) as rank, id, round(score, 6) as score from t qualify rank <= 5""")
