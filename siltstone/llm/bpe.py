@@ -22,7 +22,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from siltstone.llm.shared import require, text_or_empty
+from siltstone.llm.shared import give_back, require, text_or_empty
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 #: The public byte-level pre-tokeniser pattern (a fixed value).
@@ -148,17 +148,20 @@ def encode_documents(docs: DataFrame, path: str = VOCABULARY, id_col: str = "doc
         enc = encoder(path)
         for batch in batches:
             n, ids_sha, text_sha, ids, texts = [], [], [], [], []
-            for text in batch.column(1).to_pylist():
-                joined, decoded = enc.round_trip(text)
-                n.append(joined.count(",") + 1 if joined else 0)
-                ids_sha.append(hashlib.sha256(joined.encode()).hexdigest())
-                text_sha.append(hashlib.sha256(decoded).hexdigest())
-                if with_ids:
-                    ids.append(list(map(int, joined.split(","))) if joined else [])
-                    texts.append(decoded.decode("utf-8", "replace"))
+            for a in range(0, len(batch), 500):
+                for text in batch.column(1).slice(a, 500).to_pylist():
+                    joined, decoded = enc.round_trip(text)
+                    n.append(joined.count(",") + 1 if joined else 0)
+                    ids_sha.append(hashlib.sha256(joined.encode()).hexdigest())
+                    text_sha.append(hashlib.sha256(decoded).hexdigest())
+                    if with_ids:
+                        ids.append(list(map(int, joined.split(","))) if joined else [])
+                        texts.append(decoded.decode("utf-8", "replace"))
             columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
             if with_ids:
                 columns += [pa.array(ids, pa.list_(pa.int32())), pa.array(texts, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][: len(columns)])
+        enc.seen.clear()
+        give_back()
 
     return source.mapInArrow(run, schema)

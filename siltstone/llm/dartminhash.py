@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from siltstone.llm.components import components
-from siltstone.llm.shared import materialise, require, text_or_empty
+from siltstone.llm.shared import give_back, materialise, require, text_or_empty
 
 #: Words a shingle, least similarity, coordinates, and how bands are cut from all of them.
 WORDS, LEAST, K, BANDS, ROWS = 5, 0.8, 384, 64, 6
@@ -137,6 +137,8 @@ def sign(docs: DataFrame, words: int = WORDS, weight: str = "set", k: int = K) -
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(same, pa.binary()), pa.array([len(s) for s, _ in sets], pa.int64()), pa.array([w.sum() for _, w in sets], pa.float64()), pa.array([s.tobytes() for s in sigs], pa.binary())], names=["id", "doc_id", "same", "n", "total", "sig"])
                 if len(known) > CACHE_WORDS:
                     known.clear()
+        known.clear()
+        give_back()
 
     return docs.mapInArrow(run, schema)
 
@@ -173,6 +175,8 @@ def verify(pairs: DataFrame, texts: DataFrame, words: int, weight: str, least: f
             if len(known) > CACHE_WORDS:
                 known.clear()
             yield batch.filter(pa.array(keep, pa.bool_())).select([0, 2])
+        known.clear()
+        give_back()
 
     return dealt.select("a", "part", "b", "text").mapInArrow(run, f"a {kind}, b {kind}")
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
-from siltstone.llm.shared import materialise, require
+from siltstone.llm.shared import give_back, materialise, require
 
 VOCABULARY = public_tokenizers.path("piece_bpe_32k.model")
 #: Words of up to this many letters are summed many at a time; 1e-7 to this power is within a double.
@@ -298,6 +298,7 @@ def fit(docs: DataFrame, vocabulary: str = VOCABULARY, per_lang: int = 1000, rou
                         sums[:, k] += expected(batch.column(1).take(pa.array(mine)).to_pylist(), batch.column(2).to_numpy(zero_copy_only=False)[mine].astype(float), shared.value, now.value[:, k : k + 1])
             piece, lang = np.nonzero(sums)
             scaled = np.rint(sums[piece, lang] * SCALE).astype(np.int64)
+            give_back()
             yield pa.RecordBatch.from_arrays([pa.array(piece.astype(np.int32)), pa.array(lang.astype(np.int32)), pa.array(scaled)], names=["piece", "lang", "n"])
 
         sums = np.zeros_like(table)
@@ -378,6 +379,8 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 if len(index) > CACHE_WORDS:
                     index, scores, plain = _Index(), scores[:0], plain[:0]
             yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(best, pa.float64()), pa.array(strange, pa.float64())], names=["lang_pred", "score", "strange"])
+        index, scores, plain = None, None, None
+        give_back()
 
     found = docs.withColumn("_found", identify(F.col("text").cast("string")))
     return found.select(*docs.columns, "_found.lang_pred", "_found.score", "_found.strange")

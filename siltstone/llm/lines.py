@@ -24,7 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from siltstone.llm.shared import materialise, require, text_or_empty
+from siltstone.llm.shared import give_back, materialise, require, text_or_empty
 
 #: Lines under the rolling hash, the share of lines that end a chunk (1 in so many), and the least lines of a chunk.
 WINDOW, EVERY, LEAST = 2, 2, 2
@@ -59,8 +59,8 @@ def chunk_rows(rows: DataFrame, with_text: bool, every: int, least: int) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for a in range(0, len(whole), 2000):
-                batch, cols = whole.slice(a, 2000), [[] for _ in range(7)]
+            for a in range(0, len(whole), 500):
+                batch, cols = whole.slice(a, 500), [[] for _ in range(7)]
                 texts = batch.column(2).to_pylist()
                 for r, text in enumerate(texts):
                     seen: set[bytes] = set()
@@ -79,6 +79,7 @@ def chunk_rows(rows: DataFrame, with_text: bool, every: int, least: int) -> Data
                     yield pa.RecordBatch.from_arrays([*place, pa.array([d for d, _ in cols[6]], pa.binary()), pa.array([t for _, t in cols[6]], pa.string())], names=["key", "row", "line", "h", "chunk"])
                 else:
                     yield pa.RecordBatch.from_arrays([*place, *(pa.array(c, pa.int32()) for c in cols[2:5]), pa.array(cols[5], pa.bool_()), pa.array(cols[6], pa.binary())], names=["key", "row", "line", "start", "end", "n", "first", "h"])
+        give_back()
 
     return rows.mapInArrow(run, "key long, row long, line int, h binary, chunk string" if with_text else "key long, row long, line int, start int, end int, n int, first boolean, h binary")
 
@@ -109,14 +110,15 @@ def window_rows(rows: DataFrame, least: int, long: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for a in range(0, len(whole), 2000):
-                batch, cols = whole.slice(a, 2000), [[] for _ in range(6)]
+            for a in range(0, len(whole), 500):
+                batch, cols = whole.slice(a, 500), [[] for _ in range(6)]
                 for r, text in enumerate(batch.column(2).to_pylist()):
                     for k, start, end, n, part in windows(text, least, long):
                         for col, v in zip(cols, (r, k, start, end, n, hashlib.sha256(part.encode()).digest())):
                             col.append(v)
                 at = pa.array(cols[0], pa.int32())
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *(pa.array(c, pa.int32()) for c in cols[1:5]), pa.array(cols[5], pa.binary())], names=["key", "row", "line", "start", "end", "n", "h"])
+        give_back()
 
     return rows.mapInArrow(run, "key long, row long, line int, start int, end int, n int, h binary")
 
