@@ -1,8 +1,10 @@
 """Small cases of the operators' rules, by hand."""
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from siltstone import queries
 from siltstone.functions import text
 from siltstone.operators import chunk, classify, extract, fusion, graph, layout, linking, reasoning, registry, rules, telemetry
 from siltstone.sources import readers
@@ -139,6 +141,18 @@ def test_entities_and_cooccurrence(spark):
     assert pairs == {("AWS", "Docker"): (1, 0.3), ("AWS", "AWS"): (1, 0.3), ("Docker", "AWS"): (1, 0.3)}
 
 
+def test_names_before_other_letters_are_dropped_as_in_sql(spark):
+    """A name that runs into a letter or digit of another alphabet is none, not a shorter one."""
+    texts = ["Der Alte Manß ging. Anna Berg kam", "Foo Bar\x0bBaz Qux", "Foo Bar BazQux", "Foo Bar Baz²", "éJohn Smith, 𝐀John Smith, €John Smith", "AWSé AWS² API", "Ab Cd\n Ef Gh_i", "Foo BarBaz Qux Foo", None, "Ab " * 20_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, content string")
+    got = sorted((r["id"], r["ord"], r["name"], r["type"]) for r in extract.entities(df).collect())
+    db = duckdb.connect()
+    db.execute("create table documents (doc_id bigint, text varchar)")
+    db.executemany("insert into documents values (?, ?)", list(enumerate(texts)))
+    assert got == sorted(db.execute(queries.SQL["entities_lightweight"]).fetchall())
+    assert [r[2] for r in got if r[0] in (0, 3, 5)] == ["Anna Berg", "API"] and len(got[-1][2]) == 59_999
+
+
 def test_cross_references(spark):
     df = spark.createDataFrame([(1, "[a](x.md) [b](#c) see section 1.2, ABC-12 http://localhost/q")], "id int, content string")
     got = {(r["ref_type"], r["target"]) for r in extract.cross_references(df).collect()}
