@@ -1,7 +1,8 @@
 """Conditions, constraints and patterns as tables joined to features.
 
 Features are long rows (entity, feature, value string); rules are small tables. A rule is
-evaluated by a join on the feature's name, not by a loop.
+evaluated by a join on the feature's name, not by a loop. Rules go to the features: there are
+few names of features, so a shuffle by them would bring most rows to a few tasks.
 """
 
 from __future__ import annotations
@@ -42,13 +43,13 @@ def violated(operator: Column, actual: Column, threshold: Column) -> Column:
 
 def violations(features: DataFrame, constraints: DataFrame) -> DataFrame:
     """(entity, constraint, severity): each violated constraint once; constraints: constraint, feature, operator, threshold, severity."""
-    j = features.join(constraints, "feature")
+    j = features.join(F.broadcast(constraints), "feature")
     return j.where(violated(F.col("operator"), F.col("value"), F.col("threshold"))).select("entity", "constraint", "severity").distinct()
 
 
 def pattern_scores(features: DataFrame, conditions: DataFrame) -> DataFrame:
     """(entity, pattern, matched, score) above 0.3; conditions: pattern, priority, feature, operator, expected."""
-    j = features.join(conditions, "feature")
+    j = features.join(F.broadcast(conditions), "feature")
     hit = holds(F.col("operator"), F.col("value"), F.col("expected")).cast("int")
     g = j.groupBy("entity", "pattern", "priority").agg(F.sum(hit).alias("matched"))
     return g.select("entity", "pattern", F.col("matched").cast("long"), F.least(F.lit(1.0), F.col("matched") + F.col("priority") / 10.0).alias("score")).where(F.col("score") > LEAST_SCORE)
@@ -57,7 +58,7 @@ def pattern_scores(features: DataFrame, conditions: DataFrame) -> DataFrame:
 def final_scores(scores: DataFrame, found: DataFrame, priorities: DataFrame) -> DataFrame:
     """Pattern scores with the priority added again and a penalty for each error."""
     errors = found.where("severity = 'error'").groupBy("entity").agg(F.count("*").alias("errors"))
-    j = scores.join(priorities, "pattern").join(errors, "entity", "left")
+    j = scores.join(F.broadcast(priorities), "pattern").join(errors, "entity", "left")
     raw = F.col("score") + F.col("priority") / 10.0 - PENALTY * F.coalesce("errors", F.lit(0))
     return j.select("entity", "pattern", F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw)).alias("score"))
 
@@ -65,9 +66,9 @@ def final_scores(scores: DataFrame, found: DataFrame, priorities: DataFrame) ->
 def all_hold(features: DataFrame, rules: DataFrame) -> DataFrame:
     """(entity, rule) where every condition of the rule holds; rules: rule, feature, operator, expected."""
     need = rules.groupBy("rule").agg(F.count("*").alias("need"))
-    j = features.join(rules, "feature").where(holds(F.col("operator"), F.col("value"), F.col("expected")))
+    j = features.join(F.broadcast(rules), "feature").where(holds(F.col("operator"), F.col("value"), F.col("expected")))
     have = j.groupBy("entity", "rule").agg(F.countDistinct("feature", "operator", "expected").alias("have"))
-    return have.join(need, "rule").where("have = need").select("entity", "rule")
+    return have.join(F.broadcast(need), "rule").where("have = need").select("entity", "rule")
 
 
 def nested(json: Column, path: str) -> Column:

@@ -260,3 +260,14 @@ def test_broken_and_empty_model_output_gives_no_entities(spark):
     outputs = ['[{"name": "A", "type": "PERSON"}]', '{"name": "A"}', "[{", "", None, "[]", '[{"type": "x"}]']
     got = [r[0] for r in spark.createDataFrame([(k, o) for k, o in enumerate(outputs)], "k int, o string").orderBy("k").select(linking.parsed_entities(F.col("o"))).collect()]
     assert [[(e["name"], e["type"]) for e in x] for x in got] == [[("A", "person")], [], [], [], [], [], [("", "concept")]]
+
+
+def test_rules_go_to_the_features(spark):
+    """No shuffle by the few names of features, which would bring most rows to one task."""
+    features = spark.range(1000).select(F.col("id").cast("string").alias("entity"), F.lit("price").alias("feature"), F.col("id").cast("string").alias("value"))
+    conditions = spark.createDataFrame([("cheap", "price", "lt", "5"), ("p", "price", "gt", "2")], "rule string, feature string, operator string, expected string")
+    limits_ = spark.createDataFrame([("low", "price", "lt", "5", "error")], "constraint string, feature string, operator string, threshold string, severity string")
+    patterns = conditions.select(F.col("rule").alias("pattern"), F.lit(1).alias("priority"), "feature", "operator", "expected")
+    for made, n in ((rules.all_hold(features, conditions), 5 + 997), (rules.violations(features, limits_), 4), (rules.pattern_scores(features, patterns), 1002)):
+        assert "SortMergeJoin" not in made._jdf.queryExecution().executedPlan().toString()
+        assert made.count() == n
