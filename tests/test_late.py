@@ -67,3 +67,16 @@ def test_recall_of_the_index(spark):
     found = {(r["qid"], r["id"]) for r in queries_embedding.late_search(spark, FOLDER).collect()}
     assert len(exact) >= 50 and len(exact & found) / len(exact) >= 0.9
     print("recall", len(exact & found), len(exact))
+
+
+@pytest.mark.parametrize("candidates", [None, 60])
+def test_queries_in_turns_and_groups_find_the_same(spark, monkeypatch, candidates):
+    """Vectors that queries share go to the workers once; what is held for a group of queries is bounded."""
+    refs = [np.array([0, 1]), np.array([1, 2]), np.array([5, 6, 7, 8]), np.array([0])]
+    assert [(list(some), named.tolist()) for some, named in late.grouped(refs, 3)] == [([0, 1], [0, 1, 2]), ([2], [5, 6, 7, 8]), ([3], [0])]
+    monkeypatch.setattr(late, "GROUP", 3)
+    monkeypatch.setattr(late, "WORDS", 2)
+    docs, asked = sample(3, 50), [(f"q{k}", v) for k, v in sample(4, 12)] * 1
+    d = spark.createDataFrame(docs, "id long, vectors array<array<double>>").repartition(2)
+    q = spark.createDataFrame(asked, "qid string, vectors array<array<double>>")
+    assert {tuple(r) for r in late.search(late.build(d, 4, block=7), q, 4, candidates=candidates, most=8).collect()} == brute(docs, asked, 4)
