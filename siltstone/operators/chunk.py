@@ -285,9 +285,14 @@ def distances_of(texts: Iterable[list[str] | None], buffer: int = 1, model: Mode
 
     def far(v: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
         """Distances of the windows around each sentence and the next; first and last: of the text that it stands in."""
-        sums = np.concatenate([np.zeros((1, v.shape[1]), v.dtype), np.cumsum(v, axis=0, dtype=v.dtype)])
-        at = np.arange(len(v))
-        near = (sums[np.minimum(at + buffer + 1, last)] - sums[np.maximum(at - buffer, first)]).astype(np.float64)
+        at, near = np.arange(len(v)), v.copy()
+        for k in range(1, min(buffer, len(v) - 1) + 1):  # neighbours at k, and away with those of other texts
+            near[k:] += v[:-k]
+            near[:-k] += v[k:]
+            low, high = at[k:][at[k:] - k < first[k:]], at[:-k][at[:-k] + k >= last[:-k]]
+            near[low] -= v[low - k]
+            near[high] -= v[high + k]
+        near = near.astype(np.float64)
         square = np.sqrt(np.einsum("ij,ij->i", near, near))
         length, dot = square[:-1] * square[1:], np.einsum("ij,ij->i", near[:-1], near[1:])
         return np.where(length > 0, 1 - dot / np.where(length > 0, length, 1), 1.0)
@@ -297,7 +302,7 @@ def distances_of(texts: Iterable[list[str] | None], buffer: int = 1, model: Mode
         for a in range(0, len(parts) - 1, STRETCH):  # pairs from (a, a + 1) on
             b = min(a + STRETCH, len(parts) - 1)
             low, high = max(0, a - buffer), min(len(parts), b + buffer + 1)
-            out += far(model(parts[low:high]), np.zeros(1, int), np.full(1, high - low))[a - low : b - low].tolist()
+            out += far(model(parts[low:high]), np.zeros(high - low, int), np.full(high - low, high - low))[a - low : b - low].tolist()
         return out
 
     def short(texts: list[list[str]]) -> list[list[float]]:
@@ -349,6 +354,29 @@ def percentile(values: Column, share: float) -> Column:
     return a + (b - a) * (at - low)
 
 
+def cuts(sentences: Column, share: float = 0.95, buffer: int = 1, make: Callable[[], Model] = Hashing) -> Column:
+    """How many sentences of a text stand before each cut: where ``adjacent_distances`` is over its own ``percentile``.
+
+    Both are taken where the vectors are made, so that of the distances only the cuts go back.
+    """
+
+    def over(far: list[float]) -> np.ndarray:
+        if not far:
+            return np.zeros(0, np.int32)
+        values, at = np.array(far), (len(far) - 1) * share
+        ordered, low = np.sort(values), int(at // 1)
+        a, b = ordered[low], ordered[min(low + 1, len(far) - 1)]
+        return np.flatnonzero(values > a + (b - a) * (at - low)).astype(np.int32) + 1
+
+    @F.pandas_udf("array<int>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = make()
+        for texts in batches:
+            yield pd.Series([over(far) for far in distances_of(texts, buffer, model)], dtype=object)
+
+    return run(sentences)
+
+
 def semantic(rows: DataFrame, share: float = 0.95, buffer: int = 1, key: str = "id", text: str = "content", make: Callable[[], Model] = Hashing) -> DataFrame:
     """(key, chunk_index, n_sentences, content): texts cut where neighbouring sentences are farther apart than the ``share`` percentile of the text's own distances.
 
@@ -358,10 +386,9 @@ def semantic(rows: DataFrame, share: float = 0.95, buffer: int = 1, key: str = "
     """
     given = F.coalesce(F.col(text), F.lit(""))
     parts = F.when(F.rlike(given, F.lit(r"\S")), F.regexp_extract_all(given, F.lit(SENTENCE), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    d = rows.select(F.col(key), parts.alias("_s")).withColumn("_d", adjacent_distances(F.col("_s"), buffer, make)).withColumn("_t", percentile(F.col("_d"), share))
+    d = rows.select(F.col(key), parts.alias("_s")).withColumn("_c", cuts(F.col("_s"), share, buffer, make))
     n = F.size("_s")
-    cuts = F.filter(F.sequence(F.lit(1), F.greatest(F.size("_d"), F.lit(1))), lambda i: F.coalesce(F.get("_d", i - 1) > F.col("_t"), F.lit(False)))
-    spans = F.arrays_zip(F.concat(F.array(F.lit(0)), cuts).alias("a"), F.concat(cuts, F.array(n)).alias("b"))
+    spans = F.arrays_zip(F.concat(F.array(F.lit(0)), "_c").alias("a"), F.concat("_c", F.array(n)).alias("b"))
     d = d.select(key, F.posexplode(F.when(n > 0, F.transform(spans, lambda x: F.slice("_s", x["a"] + 1, x["b"] - x["a"])))).alias("chunk_index", "_p"))
     return d.select(key, "chunk_index", F.size("_p").alias("n_sentences"), F.array_join("_p", "").alias("content"))
 

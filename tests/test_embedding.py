@@ -5,9 +5,11 @@ import html.parser
 import json
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from siltstone.operators import chunk, embedding
@@ -55,6 +57,28 @@ def test_many_texts_at_once_equal_one_by_one(monkeypatch, stretch):
     assert embedding.Hashing(8)([]).shape == (0, 8)
 
 
+def test_known_words_hold_their_places_only():
+    text = " ".join(f"w{k * 7919:x}" for k in range(60_000))
+    tracemalloc.start()
+    try:
+        got = embedding.Hashing()([text])
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    v = got[0].astype(float)
+    assert (v / np.sqrt(v @ v)).tolist() == pytest.approx(by_hand(text))
+    assert most < 60e6  # rows of 256 cells a word take over 60 MB by themselves
+
+
+def test_words_of_other_alphabets_equal_the_pattern():
+    rng = random.Random(5)
+    letters = [chr(c) for c in [*range(0x20, 0x600), *range(0x900, 0x980), *range(0x1D400, 0x1D440), 0x2019, 0x2161, 0x00BD, 0x3007]]
+    texts = ["".join(rng.choices(letters[: rng.choice([100, 900, len(letters)])], k=120)) for _ in range(300)]
+    for t, v in zip(texts, embedding.Hashing(32)(texts)):
+        want = embedding.Hashing(32)([" ".join(regex.findall(r"[\p{L}\p{N}]+", t.lower()))])[0]
+        assert v.tolist() == want.tolist(), t
+
+
 def test_distinct_texts_go_through_the_model_once(spark, tmp_path):
     def counted():
         def model(texts):
@@ -131,6 +155,18 @@ def test_distances_of_long_texts_go_on_over_stretches(spark, monkeypatch):
         assert all(np.allclose(a, b) and len(a) == len(b) for a, b in zip(parts, want))
 
 
+@pytest.mark.parametrize("share,buffer", [(0.95, 1), (0.1, 0), (0.9, 3)])
+def test_cuts_equal_distances_over_their_percentile(spark, share, buffer):
+    rng = random.Random(buffer)
+    texts = [[rng.choice(["a b", "b c d", "!", "e", "f g"]) for _ in range(n)] for n in (0, 1, 2, 3, 9, 40, 64)] + [["same"] * 5, None]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "id long, s array<string>").coalesce(1)
+    df = df.withColumn("d", chunk.adjacent_distances(F.col("s"), buffer))
+    got = df.select("id", "d", chunk.percentile(F.col("d"), share).alias("t"), chunk.cuts(F.col("s"), share, buffer).alias("c")).collect()
+    assert len(got) == len(texts) and any(r["c"] for r in got)
+    for r in got:
+        assert r["c"] == [k + 1 for k, x in enumerate(r["d"]) if x > r["t"]]
+
+
 def test_semantic(spark):
     rng = random.Random(3)
     topics = [["cat", "dog", "paw", "tail"], ["stock", "bond", "yield", "rate"], ["rain", "wind", "cloud"]]
