@@ -117,6 +117,42 @@ def test_neighbours(spark, size, most):
     assert embedding.neighbours(rows, rows.limit(0), 4).count() == 0
 
 
+def test_products_that_single_precision_cannot_tell_apart_are_ranked():
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=64)
+    rows = embedding.scaled(base + rng.normal(size=(3000, 64)) * 1e-4)  # products within some 1e-6 of each other
+    asked = embedding.scaled(base + rng.normal(size=(7, 64)) * 1e-4)
+    kept = embedding.Best(asked, 5)
+    for a in range(0, 3000, 500):
+        kept.see(np.arange(a, a + 500), rows[a : a + 500], 4)
+    score = np.round(asked @ rows.T, 9)
+    for q in range(7):
+        assert [i for _, i in kept.found[q]] == np.lexsort((np.arange(3000), -score[q]))[:5].tolist()
+
+
+def test_neighbours_embed_and_join_once(spark, tmp_path, monkeypatch):
+    from siltstone import queries_embedding as own
+
+    made = []
+
+    def counted(spark, d):
+        rows = spark.range(100).select("id", F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: F.sin(F.col("id") * i)).alias("embedding"))
+        log = str(tmp_path / "seen")
+
+        def seen(batches):
+            for b in batches:
+                with open(log, "a") as f:
+                    f.write("\n" * len(b))
+                yield b
+
+        made.append(log)
+        return rows.mapInArrow(seen, rows.schema)
+
+    monkeypatch.setattr(own, "embedded_documents", counted)
+    assert own.embedding_neighbours(spark, "").count() == 25
+    assert len(open(made[0]).read()) == 100  # and not again for the queries
+
+
 def semantic_by_hand(text, share=0.95):
     parts, at = [], 0
     for m in re.finditer(r"[.!?]+\s+", text):
