@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from siltstone.operators import graph
 from siltstone.operators.extract import CODE, language_of
+from siltstone.storage import cut
 
 SCHEMA = "path string, language string, kind string, name string, parent string, qualified string, start_line int, end_line int, bases array<string>, calls array<string>"
 #: Words before a bracket that are no calls and no names, in all languages and in some (fixed values).
@@ -30,10 +31,12 @@ MORE = {
     "typescript": ["function", "await", "typeof", "async"],
     "javascript": ["function", "await", "typeof", "async"],
 }
+#: Declarations that leave a worker at a time.
+ROWS = 2000
 _calls = re.compile(r"(?<![\w.])((?:\w+\.)*\w+)\s*\(").findall
 
 
-@dataclass
+@dataclass(slots=True)
 class Entity:
     kind: str
     name: str
@@ -228,30 +231,39 @@ def entities(text: str, language: str) -> list[Entity]:
     return brace_entities(text, language) if language in BRACES else []
 
 
+def declared(where: str, language: str, text: str) -> Iterator[tuple]:
+    """Rows of one file, imports first."""
+    for name in re.findall(CODE[language]["import"], text) if "import" in CODE.get(language, {}) else ():
+        yield where, language, "import", name, None, name, None, None, [], []
+    for e in entities(text, language):
+        yield where, language, e.kind, e.name, e.within, e.qualified, e.start, e.end, list(dict.fromkeys(e.bases)), list(dict.fromkeys(e.calls))
+
+
+def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of files (path, language, content), one file at a time and in parts: files can be large, and a task can have all of them."""
+    kinds = [pa.string()] * 6 + [pa.int32()] * 2 + [pa.list_(pa.string())] * 2
+    packed = lambda out: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [()] * 10, kinds)], names=[x.split(" ")[0] for x in SCHEMA.split(", ")])
+    for whole in batches:
+        out: list[tuple] = []
+        for a in range(len(whole)):
+            where, language, text = (c[a].as_py() for c in whole.columns)
+            for row in declared(where, language, text) if text is not None else ():
+                out.append(row)
+                if len(out) == ROWS:
+                    yield packed(out)
+                    out = []
+        yield packed(out)
+
+
 def structure(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
     """One row a declaration of each file: kind, name, parent (qualified), lines, bases and calls; imports are rows of kind ``import``.
 
     The language comes from the file's ending; other files and null texts have no rows. A type
     that is implemented elsewhere (``impl`` and receivers) is a parent by its name. Unclosed
     braces end with the text as it is; repeated rows give their rows again. Narrow: texts do
-    not leave their partitions.
+    not leave their partitions, and a worker holds the declarations of one file at a time.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for a in range(0, len(whole), 200):
-                out = []
-                for where, language, text in zip(*(c.to_pylist() for c in whole.slice(a, 200).columns)):
-                    if text is None:
-                        continue
-                    for name in re.findall(CODE[language]["import"], text) if "import" in CODE.get(language, {}) else ():
-                        out.append((where, language, "import", name, None, name, None, None, [], []))
-                    for e in entities(text, language):
-                        out.append((where, language, e.kind, e.name, e.within, e.qualified, e.start, e.end, list(dict.fromkeys(e.bases)), list(dict.fromkeys(e.calls))))
-                kinds = [pa.string()] * 6 + [pa.int32()] * 2 + [pa.list_(pa.string())] * 2
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [()] * 10, kinds)], names=[x.split(" ")[0] for x in SCHEMA.split(", ")])
-
-    return files.select(F.col(path).alias("path"), language_of(F.col(path)).alias("language"), F.col(content).alias("content")).mapInArrow(run, SCHEMA)
+    return files.select(F.col(path).alias("path"), language_of(F.col(path)).alias("language"), F.col(content).alias("content")).mapInArrow(scanned, SCHEMA)
 
 
 def code_graph(found: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -260,7 +272,9 @@ def code_graph(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     A declaration's id is path::qualified name, a file's is ``file:`` and its path. Files and
     types contain their declarations; calls and bases lead to declarations of that last name
     in the same file, or in all files if that one has none; imports lead to ``module:`` nodes.
+    The rows are written first, as they are read some ten times.
     """
+    found = cut(found)
     own = F.concat_ws("::", "path", "qualified")
     d = found.where("kind <> 'import'").withColumn("id", own)
     imports = found.where("kind = 'import'").select(F.concat(F.lit("file:"), "path").alias("src"), F.concat(F.lit("module:"), "name").alias("dst"), F.lit("IMPORTS").alias("type"))

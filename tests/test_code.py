@@ -5,6 +5,7 @@ import json
 import os
 from textwrap import dedent
 
+import pyarrow as pa
 import pytest
 
 from siltstone.operators import code, graph
@@ -217,3 +218,36 @@ def test_graph_of_code(spark):
     assert [r["src"] for r in callers] == ["a.py::A.f"]
     rows = {tuple(r) for r in code.entity_edges(found).collect()}
     assert ("file:a.py", "A.f", "CONTAINS") in rows and ("A.f", "g", "CALLS") in rows and ("A", "B", "INHERITS") in rows and ("g", "os", "IMPORTS") in rows
+
+
+def large_file(k, n=300):
+    return f"src/f{k}.py", "import shop\n" + "".join(f"class C{k}_{i}(Base):\n    def one(self):\n        return load(self.rows())\n\n" for i in range(n))
+
+
+def test_declarations_of_large_files_leave_in_parts(monkeypatch):
+    files = [(*large_file(k), "python") for k in range(8)] + [("a.py", None, "python"), ("b.txt", "x", None)]
+    batch = pa.RecordBatch.from_pydict({"path": [f[0] for f in files], "language": [f[2] for f in files], "content": [f[1] for f in files]})
+    begun, plain = [], code.entities
+    monkeypatch.setattr(code, "entities", lambda text, language: begun.append(1) or plain(text, language))
+    monkeypatch.setattr(code, "ROWS", 500)
+    n, paths = 0, []
+    for part in code.scanned(iter([batch])):
+        n += len(part)
+        paths += part.column(0).to_pylist()
+        assert len(part) <= 500 and len(begun) <= n // 601 + 1  # the files behind are not scanned yet
+    assert n == 8 * 601 and sorted(paths) == paths
+
+
+def test_code_graph_scans_the_files_once(spark, tmp_path):
+    log = str(tmp_path / "seen")
+
+    def seen(batches):
+        for b in batches:
+            with open(log, "a") as f:
+                f.write("\n" * len(b))
+            yield b
+
+    found = code.structure(spark.createDataFrame([large_file(k, 3) for k in range(4)], "path string, content string"))
+    nodes, edges = code.code_graph(found.mapInArrow(seen, found.schema))
+    assert nodes.count() == 4 * (1 + 3 * 2) + 1 and edges.where("type = 'CONTAINS'").count() == 24 and edges.where("type = 'IMPORTS'").count() == 4
+    assert len(open(log).read()) == found.count()
